@@ -126,7 +126,7 @@ def parse_human_bytes(text: Column) -> Column:
     clean = F.trim(text)
     number = F.regexp_extract(clean, _HUMAN, 1).try_cast("double")
     unit = F.regexp_extract(clean, _HUMAN, 2)
-    power = F.when(unit == "", F.lit(0)).otherwise(F.locate(unit, F.lit(SIZE_UNITS)))
+    power = F.when(unit == "", F.lit(0)).otherwise(F.position(unit, F.lit(SIZE_UNITS)))
     return F.when(clean.rlike(_HUMAN), number * F.pow(F.lit(1024.0), power))
 
 
