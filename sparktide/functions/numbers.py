@@ -111,7 +111,9 @@ def human_bytes(n: Column, *, decimals: int = 2) -> Column:
         if power == 0:
             text = F.format_string("%.1fB" if compact else "%.0fB", scaled)
         else:
-            text = F.format_string(f"%.{decimals}f{letter}iB", scaled)
+            # the long form rounds exact halves to even, the dashboard form up
+            shown = scaled if compact else F.bround(scaled, decimals)
+            text = F.format_string(f"%.{decimals}f{letter}iB", shown)
         last = power == len(names) - 1
         test = F.lit(True) if last else n < F.lit(float(1024 ** (power + 1)))
         out = F.when(test, text) if out is None else out.when(test, text)

@@ -130,8 +130,8 @@ def _put(field: int, payload: bytes) -> bytes:
     return _put_varint(field << 3 | 2) + _put_varint(len(payload)) + payload
 
 
-def _write_series(labels: list[tuple[str, str]], samples: list[dict]) -> bytes:
-    named = b"".join(_put(1, _put(1, k.encode()) + _put(2, v.encode())) for k, v in labels)
+def _write_series(labels: list[dict], samples: list[dict]) -> bytes:
+    named = b"".join(_put(1, _put(1, e["key"].encode()) + _put(2, e["value"].encode())) for e in labels)
     points = b"".join(
         _put(2, b"\x09" + struct.pack("<d", s["value"]) + b"\x10" + _put_varint(s["ts_ms"])) for s in samples
     )
