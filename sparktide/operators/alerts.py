@@ -12,7 +12,7 @@ from sparktide.functions.labels import labels_of
 from sparktide.functions.numbers import OPERATORS, compare_op
 from sparktide.functions.times import duration_seconds
 from sparktide.plans.guard import broadcast_if
-from sparktide.plans.slices import SLICE_SECONDS, slice_window, with_rows_before, with_time_before
+from sparktide.plans.slices import SLICE_SECONDS, slice_window, with_slice, with_time_before
 from sparktide.schema import NOTIFIERS, RULES
 
 # Severities, condition kinds, notifier kinds.
@@ -223,41 +223,59 @@ def alert_states(evaluated: DataFrame, slice_s: int = SLICE_SECONDS) -> DataFram
 
     A run is a stretch of holding samples; it is pending since its first sample
     and fires once it has lasted ``for_s``.  Samples are taken in (ts, seq)
-    order.  Runs cross slices, so each slice takes the start of the last run
-    before it from a small table of run starts.
+    order.  Each slice is worked on alone; a small table with one row per slice
+    then says how the slice before it ended and when a run still open at that
+    point began.  Both readings use the same shuffled rows.
     """
     keys = ["rule", "series_id"]
-    narrow = evaluated.select(
-        *keys, "ts", "seq", "name", "value", "severity", "for_s", "notify", "holds"
-    )
-    rows = with_rows_before(narrow, keys, ["ts", "seq"], ["holds"], 1, slice_s)
+    about = ["name", "value", "severity", "for_s", "notify"]
+    rows = with_slice(evaluated.select(*keys, "ts", "seq", "holds", *about), slice_s).withColumn("_us", F.unix_micros("ts"))
     w = slice_window(keys, ["ts", "seq"])
-    us = F.unix_micros("ts")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # "open": the slice begins with it, so it may continue an earlier run
+    begins = F.when(
+        F.col("holds") & ~F.coalesce("_was", F.lit(False)), F.struct(F.col("_us").alias("us"), F.col("_was").isNull().alias("open"))
+    )
     stepped = (
-        rows.withColumn("_was", F.coalesce(F.lag("holds").over(w), F.lit(False)))
-        .withColumn("_was_us", F.lag(us).over(w))
-        .withColumn("_start", F.when(~F.col("is_context") & F.col("holds") & ~F.col("_was"), us))
-        .withColumn("_run", F.last("_start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        rows.withColumn("_was", F.lag("holds").over(w)).withColumn("_was_us", F.lag("_us").over(w))
+        .withColumn("_begins", begins)
+        .withColumn("_run", F.last("_begins", ignorenulls=True).over(so_far))
         .withColumn("_was_run", F.lag("_run").over(w))
     )
-    earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        stepped.groupBy(*keys, "slice").agg(F.max("_start").alias("_last"))
-        .select(*keys, "slice", F.max("_last").over(earlier).alias("_carry"))
+
+    ends = stepped.groupBy(*keys, "slice").agg(
+        F.max(F.struct("ts", "seq", "holds", "_us", *about)).alias("_end"),
+        F.max(F.when(~F.col("_begins.open"), F.col("_begins.us"))).alias("_inner"),
+        F.max(F.when(F.col("_begins.open"), F.col("_begins.us"))).alias("_outer"),
     )
-    wait = F.round(F.col("for_s") * 1e6).cast("long")
-    run = F.coalesce("_run", "_carry")
-    was_run = F.coalesce("_was_run", "_carry")
-    return (
-        stepped.where(~F.col("is_context")).join(carried, [*keys, "slice"])
+    in_turn = Window.partitionBy(*keys).orderBy("slice")
+    before = F.lag("_end").over(in_turn)
+    began = F.coalesce("_inner", F.when(~F.coalesce("_was_end", F.lit(False)), F.col("_outer")))
+    openings = (
+        ends.withColumn("_was_end", before["holds"]).withColumn("_was_end_us", before["_us"])
+        .withColumn("_began", began)
         .select(
-            *keys, "ts", "seq", "name", "value", "severity", "notify", "holds",
-            F.when(F.col("holds"), F.timestamp_micros(run)).alias("pending"),
-            F.coalesce(F.col("holds") & (us - run >= wait), F.lit(False)).alias("firing"),
-            F.coalesce(F.col("_was") & (F.col("_was_us") - was_run >= wait), F.lit(False)).alias("was_firing"),
+            *keys, "slice", "_was_end", "_was_end_us",
+            F.max("_began").over(in_turn.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"),
         )
     )
 
+    def since(run: str):
+        continued = F.col(f"{run}.open") & F.coalesce("_was_end", F.lit(False))
+        return F.when(continued, F.col("_carry")).otherwise(F.col(f"{run}.us"))
+
+    wait = F.round(F.col("for_s") * 1e6).cast("long")
+    first = F.col("_was").isNull()
+    was = F.when(first, F.col("_was_end")).otherwise(F.col("_was"))
+    was_us = F.when(first, F.col("_was_end_us")).otherwise(F.col("_was_us"))
+    was_since = F.when(first, F.col("_carry")).otherwise(since("_was_run"))
+    return stepped.join(openings, [*keys, "slice"]).select(
+        *keys, "ts", "seq", "name", "value", "severity", "notify", "holds",
+        F.when(F.col("holds"), F.timestamp_micros(since("_run"))).alias("pending"),
+        F.coalesce(F.col("holds") & (F.col("_us") - since("_run") >= wait), F.lit(False)).alias("firing"),
+        F.coalesce(was & (was_us - was_since >= wait), F.lit(False)).alias("was_firing"),
+    )
+
 
 def alert_events(evaluated: DataFrame, slice_s: int = SLICE_SECONDS) -> DataFrame:
     """One row when an alert starts firing and one when it resolves.

@@ -13,14 +13,15 @@ _RATE = """rt AS (SELECT name, shard, series_id, sec, (value - pv) / (sec - ps)
   WHERE sec > ps AND value >= pv)"""
 
 
-@query("counter_rate", f"WITH {PT}, {_RATE} SELECT series_id, sec * 1000000 AS ts_us, round(rate, 6) AS rate FROM rt")
+@query("counter_rate", f"WITH {PT}, {_RATE} SELECT series_id, sec * 1000000 AS ts_us, round(rate + 1e-8::DOUBLE, 6) AS rate FROM rt")
 def rates(spark, sf):
-    return D.counter_rate(points(spark, sf)).select("series_id", micros("ts"), r6("rate"))
+    # the shift keeps rates that end in an exact half from rounding either way
+    return D.counter_rate(points(spark, sf)).select("series_id", micros("ts"), r6(F.col("rate") + 1e-8, "rate"))
 
 
-@query("rate_sum", f"WITH {PT}, {_RATE} SELECT sec * 1000000 AS ts_us, round(sum(rate), 6) AS rate FROM rt GROUP BY sec")
+@query("rate_sum", f"WITH {PT}, {_RATE} SELECT sec * 1000000 AS ts_us, round(sum(rate) + 1e-8::DOUBLE, 6) AS rate FROM rt GROUP BY sec")
 def summed(spark, sf):
-    return D.rate_sum(points(spark, sf)).select(micros("ts"), r6("rate"))
+    return D.rate_sum(points(spark, sf)).select(micros("ts"), r6(F.col("rate") + 1e-8, "rate"))
 
 
 @query("rate_sum_where", """WITH rq AS (
