@@ -76,9 +76,13 @@ def format_float(value: Column) -> Column:
         )
         return F.when((exponent < -4) | (exponent >= 6), science).otherwise(plain)
 
-    sign = F.when(value.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    java = value.cast("string")
+    sign = F.when(java.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    # most values are printed right already, but for a trailing ".0"
+    easy = (F.abs(value) >= 1e-3) & (F.abs(value) < 1e6) & (F.length(java) < 17)
     return (
-        F.when(F.isnan(value), F.lit("NaN"))
+        F.when(easy, F.when(java.endswith(".0"), F.substring_index(java, ".", 1)).otherwise(java))
+        .when(F.isnan(value), F.lit("NaN"))
         .when(value == float("inf"), F.lit("+Inf"))
         .when(value == float("-inf"), F.lit("-Inf"))
         .when(value == 0, F.concat(sign, F.lit("0")))

@@ -36,6 +36,14 @@ class RuleSet:
         return broadcast_if(self.table, self.count)
 
 
+@dataclass(frozen=True)
+class NotifierSet:
+    """Validated notifiers as a table, with their names."""
+
+    table: DataFrame
+    names: tuple[str, ...]
+
+
 def _seconds(value) -> float:
     return duration_seconds(value) if isinstance(value, str) else float(value or 0)
 
@@ -80,12 +88,14 @@ def check_rule(rule: Mapping, notifier_names: set[str] | None, scoring: bool) ->
     return errors
 
 
-def load_notifiers(spark: SparkSession, notifiers: Iterable[Mapping]) -> DataFrame:
+def load_notifiers(spark: SparkSession, notifiers: Iterable[Mapping]) -> NotifierSet:
+    """Check notifier settings and turn them into a :class:`NotifierSet`."""
     notifiers = list(notifiers)
     errors = check_notifiers(notifiers)
     if errors:
         raise ValueError("; ".join(errors))
-    return spark.createDataFrame([(n["notifier"], n["type"]) for n in notifiers], NOTIFIERS)
+    table = spark.createDataFrame([(n["notifier"], n["type"]) for n in notifiers], NOTIFIERS)
+    return NotifierSet(table, tuple(n["notifier"] for n in notifiers))
 
 
 def load_rules(
@@ -228,8 +238,9 @@ def alert_states(evaluated: DataFrame, slice_s: int = SLICE_SECONDS) -> DataFram
     point began.  Both readings use the same shuffled rows.
     """
     keys = ["rule", "series_id"]
-    about = ["name", "value", "severity", "for_s", "notify"]
-    rows = with_slice(evaluated.select(*keys, "ts", "seq", "holds", *about), slice_s).withColumn("_us", F.unix_micros("ts"))
+    # both readings need the same columns and filters, or Spark would shuffle twice
+    needed = evaluated.select(*keys, "ts", "seq", "holds", "value", "for_s")
+    rows = with_slice(needed, slice_s).where(F.col("slice").isNotNull()).withColumn("_us", F.unix_micros("ts"))
     w = slice_window(keys, ["ts", "seq"])
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # "open": the slice begins with it, so it may continue an earlier run
@@ -244,7 +255,7 @@ def alert_states(evaluated: DataFrame, slice_s: int = SLICE_SECONDS) -> DataFram
     )
 
     ends = stepped.groupBy(*keys, "slice").agg(
-        F.max(F.struct("ts", "seq", "holds", "_us", *about)).alias("_end"),
+        F.max(F.struct("ts", "seq", "holds", "_us", "value", "for_s")).alias("_end"),
         F.max(F.when(~F.col("_begins.open"), F.col("_begins.us"))).alias("_inner"),
         F.max(F.when(F.col("_begins.open"), F.col("_begins.us"))).alias("_outer"),
     )
@@ -270,51 +281,52 @@ def alert_states(evaluated: DataFrame, slice_s: int = SLICE_SECONDS) -> DataFram
     was_us = F.when(first, F.col("_was_end_us")).otherwise(F.col("_was_us"))
     was_since = F.when(first, F.col("_carry")).otherwise(since("_was_run"))
     return stepped.join(openings, [*keys, "slice"]).select(
-        *keys, "ts", "seq", "name", "value", "severity", "notify", "holds",
+        *keys, "ts", "seq", "value", "holds",
         F.when(F.col("holds"), F.timestamp_micros(since("_run"))).alias("pending"),
         F.coalesce(F.col("holds") & (F.col("_us") - since("_run") >= wait), F.lit(False)).alias("firing"),
         F.coalesce(was & (was_us - was_since >= wait), F.lit(False)).alias("was_firing"),
     )
 
 
-def alert_events(evaluated: DataFrame, slice_s: int = SLICE_SECONDS) -> DataFrame:
+def _described(rows: DataFrame, rules: RuleSet) -> DataFrame:
+    """Metric, severity and notifiers of the row's rule, and the series' labels."""
+    about = broadcast_if(rules.table.select("rule", "metric", "severity", "notify"), rules.count)
+    return rows.join(about, "rule").withColumn("labels", labels_of(F.col("series_id")))
+
+
+def alert_events(evaluated: DataFrame, rules: RuleSet, slice_s: int = SLICE_SECONDS) -> DataFrame:
     """One row when an alert starts firing and one when it resolves.
 
     ``since`` is the start of the run for a firing event and the sample's own
     time for a resolved one.
     """
     turned = alert_states(evaluated, slice_s).where(F.col("firing") != F.col("was_firing"))
-    return turned.select(
-        "rule", F.col("name").alias("metric"), labels_of(F.col("series_id")).alias("labels"), "series_id",
-        "severity", "value", F.when(F.col("firing"), F.col("pending")).otherwise(F.col("ts")).alias("since"),
+    return _described(turned, rules).select(
+        "rule", "metric", "labels", "series_id", "severity", "value",
+        F.when(F.col("firing"), F.col("pending")).otherwise(F.col("ts")).alias("since"),
         F.col("ts").alias("at"), "firing", "notify",
     )
 
 
-def firing_alerts(evaluated: DataFrame, slice_s: int = SLICE_SECONDS) -> DataFrame:
+def firing_alerts(evaluated: DataFrame, rules: RuleSet, slice_s: int = SLICE_SECONDS) -> DataFrame:
     """Alerts firing after the last sample, longest-firing first."""
     now = alert_states(evaluated, slice_s).groupBy("rule", "series_id").agg(
-        F.max(F.struct("ts", "seq", "firing", "pending", "value", "name", "severity")).alias("s")
+        F.max(F.struct("ts", "seq", "firing", "pending", "value")).alias("s")
     )
     firing = now.where(F.col("s.firing")).select(
-        "rule", F.col("s.name").alias("metric"), labels_of(F.col("series_id")).alias("labels"), "series_id",
-        F.col("s.severity").alias("severity"), F.col("s.value").alias("value"),
-        F.col("s.pending").alias("since"), F.lit(True).alias("firing"),
+        "rule", "series_id", F.col("s.value").alias("value"), F.col("s.pending").alias("since"), F.lit(True).alias("firing")
     )
-    return firing.orderBy("since", "rule", "series_id")
+    return _described(firing, rules).select(
+        "rule", "metric", "labels", "series_id", "severity", "value", "since", "firing"
+    ).orderBy("since", "rule", "series_id")
 
 
-def route_alerts(events: DataFrame, notifiers: DataFrame, count: int | None = None) -> DataFrame:
+def route_alerts(events: DataFrame, notifiers: NotifierSet) -> DataFrame:
     """One row per (event, notifier): the named ones, or all when none is named.
 
-    Unknown names are skipped.  ``count`` is the number of notifiers, if known.
+    Unknown names are skipped.
     """
-    targets = broadcast_if(notifiers, count)
-    named = events.where(F.size("notify") > 0).withColumn("notifier", F.explode(F.array_distinct("notify")))
-    everyone = notifiers.groupBy().agg(F.sort_array(F.collect_set("notifier")).alias("_all"))
-    # one row of notifier names, itself a bounded piece of configuration
-    unnamed = (
-        events.where(F.size("notify") <= 0).join(F.broadcast(everyone))
-        .withColumn("notifier", F.explode("_all")).drop("_all")
-    )
-    return named.unionByName(unnamed).join(targets, "notifier")
+    everyone = F.array(*[F.lit(n) for n in notifiers.names]).cast("array<string>")
+    chosen = F.when(F.size("notify") > 0, F.array_distinct("notify")).otherwise(everyone)
+    sent = events.withColumn("notifier", F.explode(chosen))
+    return sent.join(broadcast_if(notifiers.table, len(notifiers.names)), "notifier")

@@ -27,15 +27,23 @@ ANY_TYPE_LINE = r"^#[ \t]+TYPE[ \t]"
 TYPES = ("counter", "gauge", "histogram", "summary", "untyped")
 
 
+_CUT = "\u0001"
+
+
+def _let(value: Column, then) -> Column:
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _lines(body: Column) -> Column:
-    return F.filter(
-        F.transform(F.split(body, "\n"), lambda x: F.regexp_replace(x, r"^[ \t]+|[ \t\r]+$", "")), lambda x: x != ""
-    )
+    return F.filter(F.transform(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: x != "")
 
 
-def _names_of_type(lines: Column, kind: str) -> Column:
-    typed = F.filter(lines, lambda x: F.regexp_extract(x, TYPE_LINE, 2) == kind)
-    return F.transform(typed, lambda x: F.regexp_extract(x, TYPE_LINE, 1))
+def _typed(lines: Column) -> Column:
+    """(name, type) of every type line; both empty when the line is malformed."""
+    return F.transform(
+        F.filter(lines, lambda x: x.startswith("#") & x.rlike(ANY_TYPE_LINE)),
+        lambda x: F.struct(F.regexp_extract(x, TYPE_LINE, 1).alias("name"), F.lower(F.regexp_extract(x, TYPE_LINE, 2)).alias("type")),
+    )
 
 
 def _label_keys(pairs: Column) -> Column:
@@ -46,40 +54,59 @@ def _repeats(array: Column) -> Column:
     return F.size(F.array_distinct(array)) < F.size(array)
 
 
-def _line_ok(line: Column) -> Column:
-    typed = line.rlike(TYPE_LINE) & F.lower(F.regexp_extract(line, TYPE_LINE, 2)).isin(*TYPES)
-    sample = line.rlike(SAMPLE_LINE) & ~_repeats(_label_keys(F.regexp_extract(line, SAMPLE_LINE, 2)))
-    return F.when(line.rlike(ANY_TYPE_LINE), typed).when(line.startswith("#"), F.lit(True)).otherwise(sample)
+def _cut_line(line: Column) -> Column:
+    """Name, label text, label names, value and stamp of a sample line.
+
+    One regular expression both checks and splits the line; a malformed line
+    has no value.
+    """
+    parts = F.split(F.regexp_replace(line, SAMPLE_LINE, f"$1{_CUT}$2{_CUT}$3{_CUT}$4"), _CUT)
+
+    def fields(p: Column) -> Column:
+        pairs = F.get(p, F.lit(1))
+        keys = F.when(F.length(pairs) > 2, _label_keys(pairs)).otherwise(F.array().cast("array<string>"))
+        return F.struct(
+            F.get(p, F.lit(0)).alias("name"), pairs.alias("pairs"), keys.alias("keys"),
+            F.get(p, F.lit(2)).alias("value"), F.get(p, F.lit(3)).alias("stamp"),
+        )
+
+    return _let(parts, fields)
 
 
 def checked_bodies(bodies: DataFrame) -> DataFrame:
-    """Bodies with their ``lines`` and whether the whole body can be taken (``ok``)."""
-    lined = bodies.withColumn("lines", _lines(F.coalesce("body", F.lit(""))))
-    typed = F.transform(
-        F.filter("lines", lambda x: x.rlike(TYPE_LINE)), lambda x: F.regexp_extract(x, TYPE_LINE, 1)
+    """Bodies with their cut ``samples``, their ``typed`` lines and whether the whole body can be taken (``ok``)."""
+    body = F.coalesce("body", F.lit(""))
+    cut = (
+        bodies.withColumn("_lines", _lines(body))
+        .withColumn("typed", _typed(F.col("_lines")))
+        .withColumn("samples", F.transform(F.filter("_lines", lambda x: ~x.startswith("#")), _cut_line))
+    )
+    ok = (
+        ((body == "") | body.endswith("\n"))
+        & F.forall("typed", lambda t: t["type"].isin(*TYPES))
+        & ~_repeats(F.transform("typed", lambda t: t["name"]))
+        & F.forall("samples", lambda s: s["value"].isNotNull() & ~_repeats(s["keys"]))
     )
-    ended = (F.coalesce("body", F.lit("")) == "") | F.col("body").endswith("\n")
-    ok = ended & ~_repeats(typed) & F.forall("lines", _line_ok)
     if "status" in bodies.columns:
         ok = ok & (F.col("status") == 200)
-    return lined.withColumn("ok", F.coalesce(ok, F.lit(False)))
+    return cut.withColumn("ok", F.coalesce(ok, F.lit(False))).drop("_lines")
 
 
 def exposition_rejects(bodies: DataFrame) -> DataFrame:
     """Scrapes whose body is invalid or whose status is not 200."""
-    return checked_bodies(bodies).where(~F.col("ok")).drop("lines", "ok")
+    return checked_bodies(bodies).where(~F.col("ok")).drop("samples", "typed", "ok")
 
 
 def _unescape(text: Column) -> Column:
     mark = "\u0000"
     out = F.replace(text, F.lit("\\\\"), F.lit(mark))
     out = F.replace(F.replace(out, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n"))
-    return F.replace(out, F.lit(mark), F.lit("\\"))
+    return F.when(text.contains("\\"), F.replace(out, F.lit(mark), F.lit("\\"))).otherwise(text)
 
 
-def _label_map(pairs: Column) -> Column:
+def _label_map(keys: Column, pairs: Column) -> Column:
     values = F.regexp_extract_all(pairs, F.lit(rf'{LABEL}\s*=\s*"([^"\\]*+(?:\\[\\"n][^"\\]*+)*+)"'), F.lit(1))
-    return F.map_from_arrays(_label_keys(pairs), F.transform(values, _unescape))
+    return F.when(F.size(keys) > 0, F.map_from_arrays(keys, F.transform(values, _unescape))).otherwise(empty_labels())
 
 
 def flatten_families(lines: DataFrame) -> DataFrame:
@@ -105,35 +132,36 @@ def parse_exposition(bodies: DataFrame) -> DataFrame:
     The time is the line's own millisecond stamp or the scrape time; target
     labels are merged under the line's own.
     """
-    good = checked_bodies(bodies).where("ok")
-    histograms, summaries = _names_of_type(F.col("lines"), "histogram"), _names_of_type(F.col("lines"), "summary")
-    typed = good.withColumn("_hist", histograms).withColumn("_summ", summaries)
-
-    def tagged(line: Column) -> Column:
-        name = F.regexp_extract(line, SAMPLE_LINE, 1)
-        base = F.regexp_replace(name, "_(bucket|count)$", "")
-        in_hist, in_summ = F.array_contains("_hist", base), F.array_contains("_summ", base)
+    def names(kind: str) -> Column:
+        return F.transform(F.filter("typed", lambda t: t["type"] == kind), lambda t: t["name"])
+
+    checked = checked_bodies(bodies).withColumn("_hist", names("histogram")).withColumn("_summ", names("summary"))
+
+    def tagged(s: Column) -> Column:
+        name = s["name"]
+        bucket_of = F.when(name.endswith("_bucket"), F.regexp_replace(name, "_bucket$", ""))
+        count_of = F.when(name.endswith("_count"), F.regexp_replace(name, "_count$", ""))
         part = (
-            F.when(name.endswith("_bucket") & in_hist, F.lit("bucket"))
-            .when(name.endswith("_count") & (in_hist | in_summ), F.lit("count"))
+            F.when(F.array_contains("_hist", bucket_of), F.lit("bucket"))
+            .when(F.array_contains("_hist", count_of) | F.array_contains("_summ", count_of), F.lit("count"))
             .when(F.array_contains("_summ", name), F.lit("quantile"))
             .otherwise(F.lit("plain"))
         )
-        return F.struct(line.alias("line"), part.alias("part"))
-
-    own = F.filter("lines", lambda x: ~x.startswith("#"))
-    rows = typed.select(
-        "target", "scrape_ts", F.coalesce("target_labels", empty_labels()).alias("target_labels"),
-        "interval_s", F.explode(F.transform(own, tagged)).alias("l"),
-    )
-    stamp = F.regexp_extract("l.line", SAMPLE_LINE, 4)
+        return F.struct(s.alias("s"), part.alias("part"))
+
+    # a rejected body explodes to nothing; filtering it away would check it twice
+    taken = F.when(F.col("ok"), F.transform("samples", tagged))
+    rows = checked.select(
+        "target", "scrape_ts", F.coalesce("target_labels", empty_labels()).alias("target_labels"), "interval_s",
+        F.explode(taken).alias("l"),
+    ).select("target", "scrape_ts", "target_labels", "interval_s", "l.part", "l.s.*")
+    own = _label_map(F.col("keys"), F.col("pairs"))
     parsed = rows.select(
-        "target", "interval_s", "target_labels", F.col("l.part").alias("part"),
-        F.regexp_extract("l.line", SAMPLE_LINE, 1).alias("name"),
-        _label_map(F.regexp_extract("l.line", SAMPLE_LINE, 2)).alias("own"),
-        F.regexp_extract("l.line", SAMPLE_LINE, 3).try_cast("double").alias("value"),
-        F.coalesce(F.timestamp_millis(F.when(stamp != "", stamp).try_cast("long")), F.col("scrape_ts")).alias("ts"),
-    ).withColumn("labels", merge_labels(F.col("target_labels"), F.col("own")))
-    # a summary line without a quantile label carries no reading
-    usable = (F.col("part") != "quantile") | F.map_contains_key("own", "quantile")
-    return flatten_families(parsed.where(usable)).select("target", "name", "labels", "ts", "value", "interval_s")
+        "target", "interval_s", "part", "name", own.alias("own"), "target_labels",
+        F.col("value").try_cast("double").alias("value"),
+        F.coalesce(F.timestamp_millis(F.when(F.col("stamp") != "", F.col("stamp")).try_cast("long")), F.col("scrape_ts")).alias("ts"),
+        # a summary line without a quantile label carries no reading
+        ((F.col("part") != "quantile") | F.array_contains("keys", "quantile")).alias("usable"),
+    ).where("usable")
+    merged = parsed.withColumn("labels", merge_labels(F.col("target_labels"), F.col("own")))
+    return flatten_families(merged).select("target", "name", "labels", "ts", "value", "interval_s")

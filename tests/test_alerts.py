@@ -14,7 +14,8 @@ HIGH = {"rule": "high", "metric": "cpu", "cond_type": "threshold", "operator": "
 
 
 def events(spark, rows, *rules, **kw):
-    ev = A.alert_events(A.evaluate_rules(samples(spark, rows), A.load_rules(spark, rules)), **kw)
+    loaded = A.load_rules(spark, rules)
+    ev = A.alert_events(A.evaluate_rules(samples(spark, rows), loaded), loaded, **kw)
     return [(r.rule, rel(r.at), r.firing, rel(r.since)) for r in ev.orderBy("rule", "at").collect()]
 
 
@@ -137,8 +138,8 @@ def test_streaming_equals_batch(spark, tmp_path):
 def test_firing_now(spark):
     rows = [("cpu", {"h": h}, t, v) for h, vs in (("a", (95, 96, 97)), ("b", (95, 96, 1)), ("c", (1, 95, 95)))
             for t, v in zip((0, 40, 80), vs)]
-    ev = A.evaluate_rules(samples(spark, rows), A.load_rules(spark, [HIGH]))
-    got = A.firing_alerts(ev).collect()
+    loaded = A.load_rules(spark, [HIGH])
+    got = A.firing_alerts(A.evaluate_rules(samples(spark, rows), loaded), loaded).collect()
     assert [(r.labels["h"], r.value, rel(r.since)) for r in got] == [("a", 97, 0), ("c", 95, 40)]
 
 
@@ -146,8 +147,9 @@ def test_routing_and_payloads(spark):
     note = A.load_notifiers(spark, [{"notifier": "hook", "type": "webhook"}, {"notifier": "chat", "type": "slack"}])
     rules = [{**HIGH, "for_s": 0}, {**HIGH, "rule": "named", "for_s": 0, "notify": ["chat", "gone"], "severity": "critical"}]
     rows = [("cpu", {"z": "1", "a": "x<y"}, 3661, 95.5), ("cpu", {"z": "1", "a": "x<y"}, 3662, 1)]
-    ev = A.alert_events(A.evaluate_rules(samples(spark, rows), A.load_rules(spark, rules)))
-    sent = alert_payloads(A.route_alerts(ev, note, 2)).collect()
+    loaded = A.load_rules(spark, rules)
+    ev = A.alert_events(A.evaluate_rules(samples(spark, rows), loaded), loaded)
+    sent = alert_payloads(A.route_alerts(ev, note)).collect()
     assert sorted((r.rule, r.notifier, r.firing) for r in sent) == [
         ("high", "chat", False), ("high", "chat", True), ("high", "hook", False), ("high", "hook", True),
         ("named", "chat", False), ("named", "chat", True)]

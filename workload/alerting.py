@@ -89,14 +89,14 @@ def states(spark, sf):
 
 @query("alert_events", EVENTS_SQL)
 def turned(spark, sf):
-    return alert_rows(A.alert_events(evaluated(spark, sf)))
+    return alert_rows(A.alert_events(evaluated(spark, sf), A.load_rules(spark, RULES)))
 
 
 @query("firing_alerts", f"""WITH {STATES} SELECT rule, name AS metric, series_id, severity, round(value, 6) AS value, pending AS since_us
 FROM s4 WHERE firing QUALIFY us = max(us) OVER (PARTITION BY rule, series_id)
   AND us = (SELECT max(us) FROM m WHERE m.rule = s4.rule AND m.series_id = s4.series_id)""")
 def firing(spark, sf):
-    out = A.firing_alerts(evaluated(spark, sf))
+    out = A.firing_alerts(evaluated(spark, sf), A.load_rules(spark, RULES))
     return out.select("rule", "metric", "series_id", "severity", r6("value"), micros("since"))
 
 
@@ -107,7 +107,7 @@ _ROUTED = STATES + """, rt AS (SELECT s4.*, n.notifier, n.type FROM s4
 
 def routed(spark, sf):
     note = A.load_notifiers(spark, NOTIFIERS)
-    return A.route_alerts(A.alert_events(evaluated(spark, sf)), note, len(NOTIFIERS))
+    return A.route_alerts(A.alert_events(evaluated(spark, sf), A.load_rules(spark, RULES)), note)
 
 
 @query("route_alerts", f"WITH {_ROUTED} SELECT rule, series_id, us AS at_us, firing, notifier, type FROM rt")
@@ -133,5 +133,5 @@ def payloads(spark, sf):
 
 @query("alert_labels", f"""WITH {STATES} SELECT rule, shard, count(*) AS events FROM s4 WHERE firing <> was_firing GROUP BY 1, 2""")
 def by_label(spark, sf):
-    ev = A.alert_events(evaluated(spark, sf))
+    ev = A.alert_events(evaluated(spark, sf), A.load_rules(spark, RULES))
     return ev.groupBy("rule", label(F.col("labels"), "shard").alias("shard")).agg(F.count(F.lit(1)).alias("events"))

@@ -10,6 +10,11 @@ from sparktide.sources.remote_write import decode_remote_write, encode_remote_wr
 from workload.inputs import EV, events, micros, query, shard, table
 
 
+def _spread(spark, sf):
+    """Events over all cores: captured text is many times the size of the row it is made from."""
+    return table(spark, sf, "events").repartition(spark.sparkContext.defaultParallelism, "event_id")
+
+
 def bodies(spark, sf):
     """One scrape per event: a counter, a gauge with its own stamp, a histogram and a summary.
 
@@ -25,7 +30,7 @@ def bodies(spark, sf):
         F.lit("\n# TYPE lag summary\nlag{quantile=\"0.50\"} "), F.col("value").cast("string"),
         F.lit("\nlag_sum 1.5\nlag_count 3\n"), F.when(F.col("value") > 100, F.lit("broken{ 1\n")).otherwise(F.lit("")),
     )
-    return table(spark, sf, "events").select(
+    return _spread(spark, sf).select(
         F.col("event_id").cast("string").alias("target"), F.col("ts").cast("timestamp").alias("scrape_ts"),
         F.create_map(F.lit("job"), F.lit("shop"), F.lit("type"), F.lit("target")).alias("target_labels"),
         F.lit(15.0).alias("interval_s"), text.alias("body"),
@@ -62,7 +67,7 @@ def rejects(spark, sf):
 def snapshot(spark, sf, file, *parts):
     """One captured file per event; ``parts`` are columns or literal text."""
     text = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    return table(spark, sf, "events").select(
+    return _spread(spark, sf).select(
         F.concat(F.lit("h"), F.col("event_id").cast("string")).alias("host"), F.lit(file).alias("file"),
         F.col("ts").cast("timestamp").alias("ts"), text.alias("content"),
         F.create_map(F.lit("zone"), F.col("event_type")).alias("labels"),
