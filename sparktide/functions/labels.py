@@ -14,7 +14,7 @@ def empty_labels() -> Column:
 
 def sorted_entries(labels: Column) -> Column:
     """Label pairs as an array of (key, value) structs in key order."""
-    return F.array_sort(F.map_entries(labels))
+    return F.sort_array(F.map_entries(labels))
 
 
 def _chain(text: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -53,12 +53,20 @@ def series_id(name: Column, labels: Column) -> Column:
     """Canonical ``name{k="v",...}`` text of a series, keys sorted.
 
     A MAP column cannot be ordered or used as a window key, so this string is
-    the key of every grouping, window and join over series.
+    the key of every grouping, window and join over series.  It is never null,
+    so joins on it add no filter that would build it a second time.
     """
+    name = F.coalesce(name, F.lit(""))
     pairs = F.transform(sorted_entries(labels), lambda e: F.concat(e["key"], F.lit("="), quoted(e["value"])))
     return F.concat(name, F.lit("{"), F.concat_ws(",", pairs), F.lit("}"))
 
 
+def series_id_from(name: Column, labels: Mapping[str, Column]) -> Column:
+    """The same id where the label keys are known beforehand: no map, no lambda, all compiled."""
+    pairs = [F.concat(F.lit(f"{key}="), quoted(labels[key])) for key in sorted(labels)]
+    return F.concat(F.coalesce(name, F.lit("")), F.lit("{"), F.concat_ws(",", *pairs) if pairs else F.lit(""), F.lit("}"))
+
+
 _ID_PAIR = r'([^",={}]+)="([^"\\]*+(?:\\.[^"\\]*+)*+)"'
 
 

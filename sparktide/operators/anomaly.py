@@ -113,22 +113,27 @@ def _fit(vectors: np.ndarray, max_rounds: int, early_stop: bool):
     centroid.  Once no vector changes sides further rounds change nothing, so
     stopping there equals running them all.
     """
-    first = vectors[0]
-    second = vectors[int(np.argmax(np.sqrt(((vectors - first) ** 2).sum(axis=1))))]
-    centres = [first.astype(float), second.astype(float)]
+    # one contiguous row per dimension keeps every step a few long vector operations
+    dims = np.ascontiguousarray(vectors.T, dtype=float)
+
+    def reach(centre: np.ndarray) -> np.ndarray:
+        gap = dims - centre[:, None]
+        return np.sqrt(np.multiply(gap, gap, out=gap).sum(axis=0))
+
+    centres = [dims[:, 0].copy(), None]
+    centres[1] = dims[:, int(np.argmax(reach(centres[0])))].copy()
     sides = None
     for _ in range(max_rounds):
-        near = np.sqrt(((vectors - centres[0]) ** 2).sum(axis=1))
-        far = np.sqrt(((vectors - centres[1]) ** 2).sum(axis=1))
-        now = near > far
-        if early_stop and sides is not None and np.array_equal(now, sides):
+        far = reach(centres[0]) > reach(centres[1])
+        if early_stop and sides is not None and np.array_equal(far, sides):
             break
-        sides = now
-        for side, members in enumerate((vectors[~now], vectors[now])):
-            if len(members):
-                centres[side] = members.mean(axis=0)
-    reach = sum(np.sqrt(((vectors - c) ** 2).sum(axis=1)) for c in centres) / 2
-    return centres[0], centres[1], float(reach.min()), float(reach.max())
+        sides = far
+        for side, members in enumerate((~far, far)):
+            count = np.count_nonzero(members)
+            if count:
+                centres[side] = dims @ members.astype(float) / count
+    mean_reach = (reach(centres[0]) + reach(centres[1])) / 2
+    return centres[0], centres[1], float(mean_reach.min()), float(mean_reach.max())
 
 
 def train_models(

@@ -76,7 +76,8 @@ def normalize_samples(df: DataFrame, *, with_day: bool = False) -> DataFrame:
     Needs ``name``, ``ts`` and ``value``.  ``labels`` defaults to none,
     ``interval_s`` to one second when missing or not positive, ``anomalous`` to
     false and ``seq`` (the arrival order) to the microsecond of ``ts``.  ``ts``
-    keeps its full precision, ``sec`` is the whole second stored tiers use.
+    keeps its full precision, ``sec`` is the whole second stored tiers use.  A
+    ``series_id`` the source already has is kept.
     """
     have = set(df.columns)
 
@@ -88,7 +89,7 @@ def normalize_samples(df: DataFrame, *, with_day: bool = False) -> DataFrame:
     out = df.select(
         "name",
         labels.alias("labels"),
-        series_id(F.col("name"), labels).alias("series_id"),
+        (F.col("series_id") if "series_id" in have else series_id(F.col("name"), labels)).alias("series_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("value").cast("double").alias("value"),
         F.when(interval > 0, interval).otherwise(F.lit(1.0)).cast("double").alias("interval_s"),

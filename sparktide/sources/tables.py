@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparktide.functions.labels import series_id_from
 from sparktide.schema import normalize_samples
 
 
@@ -30,13 +31,14 @@ def samples_from_table(
     def column(x):
         return F.col(x) if isinstance(x, str) else x
 
+    name = F.lit(name) if isinstance(name, str) else name
+    texts = {k: v.cast("string") for k, v in (labels or {}).items()}
     fields = [
-        (F.lit(name) if isinstance(name, str) else name).alias("name"),
-        column(ts).alias("ts"), column(value).alias("value"),
+        name.alias("name"), column(ts).alias("ts"), column(value).alias("value"),
+        series_id_from(name, texts).alias("series_id"),
     ]
-    if labels:
-        pairs = [x for k, v in labels.items() for x in (F.lit(k), v.cast("string"))]
-        fields.append(F.create_map(*pairs).alias("labels"))
+    if texts:
+        fields.append(F.create_map(*[x for k, v in texts.items() for x in (F.lit(k), v)]).alias("labels"))
     if seq is not None:
         fields.append(column(seq).alias("seq"))
     if interval_s is not None:

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from sparktide.functions.numbers import anomaly_score, mean_distance
 from sparktide.operators import anomaly as M
-from workload.inputs import EV, PT, events, micros, points, query, r6, utc
+from sparktide.operators.store import store_points
+from sparktide.sources.tables import samples_from_table
+from workload.inputs import EV, PT, events, micros, points, query, r6, table, utc
 
 _X = """fd AS (SELECT *, value - lag(value) OVER (PARTITION BY series_id ORDER BY sec) AS d FROM pt),
 fm AS (SELECT *, CASE WHEN count(d) OVER w = 3 THEN avg(d) OVER w END AS m FROM fd
@@ -60,6 +62,17 @@ def models_all_rounds(spark, sf):
         "series_id", micros("trained_at"), r6("min_dist"), r6("max_dist"))
 
 
+@query("train_models_suppliers")
+def models_by_supplier(spark, sf):
+    """One model per supplier from all its order lines: many series in one batch."""
+    rows = samples_from_table(
+        table(spark, sf, "lineitem"), name="extendedprice", ts="l_shipdate", value="l_extendedprice",
+        labels={"supplier": F.col("l_suppkey")}, seq=F.unix_micros(F.col("l_shipdate").cast("timestamp")),
+    )
+    out = M.train_models(store_points(rows), train_at=[utc(2002, 1, 1)], window_s=8 * 365 * 86400)
+    return out.select("series_id", micros("trained_at"), r6("min_dist"), r6("max_dist"))
+
+
 @query("score_trained")
 def scored(spark, sf):
     """Points judged by the trained models in force at their time."""
