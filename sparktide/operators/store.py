@@ -17,6 +17,7 @@ RETENTION_S = {"raw": 2 * 3600, "minute": 7 * 86400, "hour": 365 * 86400}
 TIER_INTERVAL_S = {"raw": 15, "minute": 60, "hour": 3600}
 
 ARRIVALS_PER_SLICE = 1_000_000
+MICROS_PER_SLICE = 6 * 3600 * 1_000_000
 
 
 def dedup_ordered(samples: DataFrame, arrivals_per_slice: int = ARRIVALS_PER_SLICE) -> DataFrame:
@@ -48,9 +49,9 @@ def dedup_ordered(samples: DataFrame, arrivals_per_slice: int = ARRIVALS_PER_SLI
     )
 
 
-def store_points(samples: DataFrame) -> DataFrame:
+def store_points(samples: DataFrame, arrivals_per_slice: int = ARRIVALS_PER_SLICE) -> DataFrame:
     """Raw-tier points: deduplicated, times cut to whole seconds."""
-    return dedup_ordered(samples).withColumn("ts", F.timestamp_seconds("sec"))
+    return dedup_ordered(samples, arrivals_per_slice).withColumn("ts", F.timestamp_seconds("sec"))
 
 
 def _chunk_seconds(interval_s: Column, retention_s: float) -> Column:

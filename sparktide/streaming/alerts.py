@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparktide.functions.labels import labels_of
-from sparktide.operators.alerts import RuleSet, alert_holds, match_rules
+from sparktide.operators.alerts import NotifierSet, RuleSet, alert_holds, match_rules, route_alerts
+from sparktide.sinks.fanout import fan_out
+from sparktide.sinks.text import alert_payloads
 
 _OUT = (
     "rule string, series_id string, name string, severity string, value double, since_us bigint, at timestamp, "
@@ -87,3 +89,24 @@ def stream_alerts(samples: DataFrame, rules: RuleSet) -> DataFrame:
         "rule", F.col("name").alias("metric"), labels_of(F.col("series_id")).alias("labels"), "series_id", "severity",
         "value", F.timestamp_micros("since_us").alias("since"), "at", "firing", "notify",
     )
+
+
+def notify(
+    notifiers: NotifierSet,
+    deliver: Mapping[str, Callable[[DataFrame, int], None]],
+    on_error: Callable[[str, int, Exception], None] | None = None,
+):
+    """A ``foreachBatch`` function over alert events that hands each notifier its payload rows.
+
+    ``deliver`` maps notifier names to the callables that send; one failing
+    notifier does not keep the others from theirs.
+    """
+    def only(name: str, send):
+        return lambda routed, batch_id: send(routed.where(F.col("notifier") == name), batch_id)
+
+    each = fan_out({name: only(name, send) for name, send in deliver.items()}, on_error)
+
+    def consume(events: DataFrame, batch_id: int) -> None:
+        each(alert_payloads(route_alerts(events, notifiers)), batch_id)
+
+    return consume

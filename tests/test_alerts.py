@@ -162,6 +162,23 @@ def test_routing_and_payloads(spark):
     assert json.loads(text["named", "chat", False]) == {"text": "✅ *RESOLVED* [critical] cpu{a=x<y,z=1} = 1"}
 
 
+def test_each_notifier_gets_its_rows(spark):
+    from sparktide.streaming.alerts import notify
+    note = A.load_notifiers(spark, [{"notifier": "hook", "type": "webhook"}, {"notifier": "chat", "type": "slack"}])
+    rules = A.load_rules(spark, [{**HIGH, "for_s": 0, "notify": ["chat"]}, {**HIGH, "rule": "all", "for_s": 0}])
+    ev = A.alert_events(A.evaluate_rules(samples(spark, [("cpu", {}, 0, 95)]), rules), rules)
+    sent, failed = {}, []
+
+    def chat(rows, batch_id):
+        sent["chat"] = sorted(r.rule for r in rows.collect())
+
+    def hook(rows, batch_id):
+        raise RuntimeError(f"{rows.count()} not sent")
+
+    notify(note, {"hook": hook, "chat": chat}, lambda n, i, e: failed.append((n, i, str(e))))(ev, 3)
+    assert sent == {"chat": ["all", "high"]} and failed == [("hook", 3, "1 not sent")]
+
+
 @pytest.mark.parametrize("change", [
     {"rule": ""}, {"metric": ""}, {"for_s": -1}, {"severity": "loud"}, {"cond_type": "magic"}, {"operator": "~"},
     {"cond_type": "rate_of_change", "window_s": 0}, {"notify": ["nobody"]},

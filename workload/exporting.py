@@ -12,7 +12,12 @@ from sparktide.sinks.text import render_exposition
 from sparktide.sources.delta_json import parse_delta_json
 from workload.inputs import EV, MI, PT, events, folder, from_events, micros, minutes, points, query, r6, table, utc
 
-_LAKE = ["node_id", "hostname", "metric_name", "labels_json", micros("ts"), r6("value"), "anomaly_bit"]
+
+
+def lake_columns():
+    return ["node_id", "hostname", "metric_name", "labels_json", micros("ts"), r6("value"), "anomaly_bit"]
+
+
 _SINCE = utc(2024, 1, 10)
 
 
@@ -20,7 +25,7 @@ _SINCE = utc(2024, 1, 10)
   '{{"shard":"' || shard || '"}}' AS labels_json, bucket_s * 1000000 AS ts_us, round(av, 6) AS value, false AS anomaly_bit
 FROM mi WHERE bucket_s > epoch(TIMESTAMP '2024-01-10') AND bucket_s <= epoch(TIMESTAMP '2024-01-20')""")
 def delta(spark, sf):
-    return delta_since(minutes(spark, sf), _SINCE, utc(2024, 1, 20), "n1", "host1").select(*_LAKE)
+    return delta_since(minutes(spark, sf), _SINCE, utc(2024, 1, 20), "n1", "host1").select(*lake_columns())
 
 
 @query("delta_watermark", f"WITH {MI} SELECT CAST(max(bucket_s) * 1000000 AS BIGINT) AS watermark_us FROM mi WHERE bucket_s > epoch(TIMESTAMP '2024-01-10')")
@@ -61,7 +66,7 @@ def _lake(spark, sf, times=1):
 @query("write_lake", f"""WITH {_NODES} SELECT node_id, 'host' || right(node_id, 1) AS hostname, name AS metric_name,
   '{{"shard":"' || shard || '"}}' AS labels_json, us AS ts_us, round(av, 6) AS value, false AS anomaly_bit FROM nr""")
 def lake(spark, sf):
-    return _lake(spark, sf).select(*_LAKE)
+    return _lake(spark, sf).select(*lake_columns())
 
 
 @query("federated_query", f"""WITH {_NODES} SELECT node_id, name AS metric_name, us AS ts_us, round(av, 6) AS value FROM nr

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sparktide.functions.numbers import anomaly_score, mean_distance
 from sparktide.operators import anomaly as M
-from sparktide.operators.store import store_points
+from sparktide.operators.store import MICROS_PER_SLICE, store_points
 from sparktide.sources.tables import samples_from_table
 from workload.inputs import EV, PT, events, micros, points, query, r6, table, utc
 
@@ -69,7 +69,7 @@ def models_by_supplier(spark, sf):
         table(spark, sf, "lineitem"), name="extendedprice", ts="l_shipdate", value="l_extendedprice",
         labels={"supplier": F.col("l_suppkey")}, seq=F.unix_micros(F.col("l_shipdate").cast("timestamp")),
     )
-    out = M.train_models(store_points(rows), train_at=[utc(2002, 1, 1)], window_s=8 * 365 * 86400)
+    out = M.train_models(store_points(rows, 365 * 4 * MICROS_PER_SLICE), train_at=[utc(2002, 1, 1)], window_s=8 * 365 * 86400)
     return out.select("series_id", micros("trained_at"), r6("min_dist"), r6("max_dist"))
 
 

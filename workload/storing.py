@@ -8,7 +8,12 @@ from sparktide.plans.tiers import query_range
 from sparktide.schema import union_sources
 from workload.inputs import EV, MI, PT, events, lineitem, micros, minutes, orders, points, query, r6, utc
 
-_BUCKETS = ["series_id", micros("bucket"), r6("min"), r6("avg"), r6("max")]
+
+
+def buckets():
+    return ["series_id", micros("bucket"), r6("min"), r6("avg"), r6("max")]
+
+
 _LI = """li AS (
   SELECT 'extendedprice{linestatus="' || l_linestatus || '",returnflag="' || l_returnflag || '"}' AS series_id,
          epoch_us(l_shipdate) // 1000000 AS sec, l_extendedprice AS value, l_orderkey * 8 + l_linenumber AS seq
@@ -41,17 +46,17 @@ def _rollup_sql(width, closed=False):
 
 @query("rollup_minute", _rollup_sql(60))
 def rollup_minute(spark, sf):
-    return rollup(events(spark, sf), 60).select(*_BUCKETS)
+    return rollup(events(spark, sf), 60).select(*buckets())
 
 
 @query("rollup_hour", _rollup_sql(3600))
 def rollup_hour(spark, sf):
-    return rollup(events(spark, sf), 3600).select(*_BUCKETS)
+    return rollup(events(spark, sf), 3600).select(*buckets())
 
 
 @query("rollup_closed", _rollup_sql(3600, closed=True))
 def rollup_closed(spark, sf):
-    return rollup(events(spark, sf), 3600, closed_only=True).select(*_BUCKETS)
+    return rollup(events(spark, sf), 3600, closed_only=True).select(*buckets())
 
 
 @query("rollup_hour_lineitem", f"""WITH {_LI}
@@ -73,7 +78,7 @@ def zipped(spark, sf):
     )
     from sparktide.functions.labels import series_id
     wide = zip_subseries(long)
-    return wide.withColumn("series_id", series_id(F.col("name"), F.col("labels"))).select(*_BUCKETS)
+    return wide.withColumn("series_id", series_id(F.col("name"), F.col("labels"))).select(*buckets())
 
 
 @query("dedup_ordered", f"""WITH {_LI} SELECT series_id, sec, value, seq FROM (
@@ -133,7 +138,7 @@ def range_raw(spark, sf):
   round(av, 6) AS avg, round(mx, 6) AS max FROM mi WHERE name = 'view' AND bucket_s * 1000000 {_SPAN}""")
 def range_minute(spark, sf):
     found = query_range({"minute": minutes(spark, sf)}, "view", {}, _FROM, _TO, "minute")
-    return found.select(*_BUCKETS)
+    return found.select(*buckets())
 
 
 @query("query_range_hour", f"""WITH {EV}, h AS (
@@ -143,4 +148,4 @@ SELECT series_id, bucket_us, round(mn, 6) AS min, round(av, 6) AS avg, round(mx,
 WHERE name = 'click' AND shard = '3' AND bucket_us {_SPAN}""")
 def range_hour(spark, sf):
     found = query_range({"hour": rollup(events(spark, sf), 3600)}, "click", "shard=3", _FROM, _TO, "hour")
-    return found.select(*_BUCKETS)
+    return found.select(*buckets())

@@ -18,9 +18,11 @@ from workload.scoring import _plain_models
 
 
 def event_stream(spark, sf):
+    """Event samples in micro-batches of bounded size, which also bounds what one series brings to a task."""
     schema = table(spark, sf, "events").schema
     # a file stream wants a folder or a pattern; this matches the table in either form
-    return from_events(spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*"))
+    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(1 << 30))
+    return from_events(stream.parquet(f"{sf}/events.parquet*"))
 
 
 def land(spark, rows, name):
