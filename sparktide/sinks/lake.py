@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparktide.operators.rollup import HOUR_S, MINUTE_S, bucket_parts, coarser_parts, rollup_of
+from sparktide.operators.store import store_points
+
 
 def write_lake(rows: DataFrame, path: str, *, mode: str = "append") -> None:
     """Append export rows under ``ts_day=/node_id=``.
@@ -31,3 +34,24 @@ def write_samples(samples: DataFrame, path: str, *, mode: str = "append") -> Non
     daily = samples.withColumn("ts_day", F.to_date("ts"))
     spread = daily.repartitionByRange("ts_day", "name", "series_id", "ts")
     spread.sortWithinPartitions("ts_day", "name", "series_id", "ts").write.mode(mode).partitionBy("ts_day").parquet(path)
+
+
+def build_tiers(samples: DataFrame, path: str, *, mode: str = "append") -> dict[str, DataFrame]:
+    """Write the raw, minute and hour tiers of a stretch of samples and return their tables.
+
+    Minute buckets are written with their sums and counts, and the hours are
+    made from those, so the samples are read for the raw and the minute tier
+    only.  Append whole hours per call; the newest bucket of a series is closed
+    by the samples of the next call.
+    """
+    spark = samples.sparkSession
+    write_samples(store_points(samples), f"{path}/raw", mode=mode)
+    parts = bucket_parts(samples, MINUTE_S).withColumn("ts_day", F.to_date(F.timestamp_seconds("start")))
+    parts.hint("rebalance", "ts_day").write.mode(mode).partitionBy("ts_day").parquet(f"{path}/minute")
+    minutes = spark.read.parquet(f"{path}/minute")
+    hours = coarser_parts(minutes, HOUR_S).withColumn("ts_day", F.to_date(F.timestamp_seconds("start")))
+    hours.hint("rebalance", "ts_day").write.mode("overwrite").partitionBy("ts_day").parquet(f"{path}/hour")
+    return {
+        "raw": spark.read.parquet(f"{path}/raw"), "minute": rollup_of(minutes),
+        "hour": rollup_of(spark.read.parquet(f"{path}/hour")),
+    }

@@ -160,3 +160,24 @@ def test_sizing(spark):
 def test_union(spark):
     a = samples(spark, [("cpu", CPU, 0, 1)])
     assert union_sources(a, samples(spark, [("mem", {}, 0, 2)]).drop("anomalous")).count() == 2
+
+
+def test_hours_from_minutes(spark):
+    from sparktide.operators.rollup import bucket_parts, coarser_parts, rollup_of
+    rng = random.Random(1)
+    s = samples(spark, [("cpu", {"h": h}, rng.randint(0, 20_000), rng.random()) for h in "ab" for _ in range(300)] + [("cpu", CPU, 0, float("nan"))])
+    def key(rows):
+        return sorted((r.series_id, r.bucket, repr(r.min), repr(r.max), f"{r.avg:.9f}") for r in rows.collect())
+    assert key(rollup_of(coarser_parts(bucket_parts(s, 60), 3600))) == key(rollup(s, 3600))
+
+
+def test_no_window_holds_a_whole_hot_series(spark):
+    from sparktide.plans.slices import with_rows_before, with_time_before
+    rows = spark.range(50_000).select(
+        F.lit("hot").alias("series_id"), F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("ts"), F.col("id").cast("double").alias("value"))
+    near = with_rows_before(rows, ["series_id"], ["ts"], ["value"], 8, 3600)
+    assert near.groupBy("series_id", "slice").count().agg(F.max("count")).first()[0] <= 3600 + 8
+    assert near.where("is_context").groupBy("slice").count().agg(F.max("count")).first()[0] == 8
+    back = with_time_before(rows, 300, 3600)
+    assert back.groupBy("series_id", "slice").count().agg(F.max("count")).first()[0] <= 3600 + 301
+    assert near.where("NOT is_context").count() == back.where("NOT is_context").count() == 50_000

@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from sparktide.operators.rollup import rollup, zip_subseries
+from sparktide.operators.rollup import bucket_parts, coarser_parts, rollup, rollup_of, zip_subseries
 from sparktide.operators.store import dedup_ordered, retention, ring_retention, sizing_report
 from sparktide.plans.tiers import query_range
 from sparktide.schema import union_sources
-from workload.inputs import EV, MI, PT, events, lineitem, micros, minutes, orders, points, query, r6, utc
+from sparktide.sinks.lake import build_tiers
+from workload.inputs import EV, MI, PT, events, folder, lineitem, micros, minutes, orders, points, query, r6, utc
 
 
 
@@ -59,6 +60,29 @@ def rollup_closed(spark, sf):
     return rollup(events(spark, sf), 3600, closed_only=True).select(*buckets())
 
 
+@query("rollup_hour_from_minutes", _rollup_sql(3600))
+def rollup_from_minutes(spark, sf):
+    """Hours made from minute sums and counts instead of the samples."""
+    return rollup_of(coarser_parts(bucket_parts(events(spark, sf), 60), 3600)).select(*buckets())
+
+
+@query("build_tiers", f"""WITH {EV}, t AS (
+  SELECT 'minute' AS tier, series_id, (sec - sec % 60) * 1000000 AS us, value FROM ev
+  UNION ALL SELECT 'hour', series_id, (sec - sec % 3600) * 1000000, value FROM ev)
+SELECT tier, series_id, us AS bucket_us, round(min(value), 6) AS min, round(avg(value), 6) AS avg, round(max(value), 6) AS max
+FROM t WHERE us BETWEEN epoch_us(TIMESTAMP '2024-01-10') AND epoch_us(TIMESTAMP '2024-01-12') AND series_id LIKE 'click%'
+GROUP BY tier, series_id, us""")
+def tiers(spark, sf):
+    """All tiers written as tables and two of them queried."""
+    made = build_tiers(events(spark, sf), folder(spark, "tiers"), mode="overwrite")
+    start, end = utc(2024, 1, 10), utc(2024, 1, 12)
+    found = [
+        query_range(made, "click", None, start, end, tier, ordered=False).select(F.lit(tier).alias("tier"), *buckets())
+        for tier in ("minute", "hour")
+    ]
+    return found[0].unionByName(found[1])
+
+
 @query("rollup_hour_lineitem", f"""WITH {_LI}
 SELECT series_id, (sec - sec % 3600) * 1000000 AS bucket_us, min(value) AS min, round(avg(value) + 1e-7::DOUBLE, 6) AS avg,
        max(value) AS max FROM li GROUP BY series_id, sec - sec % 3600""")
