@@ -34,19 +34,21 @@ def stream_dedup(samples: DataFrame) -> DataFrame:
     State per series is one number.  Within a micro-batch arrival order is
     ``seq``.  Labels are rebuilt from the series id.
     """
-    columns = ["name", "ts", "value", "interval_s", "anomalous", "seq", "sec"]
-    fields = {f.name: f.dataType.simpleString() for f in samples.schema}
-    out = "series_id string, " + ", ".join(f"{c} {fields[c]}" for c in columns)
+    columns = ["name", "us", "value", "interval_s", "anomalous", "seq", "sec"]
+    out = (
+        "series_id string, name string, us bigint, value double, interval_s double, anomalous boolean, seq bigint, sec bigint"
+    )
 
     def keep(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["seq", "ts", "value"], kind="stable")
+        rows = pd.concat(list(batches)).sort_values(["seq", "us", "value"], kind="stable")
         sec = rows["sec"].to_numpy()
         seen = state.get[0] if state.exists else np.iinfo(np.int64).min
         before = np.maximum.accumulate(np.concatenate([[seen], sec]))[:-1]
         state.update((int(max(seen, sec.max())),))
         yield rows[sec > before].assign(series_id=key[0])[["series_id", *columns]]
 
-    kept = samples.select("series_id", *columns).groupBy("series_id").applyInPandasWithState(
+    kept = samples.withColumn("us", F.unix_micros("ts")).select("series_id", *columns).groupBy("series_id").applyInPandasWithState(
         keep, out, "seen bigint", "append", GroupStateTimeout.NoTimeout
     )
-    return kept.withColumn("labels", labels_of(F.col("series_id")))
+    # rebuilding ts is also the projection a sort-merge join needs on top of Python state output
+    return kept.withColumn("ts", F.timestamp_micros("us")).drop("us").withColumn("labels", labels_of(F.col("series_id")))

@@ -25,11 +25,11 @@ def stream_features(samples: DataFrame, diff_n: int = DIFF_N, smooth_n: int = SM
     State per series is the last few raw values, nothing more.
     """
     need = values_needed(diff_n, smooth_n, lag_n)
-    columns = ["name", "ts", "value", "interval_s", "seq"]
-    out = "series_id string, name string, ts timestamp, value double, interval_s double, seq bigint, x array<double>"
+    columns = ["name", "us", "value", "interval_s", "seq"]
+    out = "series_id string, name string, us bigint, value double, interval_s double, seq bigint, x array<double>"
 
     def extend(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["seq", "ts"], kind="stable")
+        rows = pd.concat(list(batches)).sort_values(["seq", "us"], kind="stable")
         held = np.array(state.get[0] if state.exists else [], dtype=float)
         values = np.concatenate([held, rows["value"].to_numpy(dtype=float)])
         vectors = feature_windows(values, diff_n, smooth_n, lag_n)
@@ -40,9 +40,12 @@ def stream_features(samples: DataFrame, diff_n: int = DIFF_N, smooth_n: int = SM
         state.update((values[-(need - 1):].tolist(),))
         yield rows.assign(series_id=key[0], x=x[len(held):])[["series_id", *columns, "x"]]
 
-    return samples.select("series_id", *columns).groupBy("series_id").applyInPandasWithState(
+    named = samples.select("series_id", "name", F.unix_micros("ts").alias("us"), "value", "interval_s", "seq")
+    rows = named.groupBy("series_id").applyInPandasWithState(
         extend, out, "held array<double>", "append", GroupStateTimeout.NoTimeout
     )
+    # rebuilding ts is also the projection a sort-merge join needs on top of Python state output
+    return rows.withColumn("ts", F.timestamp_micros("us")).drop("us")
 
 
 def ensemble_now(models: DataFrame, model_count: int = MODEL_COUNT) -> DataFrame:
