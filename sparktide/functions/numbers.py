@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparktide.functions.binding import let
+
 # The comparison operators rules may use.
 OPERATORS = (">", "<", ">=", "<=", "==", "!=")
 
@@ -31,11 +33,6 @@ def clip_pct(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))
 
 
-def _let(value: Column, then) -> Column:
-    """Bind a value once inside an expression (a column used twice is expanded twice)."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def format_float(value: Column) -> Column:
     """Shortest text of a double: plain below 1e6, else ``d.ddde+XX``.
 
@@ -86,7 +83,7 @@ def format_float(value: Column) -> Column:
         .when(value == float("inf"), F.lit("+Inf"))
         .when(value == float("-inf"), F.lit("-Inf"))
         .when(value == 0, F.concat(sign, F.lit("0")))
-        .when(value.isNotNull(), F.concat(sign, _let(_let(shortest(F.abs(value)), split), written)))
+        .when(value.isNotNull(), F.concat(sign, let(let(shortest(F.abs(value)), split), written)))
     )
 
 

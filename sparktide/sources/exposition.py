@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparktide.functions.binding import let
 from sparktide.functions.labels import empty_labels, merge_labels, with_label
 from sparktide.functions.numbers import format_bound
 
@@ -26,14 +27,9 @@ TYPE_LINE = rf"^#[ \t]+TYPE[ \t]+({NAME})[ \t]+(\w+)[ \t]*$"
 ANY_TYPE_LINE = r"^#[ \t]+TYPE[ \t]"
 TYPES = ("counter", "gauge", "histogram", "summary", "untyped")
 
-
 _CUT = "\u0001"
 
 
-def _let(value: Column, then) -> Column:
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def _lines(body: Column) -> Column:
     return F.filter(F.transform(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: x != "")
 
@@ -61,6 +57,9 @@ def _cut_line(line: Column) -> Column:
     has no value.
     """
     parts = F.split(F.regexp_replace(line, SAMPLE_LINE, f"$1{_CUT}$2{_CUT}$3{_CUT}$4"), _CUT)
+    # a line that has the cut mark in it already is taken apart group by group
+    groups = F.when(line.rlike(SAMPLE_LINE), F.array(*[F.regexp_extract(line, SAMPLE_LINE, i) for i in range(1, 5)]))
+    parts = F.when(line.contains(_CUT), groups).otherwise(parts)
 
     def fields(p: Column) -> Column:
         pairs = F.get(p, F.lit(1))
@@ -70,7 +69,7 @@ def _cut_line(line: Column) -> Column:
             F.get(p, F.lit(2)).alias("value"), F.get(p, F.lit(3)).alias("stamp"),
         )
 
-    return _let(parts, fields)
+    return let(parts, fields)
 
 
 def checked_bodies(bodies: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import at, rel, samples
+from helpers import rel, samples
 from sparktide.operators import derive as D
 
 

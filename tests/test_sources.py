@@ -68,6 +68,12 @@ def test_lines(spark):
     assert rows["h_other"].labels["le"] == "0.50"
 
 
+def test_cut_marks_inside_lines(spark):
+    df = bodies(spark, 'a{x="p\u0001q"} 1\n', "a\u0001b\u00011\u0001\n")
+    assert [(r.target, r.labels["x"]) for r in X.parse_exposition(df).collect()] == [("0", "p\u0001q")]
+    assert [r.target for r in X.exposition_rejects(df).collect()] == ["1"]
+
+
 @pytest.mark.parametrize("broken", [
     "ok 1\nbad\n", "a 1 2 3\n", 'a{x="1} 2\n', 'a{x="1" y="2"} 2\n', "a{x='1'} 2\n", 'a{x="\\q"} 2\n', "0a 1\n", "a one\n",
     "# TYPE a wrong\na 1\n", "# TYPE a\n", "# TYPE a gauge\n# TYPE a gauge\na 1\n", 'a{x="1",x="2"} 2\n', "a 1",
