@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from sparktide.llm.contamination import contamination
 from sparktide.llm.packing import pack
+from sparktide.llm.shingle_join import near_duplicates
+from sparktide.llm.substring import repeated_words
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -21,6 +23,27 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = repeated_words(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP2 = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words WHERE len(w) >= 13),
+windows AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS seq FROM starts),
+firsts AS (SELECT seq, min(doc_id) AS least FROM windows GROUP BY 1),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM windows JOIN firsts USING (seq) WHERE least < doc_id),
+each AS (SELECT doc_id, k, w[k] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM words)),
+kept AS (
+  SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.k) AS text, count(*) AS n
+  FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.k = g.k GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM words LEFT JOIN kept k USING (doc_id)
+"""
+
+
 def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.select(
@@ -57,11 +80,41 @@ def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"), tokenizer_path())
 
 
+def op10_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "documents"))
+
+
+OP10 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE c / CAST(x.n + y.n - c AS DOUBLE) >= 0.8),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM words UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+lowest AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1),
+classes AS (
+  SELECT w, min(doc_id) AS class_id, count(*) AS copies FROM words WHERE len(w) > 0 GROUP BY 1)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, CAST(coalesce(copies, 1) AS BIGINT) AS copies,
+       CAST((SELECT count(*) FROM links WHERE links.a = d.doc_id) AS BIGINT) AS n_links, component_id, component_id = d.doc_id AS kept
+FROM words d LEFT JOIN classes USING (w) JOIN lowest l ON l.doc_id = d.doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op6_decontamination": op6_decontamination,
     "op9_packing": op9_packing,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 SQL: dict[str, str] = {
+    "op2_substring_dedup": OP2,
     "op6_decontamination": OP6,
+    "op10_ngram_join": OP10,
 }
