@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktide.llm.contamination import contamination
+from sparktide.llm.labelled import remainder
 from sparktide.llm.packing import pack
 from sparktide.llm.shingle_join import near_duplicates
 from sparktide.llm.substring import repeated_words
+from sparktide.llm.toxicity import score_toxicity, toxicity_model
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -44,6 +46,13 @@ FROM words LEFT JOIN kept k USING (doc_id)
 """
 
 
+def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity_model(docs, table(spark, sf, "labels"))
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.select(
@@ -108,6 +117,7 @@ FROM words d LEFT JOIN classes USING (w) JOIN lowest l ON l.doc_id = d.doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_toxicity": op3_toxicity,
     "op6_decontamination": op6_decontamination,
     "op9_packing": op9_packing,
     "op10_ngram_join": op10_ngram_join,
