@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from sparktide.llm.contamination import contamination
 from sparktide.llm.labelled import remainder
+from sparktide.llm.language import identify, language_model
 from sparktide.llm.packing import pack
+from sparktide.llm.quality import quality_model, score_quality
 from sparktide.llm.shingle_join import near_duplicates
 from sparktide.llm.substring import repeated_words
 from sparktide.llm.toxicity import score_toxicity, toxicity_model
@@ -53,6 +55,18 @@ def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = score_quality(docs, quality_model(docs, table(spark, sf, "labels")))
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    found = identify(docs.select("doc_id", "text"), language_model(docs))
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.select(
@@ -118,7 +132,9 @@ FROM words d LEFT JOIN classes USING (w) JOIN lowest l ON l.doc_id = d.doc_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_quality": op4_quality,
     "op6_decontamination": op6_decontamination,
+    "op8_language": op8_language,
     "op9_packing": op9_packing,
     "op10_ngram_join": op10_ngram_join,
 }
