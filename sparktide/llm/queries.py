@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktide.llm.contamination import contamination
+from sparktide.llm.html import extract_text
 from sparktide.llm.labelled import remainder
 from sparktide.llm.language import identify, language_model
 from sparktide.llm.packing import pack
@@ -61,6 +62,10 @@ def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return extract_text(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     found = identify(docs.select("doc_id", "text"), language_model(docs))
@@ -133,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
+    "op5_html_text": op5_html_text,
     "op6_decontamination": op6_decontamination,
     "op8_language": op8_language,
     "op9_packing": op9_packing,
