@@ -78,6 +78,10 @@ LABELLED = """
 8 0.0 0 0.0 30 0.0 0 1 1
 7 0.0 1 1.0 55 0.0 0 1 1
 10 0.0 50 0.0 0 0.0 0 1 1
+3 0.0 2 1.0 40 0.0 0 1 1
+2 0.0 1 1.0 1 0.0 0 1 1
+4 0.0 3 1.0 3 1.0 0 1 1
+6 1.0 30 0.0 25 0.0 0 1 1
 4 0.0 40 0.0 1 1.0 0 1 1
 2 0.0 30 0.0 2 1.0 0 1 1
 15 0.0 60 0.0 3 1.0 0 1 1
