@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktide.llm.contamination import contamination
+from sparktide.llm.embeddings import near_vectors
 from sparktide.llm.html import extract_text
 from sparktide.llm.labelled import remainder
 from sparktide.llm.language import identify, language_model
@@ -28,6 +29,26 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return near_vectors(table(spark, sf, "embeddings"))
+
+
+OP1 = """
+WITH RECURSIVE fine AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+lowest AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1),
+numbers AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, component_id = e.vec_id AS kept
+FROM embeddings e JOIN lowest USING (vec_id) LEFT JOIN numbers USING (vec_id)
+"""
+
+
 def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = repeated_words(table(spark, sf, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -135,6 +156,7 @@ FROM words d LEFT JOIN classes USING (w) JOIN lowest l ON l.doc_id = d.doc_id
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_vectors": op1_near_vectors,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
@@ -146,6 +168,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_near_vectors": OP1,
     "op2_substring_dedup": OP2,
     "op6_decontamination": OP6,
     "op10_ngram_join": OP10,
