@@ -12,6 +12,7 @@ from sparktide.llm.embeddings import near_vectors
 from sparktide.llm.html import extract_text
 from sparktide.llm.labelled import remainder
 from sparktide.llm.language import identify, language_model
+from sparktide.llm.licenses import scan_licenses
 from sparktide.llm.packing import pack
 from sparktide.llm.quality import quality_model, score_quality
 from sparktide.llm.shingle_join import near_duplicates
@@ -87,6 +88,12 @@ def op5_html_text(spark: SparkSession, sf: str) -> DataFrame:
     return extract_text(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op7_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf, "documents"))
+    first = F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"].cast("string"), m["end"].cast("string"), F.size(m["differences"]).cast("string")))
+    return found.select("doc_id", "n_candidates", F.size("matches").cast("long").alias("n_matches"), F.array_join("licenses", ",").alias("licenses"), F.array_join(first, ",").alias("matches"))
+
+
 def op8_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     found = identify(docs.select("doc_id", "text"), language_model(docs))
@@ -162,6 +169,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_html_text": op5_html_text,
     "op6_decontamination": op6_decontamination,
+    "op7_license_scan": op7_license_scan,
     "op8_language": op8_language,
     "op9_packing": op9_packing,
     "op10_ngram_join": op10_ngram_join,
