@@ -1,8 +1,8 @@
 """Quality: learned vectors of hashed word and character n-grams, averaged over a document, with a softmax on top.
 
 Trained by stochastic gradient descent in numpy on a bounded sample.  Both layers are linear, so for scoring they fold
-into one number for each n-gram.  A word that repeats the one before it is written as a repeat mark, so that a loop of
-one word looks alike for all words.
+into one number for each n-gram.  A word that repeats the one before it is written as a repeat mark, and so is each of
+its characters, so that a loop of one word looks alike for all words.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ LENGTHS = (2, 3)
 SLICE = 1 << 20
 
 _word = Family(41)
-REPEAT = np.uint64(0x51ED270B)
+REPEAT, REPEAT_SIGN = np.uint64(0x51ED270B), np.uint32(0xE000)
 
 
 def features(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -44,6 +44,10 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
     pair = np.flatnonzero(row[1:] == row[:-1])
     yield (((word[pair] * np.uint64(0xC2B2AE3D27D4EB4F) + word[pair + 1]) * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64), np.searchsorted(row[pair], np.arange(rows + 1))
     points, at = code_points(raw, offsets)
+    inner = np.zeros(len(raw) + 1, np.int8)
+    inner[start[same]] += 1
+    inner[end[same]] -= 1
+    points = np.where(np.cumsum(inner[:-1])[(raw & 0xC0) != 0x80] > 0, REPEAT_SIGN, points)
     for n in LENGTHS:
         hashes = grams(points, n, BITS)
         inside = np.ones(len(hashes), bool)
