@@ -161,8 +161,12 @@ def forest_of(near: np.ndarray, nodes: np.ndarray) -> np.ndarray:
 
 def _compare(threshold: float):
     def run(table: pa.Table) -> pa.Table:
+        raw = table.column("shingles").to_pylist()
         group, tile, node, copies = (table.column(c).to_numpy() for c in ("component", "tile", "node", "copies"))
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        order = sorted(range(len(raw)), key=lambda k: (node[k], raw[k], copies[k]))
+        order = [k for k, before in zip(order, [-1, *order], strict=False) if before < 0 or node[k] != node[before]]  # a repeated row counts once
+        group, tile, node, copies = group[order], tile[order], node[order], copies[order]
+        sets = [np.frombuffer(raw[k], np.uint64) for k in order]
         cross = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
         out: list[np.ndarray] = []
         for g in np.unique(group):
