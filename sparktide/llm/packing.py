@@ -28,6 +28,9 @@ CACHED_PIECES = 500_000
 #: Bytes of text that are split at a time.
 SLICE = 1 << 20
 
+#: Partitions of the first pass up to which their offsets are broadcast; beyond, they are joined by a shuffle.
+MOST_PARTS = 1_000_000
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
@@ -215,6 +218,8 @@ def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text"
     # one row per partition of the first pass
     before = F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = totals.select("part", before.alias("base"))
+    if totals.count() <= MOST_PARTS:
+        bases = F.broadcast(bases)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
