@@ -91,8 +91,13 @@ _scanners: dict[str, Scanner] = {}
 
 
 def scan(docs: DataFrame, items: list[tuple[str, str | None]], size: int, text: str = "text") -> DataFrame:
-    """docs with n_words, words (numbers of those hit), items, spans, found by one automaton."""
+    """docs with n_words, words (numbers of those hit), items, spans, found by one automaton.
+
+    If docs went through another scan, what is found is added to that.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(items)
+    again = docs.columns[-4:] == ["n_words", "words", "items", "spans"]
+    own = len(docs.columns) - 4 * again
     where, key = docs.columns.index(text), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,15 +110,18 @@ def scan(docs: DataFrame, items: list[tuple[str, str | None]], size: int, text:
                 some = batch.slice(a, 500)
                 texts = some.column(where).to_pylist()
                 made = [find(normal(t)) for t in texts]
+                if again:
+                    before = zip(made, some.column(own + 1).to_pylist(), some.column(own + 2).to_pylist(), strict=True)
+                    made = [(n, sorted({*hit, *words}), who.union(known)) for (n, hit, who), words, known in before]
                 spans = [_places(t, m[1]) if m[1] else [] for t, m in zip(texts, made, strict=True)]
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
                 more = [
                     pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.list_(pa.int32())),
                     pa.array([sorted(m[2]) for m in made], pa.list_(pa.string())), pa.array(spans, kind),
                 ]
-                yield pa.RecordBatch.from_arrays([*some.columns, *more], names=[*some.schema.names, "n_words", "words", "items", "spans"])
+                yield pa.RecordBatch.from_arrays([*some.columns[:own], *more], names=[*some.schema.names[:own], "n_words", "words", "items", "spans"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *T.StructType.fromDDL(FOUND).fields]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:own], *T.StructType.fromDDL(FOUND).fields]))
 
 
 def item_groups(benchmark: DataFrame, item: str, text: str, limit: int) -> list[list[tuple[str, str | None]]]:
@@ -138,18 +146,9 @@ def contamination(
     rows clean.  Repeated rows are judged each on its own.  Columns that are neither named nor carried are ignored.
     """
     rows = docs.select(*dict.fromkeys([id, text, *carry]))
-    groups = item_groups(benchmark, item, item_text, item_bytes)
-    if len(groups) == 1:
-        found = scan(rows, groups[0], size, text)
-    else:  # one automaton after the other over the same rows; what they find is joined within the row
-        found = scan(rows, groups[0], size, text)
-        for group in groups[1:]:
-            old = found.columns
-            kept = found.select(*rows.columns, *(F.col(c).alias(f"_{c}") for c in ("words", "items", "spans")))
-            found = scan(kept, group, size, text).select(
-                *rows.columns, "n_words", F.array_sort(F.array_union("words", "_words")).alias("words"),
-                F.array_sort(F.array_union("items", "_items")).alias("items"), F.array_sort(F.array_union("spans", "_spans")).alias("spans"),
-            ).select(*old)
+    found = rows
+    for group in item_groups(benchmark, item, item_text, item_bytes):
+        found = scan(found, group, size, text)
     hits = F.size("words").cast("long")
     return found.select(
         *rows.columns, "n_words", hits.alias("n_hit"), "items", "spans",
