@@ -36,7 +36,7 @@ def as_docs(spark, rows):
     return spark.createDataFrame([(i, t, "extra", 1) for i, t in rows], "doc_id long, text string, n_words string, keys int")
 
 
-@pytest.mark.parametrize("batch,bucket", [(6_000_000, 24_000_000), (400, 900)])
+@pytest.mark.parametrize("batch,bucket", [(4_000_000, 24_000_000), (400, 900)])
 def test_passages_against_plain(spark, monkeypatch, batch, bucket):
     monkeypatch.setattr(substring, "BATCH_BYTES", batch)
     monkeypatch.setattr(substring, "BUCKET_BYTES", bucket)
