@@ -17,10 +17,20 @@ from sparktide.llm.toxicity import score_toxicity, toxicity_model
 TOXIC = 0.7
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """doc_id and text with all other columns in one, so that no name clashes with those an operator adds."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*rest, F.lit(0).alias("_end")).alias("_rest"))
+
+
+def unwrapped(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.select(*(F.col(c) if c in ("doc_id", "text") else F.col("_rest")[c].alias(c) for c in columns))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject; it learns from the labelled ones among docs that may be learned from."""
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model).where(F.col("score") < TOXIC).select(*docs.columns)
+    return unwrapped(score_toxicity(wrapped(docs), model).where(F.col("score") < TOXIC), docs.columns)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,19 +41,18 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, those with passages that a smaller id has too without these, their words joined by one blank."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = repeated_words(docs, carry=carry)
+    found = repeated_words(wrapped(docs), carry=("_rest",))
     changed = F.col("n_removed") > 0
-    new = found.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text")))
+    new = unwrapped(found.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text"))).withColumn("_rest", F.col("_rest").withField("_changed", changed)), [*docs.columns, "_changed"])
     if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        new = new.withColumn("n_chars", F.when(F.col("_changed"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return new.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    return contamination(docs, table(spark, sf_dir, "benchmark"), carry=carry).where(~F.col("contaminated")).select(*docs.columns)
+    found = contamination(wrapped(docs), table(spark, sf_dir, "benchmark"), carry=("_rest",))
+    return unwrapped(found.where(~F.col("contaminated")), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
