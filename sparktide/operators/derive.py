@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktide.functions.labels import label
+from sparktide.functions.labels import label, labels_of
 from sparktide.functions.numbers import clip_pct
 from sparktide.plans.slices import SLICE_SECONDS, slice_window, with_rows_before
 
@@ -78,21 +78,37 @@ def _used(total: Column, spare: Column) -> Column:
     return clip_pct(100 * (1 - share))
 
 
-def used_percent(total: DataFrame, spare: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def _label_text() -> Column:
+    """What a series id says besides the name: equal for series with equal labels."""
+    series = F.col("series_id")
+    return F.substring(series, F.locate("{", series), F.length(series))
+
+
+def _keyed(points: DataFrame, by: Sequence[str] | None) -> DataFrame:
+    return points if by is None else points.select("name", "ts", "value", *[label(F.col("labels"), k).alias(k) for k in by])
+
+
+def used_percent(total: DataFrame, spare: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
     """100 x (1 - spare / total) where both have a point at the same time, clamped.
 
-    ``by`` names further columns both sides share.  A shuffle join on
-    (``by``, ts): time spreads the keys even when one group is hot.
+    Series meet that have all labels but the name in common, and the result
+    keeps these ``labels``; ``by`` names columns both sides share to pair on
+    instead.  A shuffle join with the time among its keys, which spreads them
+    even when one group is hot.
     """
-    keys = [*by, "ts"]
+    keys = ["ts", "_who"] if by is None else [*by, "ts"]
+    if by is None:
+        total, spare = total.withColumn("_who", _label_text()), spare.withColumn("_who", _label_text())
     left = total.select(*keys, F.col("value").alias("_total"))
     right = spare.select(*keys, F.col("value").alias("_spare"))
-    return left.join(right, keys).select(*keys, _used(F.col("_total"), F.col("_spare")).alias("used"))
+    used = _used(F.col("_total"), F.col("_spare")).alias("used")
+    shown = [labels_of(F.col("_who")).alias("labels"), "ts"] if by is None else keys
+    return left.join(right, keys).select(*shown, used)
 
 
-def memory_used_percent(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Used memory from (MemTotal, MemAvailable) or, on macOS hosts, (total, free)."""
-    keyed = points.select("name", "ts", "value", *[label(F.col("labels"), k).alias(k) for k in by])
+def memory_used_percent(points: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
+    """Used memory from (MemTotal, MemAvailable) or, on macOS hosts, (total, free); paired as in ``used_percent``."""
+    keyed = _keyed(points, by)
 
     def metric(kind: str) -> DataFrame:
         return keyed.where(F.col("name") == f"node_memory_{kind}_bytes")
@@ -101,9 +117,9 @@ def memory_used_percent(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return linux.unionByName(used_percent(metric("total"), metric("free"), by))
 
 
-def filesystem_used_percent(points: DataFrame, by: Sequence[str] = ("mountpoint",)) -> DataFrame:
-    """Used share of every mount that reports both size and available bytes."""
-    keyed = points.select("name", "ts", "value", *[label(F.col("labels"), k).alias(k) for k in by])
+def filesystem_used_percent(points: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
+    """Used share of every mount that reports both size and available bytes; paired as in ``used_percent``."""
+    keyed = _keyed(points, by)
     size = keyed.where(F.col("name") == "node_filesystem_size_bytes")
     avail = keyed.where(F.col("name") == "node_filesystem_avail_bytes")
     return used_percent(size, avail, by)
@@ -123,16 +139,31 @@ def avg_latency_ms(sums: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def primary_network_rate(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Receive and transmit rates of the interface that carries the default route."""
-    keys = [*by, "device"]
-    keyed = points
-    for key in keys:
-        keyed = keyed.withColumn(key, label(F.col("labels"), key))
+def primary_network_rate(points: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
+    """Receive and transmit rates of the interface that carries the default route.
+
+    An interface is primary if a ``primary_info`` series has the same labels,
+    so one host says nothing about another, and the result keeps the ``labels``
+    without the device; ``by`` names the labels to pair and group on instead.
+    """
+    if by is None:
+        keys, keyed = ["_who"], points.withColumn("_who", _label_text())
+    else:
+        keys, keyed = [*by, "device"], points
+        for key in keys:
+            keyed = keyed.withColumn(key, label(F.col("labels"), key))
     primary = keyed.where(F.col("name") == "node_network_primary_info").select(*keys).distinct()
     wires = keyed.where(F.col("name").isin("node_network_receive_bytes_total", "node_network_transmit_bytes_total"))
     rates = counter_rate(wires.join(primary, keys, "left_semi"))
-    return rates.groupBy(*by, "ts").agg(
+    if by is None:
+        rates = rates.withColumn("_host", F.to_json(F.map_filter(labels_of(F.col("_who")), lambda k, _: k != F.lit("device"))))
+        both = _two_ways(rates, ["_host", "ts"])
+        return both.select(F.from_json("_host", "map<string,string>").alias("labels"), "ts", "rx", "tx")
+    return _two_ways(rates, [*by, "ts"])
+
+
+def _two_ways(rates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return rates.groupBy(*keys).agg(
         F.sum(F.when(F.col("name") == "node_network_receive_bytes_total", F.col("rate"))).alias("rx"),
         F.sum(F.when(F.col("name") == "node_network_transmit_bytes_total", F.col("rate"))).alias("tx"),
     )
@@ -146,29 +177,32 @@ def rates_by_time(points: DataFrame, names: dict[str, str]) -> DataFrame:
     )
 
 
-def align_series(
-    points: DataFrame,
-    key: str,
-    values: Sequence[str] | None = None,
-    *,
-    value: str = "value",
-    order: str = "text",
-    max_columns: int = 1000,
-) -> DataFrame:
-    """One column per ``key`` value on the union of all times, null in the gaps.
+def align_series(points: DataFrame, key: str, values: Sequence[str], *, value: str = "value") -> DataFrame:
+    """One column per listed value of ``key`` on the union of all times, null in the gaps.
+
+    For values known beforehand; ``align_points`` takes any number of them.
+    Two series with the same value of ``key`` at one time are an error of the
+    job, as one cell cannot hold both.
+    """
+    some = F.array_compact(F.collect_set(F.struct("series_id", value)))
+    one = F.when(F.size(some) > 1, F.raise_error(F.lit(f"several series share one {key} at a time"))).otherwise(F.get(some, F.lit(0))[value])
+    listed = points.where(F.col(key).isin(*values) & F.col(value).isNotNull())
+    wide = listed.groupBy("ts").pivot(key, list(values)).agg(one)
+    times = points.select("ts").distinct()
+    return times.join(wide, "ts", "left").orderBy("ts")
+
+
+def align_points(points: DataFrame, key: str, *, value: str = "value", order: str = "text") -> DataFrame:
+    """The same in long form: ``ts``, ``key``, ``series_id`` and ``value``, by time, then key, then series.
 
-    Give ``values`` when they are known.  Otherwise the distinct values are read
-    first (``order="numeric"`` sorts 2 before 10); more than ``max_columns`` of
-    them is an error, not a cut.
+    Nothing is gathered, so any number of keys will do and series that share
+    one stay apart.  ``order="numeric"`` puts 2 before 10, and values that are
+    no numbers last.
     """
-    if values is None:
-        found = points.select(F.col(key).alias("k")).distinct().limit(max_columns + 1)
-        values = [r.k for r in found.collect()]
-        if len(values) > max_columns:
-            raise ValueError(f"more than {max_columns} values of {key}; keep the long form")
-        values = sorted(values, key=(lambda v: float(v)) if order == "numeric" else None)
-    wide = points.groupBy("ts").pivot(key, list(values)).agg(F.first(value, ignorenulls=True))
-    return wide.orderBy("ts")
+    if order not in ("text", "numeric"):
+        raise ValueError(f"order must be text or numeric, not {order}")
+    by = [F.col(key).try_cast("double").asc_nulls_last()] if order == "numeric" else []
+    return points.select("ts", key, "series_id", value).orderBy("ts", *by, key, "series_id")
 
 
 def red_summary(

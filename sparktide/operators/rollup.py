@@ -48,7 +48,7 @@ def rollup_of(parts: DataFrame, *, closed_only: bool = False) -> DataFrame:
     """Rollup rows out of bucket parts."""
     if closed_only:
         # a series has one row per bucket here, so this window is small
-        newest = F.max("start").over(Window.partitionBy("series_id"))
+        newest = F.max("start").over(Window.partitionBy("name", "series_id"))
         parts = parts.withColumn("_newest", newest).where(F.col("start") < F.col("_newest"))
     return parts.select(
         "name", labels_of(F.col("series_id")).alias("labels"), "series_id", F.timestamp_seconds("start").alias("bucket"),

@@ -66,7 +66,7 @@ def test_used_percent(spark):
     rows.append(("node_filesystem_avail_bytes", {"mountpoint": "/"}, 0, 1))
     s = samples(spark, rows)
     assert [(rel(r.ts), r.used) for r in D.memory_used_percent(s).collect()] == [(0, 75)]
-    assert [(r.mountpoint, round(r.used, 6)) for r in D.filesystem_used_percent(s).collect()] == [("/", 90)]
+    assert [(r.labels["mountpoint"], round(r.used, 6)) for r in D.filesystem_used_percent(s).collect()] == [("/", 90)]
 
 
 def test_average_latency_drops_idle_times(spark):
@@ -93,11 +93,33 @@ def test_rates_by_time(spark):
 def test_align(spark):
     s = samples(spark, [("c", {"cpu": c}, t, v) for c, t, v in (("2", 0, 1), ("10", 0, 2), ("10", 5, 3))])
     s = s.withColumn("cpu", F.col("labels.cpu"))
-    got = D.align_series(s, "cpu", order="numeric")
+    got = D.align_series(s, "cpu", ["2", "10"])
     assert got.columns == ["ts", "2", "10"]
     assert [(rel(r[0]), r[1], r[2]) for r in got.collect()] == [(0, 1, 2), (5, None, 3)]
+    long = D.align_points(s, "cpu", order="numeric").collect()
+    assert [(rel(r.ts), r.cpu, r.value) for r in long] == [(0, "2", 1), (0, "10", 2), (5, "10", 3)]
+    assert [r.cpu for r in D.align_points(s, "cpu").collect()] == ["10", "2", "10"]
     with pytest.raises(ValueError):
-        D.align_series(s, "cpu", max_columns=1)
+        D.align_points(s, "cpu", order="size")
+    clash = samples(spark, [("c", {"cpu": "1", "host": h}, 0, v) for h, v in (("a", 1), ("b", 2))]).withColumn("cpu", F.col("labels.cpu"))
+    assert [r.value for r in D.align_points(clash, "cpu").collect()] == [1, 2]
+    with pytest.raises(Exception, match="several series"):
+        D.align_series(clash, "cpu", ["1"]).collect()
+
+
+def test_hosts_are_paired_with_themselves(spark):
+    rows = []
+    for k, host in enumerate("abc"):
+        who = {"instance": host}
+        rows += [("node_memory_MemTotal_bytes", who, 0, 100), ("node_memory_MemAvailable_bytes", who, 0, 10 * k)]
+        rows += [("node_network_primary_info", {**who, "device": f"eth{k}"}, 0, 1)]
+        rows += [(f"node_network_{way}_bytes_total", {**who, "device": d}, t, t * (k + 1)) for way in ("receive", "transmit") for d in ("eth0", "eth1", "eth2") for t in (0, 10)]
+    s = samples(spark, rows)
+    got = sorted((r.labels["instance"], round(r.used, 6)) for r in D.memory_used_percent(s).collect())
+    assert got == [("a", 100), ("b", 90), ("c", 80)]
+    assert sorted((r.instance, round(r.used, 6)) for r in D.memory_used_percent(s, ["instance"]).collect()) == got
+    net = sorted((r.labels["instance"], rel(r.ts), r.rx, r.tx) for r in D.primary_network_rate(s).collect())
+    assert net == [("a", 10, 1, 1), ("b", 10, 2, 2), ("c", 10, 3, 3)]
 
 
 def test_red_summary(spark):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sparktide.functions.labels import label
+from sparktide.functions.labels import label, series_id
 from sparktide.operators import derive as D
 from sparktide.operators.rollup import rollup
 from sparktide.sources.tables import samples_from_table
@@ -68,6 +68,7 @@ def gauge(spark, sf):
 FROM ra WHERE name LIKE 'node_network%bytes_total' AND shard IN (SELECT shard FROM co WHERE name = 'node_network_primary_info')
 GROUP BY us""")
 def network(spark, sf):
+    """The labels of the primary interface, here with a processor, tell its host as well."""
     return D.primary_network_rate(counters(spark, sf)).select(micros("ts"), r6("rx"), r6("tx"))
 
 
@@ -94,10 +95,12 @@ _HOURS = f"""{EV}, ho AS (SELECT name, shard, (sec - sec % 3600) * 1000000 AS us
   round(greatest(0, least(100, 100 * (1 - b.value / a.value))), 6) AS used
 FROM ho a JOIN ho b ON a.shard = b.shard AND a.us = b.us WHERE a.name = 'click' AND b.name = 'view'""")
 def used(spark, sf):
+    """Four instances that report at equal times, paired by their labels."""
     def side(name):
-        return _hourly(spark, sf, name).withColumn("shard", label(F.col("labels"), "shard"))
+        return _hourly(spark, sf, name).withColumn("series_id", series_id(F.col("name"), F.col("labels")))
 
-    return D.used_percent(side("click"), side("view"), ["shard"]).select("shard", micros("ts"), r6("used"))
+    found = D.used_percent(side("click"), side("view"))
+    return found.select(label(F.col("labels"), "shard").alias("shard"), micros("ts"), r6("used"))
 
 
 @query("memory_used_percent", f"""WITH {_HOURS} SELECT a.shard AS instance, a.us AS ts_us,
@@ -108,11 +111,11 @@ def memory(spark, sf):
     """Event types standing in for the Linux pair and the macOS pair of memory gauges."""
     kind = F.create_map(*[F.lit(x) for x in (
         "click", "MemTotal", "view", "MemAvailable", "purchase", "total", "signup", "free")])
-    rows = _hourly(spark, sf).where(F.col("name") != "error").select(
+    rows = _hourly(spark, sf).select(
         F.concat(F.lit("node_memory_"), F.try_element_at(kind, F.col("name")), F.lit("_bytes")).alias("name"),
         F.create_map(F.lit("instance"), label(F.col("labels"), "shard")).alias("labels"), "ts", "value",
-    )
-    return D.memory_used_percent(rows, ["instance"]).select("instance", micros("ts"), r6("used"))
+    ).withColumn("series_id", series_id(F.col("name"), F.col("labels")))
+    return D.memory_used_percent(rows).select(label(F.col("labels"), "instance").alias("instance"), micros("ts"), r6("used"))
 
 
 @query("filesystem_used_percent", f"""WITH {_HOURS} SELECT '/data' || a.shard AS mountpoint, a.us AS ts_us,
@@ -124,8 +127,8 @@ def filesystem(spark, sf):
             F.lit("node_filesystem_avail_bytes")).alias("name"),
         F.create_map(F.lit("mountpoint"), F.concat(F.lit("/data"), label(F.col("labels"), "shard"))).alias("labels"),
         "ts", "value",
-    )
-    return D.filesystem_used_percent(rows).select("mountpoint", micros("ts"), r6("used"))
+    ).withColumn("series_id", series_id(F.col("name"), F.col("labels")))
+    return D.filesystem_used_percent(rows).select(label(F.col("labels"), "mountpoint").alias("mountpoint"), micros("ts"), r6("used"))
 
 
 @query("align_series", f"""WITH {EV} SELECT (sec - sec % 3600) * 1000000 AS ts_us,
@@ -135,10 +138,18 @@ FROM (SELECT shard, sec - sec % 3600 AS sec, round(avg(value), 6) AS a FROM ev W
 GROUP BY sec""")
 def aligned(spark, sf):
     rows = _hourly(spark, sf, "click").withColumn("shard", label(F.col("labels"), "shard"))
+    rows = rows.withColumn("series_id", series_id(F.col("name"), F.col("labels")))
     wide = D.align_series(rows.withColumn("value", F.round("value", 6)), "shard", ["0", "1", "2", "3"])
     return wide.select(micros("ts"), *[F.col(k).alias(f"s{k}") for k in "0123"])
 
 
+@query("align_points", f"""WITH {EV} SELECT us AS ts_us, CAST(floor(value) AS INTEGER) AS level, series_id, value FROM ev""")
+def aligned_long(spark, sf):
+    """Events on one time axis by their whole value: many columns, and series that share one."""
+    rows = events(spark, sf).withColumn("level", F.floor("value").cast("int"))
+    return D.align_points(rows, "level", order="numeric").select(micros("ts"), "level", "series_id", "value")
+
+
 @query("avg_latency_ms", """WITH c AS (SELECT CAST(user_id % 4 AS VARCHAR) AS shard, epoch_us(ts) AS us,
   CAST(event_id AS DOUBLE) AS n, event_id * 0.25::DOUBLE + (epoch_us(ts) // 1000000) * 0.001::DOUBLE AS v FROM events),
 r AS (SELECT us, (n - lag(n) OVER w) / ((us - lag(us) OVER w) / 1e6::DOUBLE) AS rn,

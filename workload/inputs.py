@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sparktide.operators.rollup import rollup
 from sparktide.operators.store import store_points
 from sparktide.sources.tables import samples_from_table
+from sparktide.streaming.paths import shared_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -85,22 +86,18 @@ def counters(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("event_type") == "view", F.lit("node_disk_read_bytes_total"))
         .when(F.col("event_type") == "purchase", F.lit("node_network_receive_bytes_total"))
         .when(F.col("event_type") == "signup", F.lit("node_network_transmit_bytes_total"))
-        .otherwise(F.lit("node_network_primary_info"))
+        .when(shard() == 2, F.lit("node_network_primary_info"))
+        .otherwise(F.lit("node_errors_total"))
     )
     labels = {"cpu": shard(), "mode": F.lit("idle"), "device": F.concat(F.lit("eth"), shard().cast("string"))}
     return samples_from_table(
-        rows.where((F.col("event_type") != "error") | (shard() == 2)),
-        name=name, ts="ts", value=F.col("sec") * 0.5 + F.col("value") * 4, labels=labels, seq="event_id",
+        rows, name=name, ts="ts", value=F.col("sec") * 0.5 + F.col("value") * 4, labels=labels, seq="event_id",
     )
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one; a temporary one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        stamp = datetime.now(timezone.utc).strftime("%Y%m%d%H%M%S%f")
-        return f"{base.rstrip('/')}/{name}-{stamp}"
-    return tempfile.mkdtemp(prefix=f"spark-{name}-")
+    """A new folder below the shared one."""
+    return shared_folder(spark, f"{name}-{uuid.uuid4().hex}")
 
 
 def micros(column: str, name: str | None = None) -> Column:
@@ -134,10 +131,11 @@ MI = EV + """, mi AS (
 CO = """co AS (
   SELECT CASE event_type WHEN 'click' THEN 'node_cpu_seconds_total' WHEN 'view' THEN 'node_disk_read_bytes_total'
               WHEN 'purchase' THEN 'node_network_receive_bytes_total'
-              WHEN 'signup' THEN 'node_network_transmit_bytes_total' ELSE 'node_network_primary_info' END AS name,
+              WHEN 'signup' THEN 'node_network_transmit_bytes_total'
+              ELSE CASE WHEN user_id % 4 = 2 THEN 'node_network_primary_info' ELSE 'node_errors_total' END END AS name,
          CAST(user_id % 4 AS VARCHAR) AS shard, epoch_us(ts) AS us,
          (epoch_us(ts) // 1000000) * 0.5::DOUBLE + value * 4 AS value
-  FROM events WHERE event_type <> 'error' OR user_id % 4 = 2),
+  FROM events),
 ra AS (
   SELECT name, shard, us, (value - pv) / ((us - pu) / 1e6::DOUBLE) AS rate FROM (
     SELECT *, lag(value) OVER w AS pv, lag(us) OVER w AS pu FROM co WINDOW w AS (PARTITION BY name, shard ORDER BY us))
