@@ -44,8 +44,8 @@ def coarser_parts(parts: DataFrame, width_s: int) -> DataFrame:
     )
 
 
-def rollup_of(parts: DataFrame, *, closed_only: bool = False) -> DataFrame:
-    """Rollup rows out of bucket parts."""
+def rollup_of(parts: DataFrame, *, closed_only: bool = False, day: bool = False) -> DataFrame:
+    """Rollup rows out of bucket parts; ``day`` keeps the ``ts_day`` of a stored table, which prunes."""
     if closed_only:
         # a series has one row per bucket here, so this window is small
         newest = F.max("start").over(Window.partitionBy("name", "series_id"))
@@ -53,7 +53,7 @@ def rollup_of(parts: DataFrame, *, closed_only: bool = False) -> DataFrame:
     return parts.select(
         "name", labels_of(F.col("series_id")).alias("labels"), "series_id", F.timestamp_seconds("start").alias("bucket"),
         F.coalesce("low", F.lit(NAN)).alias("min"), (F.col("total") / F.nullif(F.col("points"), F.lit(0))).alias("avg"),
-        F.coalesce("high", F.lit(NAN)).alias("max"),
+        F.coalesce("high", F.lit(NAN)).alias("max"), *(["ts_day"] if day else []),
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparktide.plans.slices import SLICE_SECONDS, with_slice
+
 # Ring slots per series, bytes per stored (time, value) pair,
 # default compression ratio, sub-series per rollup bucket.
 RING_SLOTS = 8
@@ -20,38 +22,61 @@ ARRIVALS_PER_SLICE = 1_000_000
 MICROS_PER_SLICE = 6 * 3600 * 1_000_000
 
 
-def dedup_ordered(samples: DataFrame, arrivals_per_slice: int = ARRIVALS_PER_SLICE) -> DataFrame:
+def arrivals_slice(samples: DataFrame) -> int:
+    """Width of a stretch of ``seq``: arrivals, or six hours where ``seq`` is the time itself for want of an order."""
+    return MICROS_PER_SLICE if samples.schema["seq"].metadata.get("from_time") else ARRIVALS_PER_SLICE
+
+
+def arrival_carries(samples: DataFrame, arrivals_per_slice: int, newest: DataFrame | None = None) -> DataFrame:
+    """Per series and stretch of ``seq`` the largest second that arrived in the stretches before it.
+
+    ``newest`` (``name``, ``series_id``, ``sec``) is what came before all of
+    them.  One row per stretch that has rows, made with map-side partials.
+    """
+    part = F.expr(f"seq - pmod(seq, {int(arrivals_per_slice)}L)")
+    keys = ["name", "series_id"]
+    parts = samples.groupBy(*keys, part.alias("_part")).agg(F.max("sec").alias("_part_max"))
+    earlier_parts = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select(*keys, "_part", F.max("_part_max").over(earlier_parts).alias("_carry"))
+    if newest is None:
+        return carried
+    known = newest.select(*keys, F.col("sec").alias("_known"))
+    return carried.join(known, keys, "left").select(*keys, "_part", F.greatest("_carry", "_known").alias("_carry"))
+
+
+def dedup_ordered(samples: DataFrame, arrivals_per_slice: int | None = None, newest: DataFrame | None = None) -> DataFrame:
     """Keep a sample only if its second exceeds every earlier-arrived one of its series.
 
     ``seq`` is the arrival order.  The running maximum is split by stretches of
     ``seq``: each stretch needs only the maximum of the stretches before it,
-    which comes from a small pre-aggregated table.  No task sees more than
-    ``arrivals_per_slice`` rows of a series, however hot.
+    which comes from a small pre-aggregated table.  A stretch is a million
+    arrivals, or six hours of event time where the source had no order and
+    ``seq`` was filled with the time.  Rows that share one ``seq`` stay in one
+    stretch.  ``newest`` has the newest second that a table stores of each series already.
+
+    The name is a key as well, though the id tells it, so that a filter on it
+    reaches the scan.
     """
-    part = F.expr(f"seq - pmod(seq, {int(arrivals_per_slice)}L)")
-    samples = samples.withColumn("_part", part)
-    earlier_parts = Window.partitionBy("series_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        samples.groupBy("series_id", "_part")
-        .agg(F.max("sec").alias("_part_max"))
-        .select("series_id", "_part", F.max("_part_max").over(earlier_parts).alias("_carry"))
-    )
+    size = arrivals_slice(samples) if arrivals_per_slice is None else arrivals_per_slice
+    carried = arrival_carries(samples, size, newest)
+    samples = samples.withColumn("_part", F.expr(f"seq - pmod(seq, {int(size)}L)"))
     # ties in seq are broken so that the earliest second of equal arrivals is kept first
-    earlier = Window.partitionBy("series_id", "_part").orderBy("seq", "ts", "value").rowsBetween(
+    earlier = Window.partitionBy("name", "series_id", "_part").orderBy("seq", "ts", "value").rowsBetween(
         Window.unboundedPreceding, -1
     )
     seen = F.greatest(F.col("_carry"), F.max("sec").over(earlier))
+    columns = [c for c in samples.columns if c != "_part"]
     return (
-        samples.join(carried, ["series_id", "_part"])
+        samples.join(carried, ["name", "series_id", "_part"])
         .withColumn("_seen", seen)
         .where(F.col("_seen").isNull() | (F.col("sec") > F.col("_seen")))
-        .drop("_part", "_carry", "_seen")
+        .select(*columns)
     )
 
 
-def store_points(samples: DataFrame, arrivals_per_slice: int = ARRIVALS_PER_SLICE) -> DataFrame:
+def store_points(samples: DataFrame, arrivals_per_slice: int | None = None, newest: DataFrame | None = None) -> DataFrame:
     """Raw-tier points: deduplicated, times cut to whole seconds."""
-    return dedup_ordered(samples, arrivals_per_slice).withColumn("ts", F.timestamp_seconds("sec"))
+    return dedup_ordered(samples, arrivals_per_slice, newest).withColumn("ts", F.timestamp_seconds("sec"))
 
 
 def _chunk_seconds(interval_s: Column, retention_s: float) -> Column:
@@ -79,10 +104,18 @@ def ring_retention(points: DataFrame, retention_s: float) -> DataFrame:
     return chunked.join(kept, ["series_id", "_chunk"], "left_semi").drop("_span", "_chunk")
 
 
-def retention(points: DataFrame, retention_s: int) -> DataFrame:
-    """Plain retention: points newer than the series' newest minus ``retention_s``."""
-    newest = points.groupBy("series_id").agg((F.max("sec") - F.lit(int(retention_s))).alias("_from"))
-    return points.join(newest, "series_id").where(F.col("sec") > F.col("_from")).drop("_from")
+def retention(points: DataFrame, retention_s: int, slice_s: int = SLICE_SECONDS) -> DataFrame:
+    """Plain retention: points newer than the series' newest minus ``retention_s``.
+
+    The bound of a series meets its points per slice of event time, so a hot
+    series is spread; slices older than the bound meet nothing.
+    """
+    sliced = with_slice(points, slice_s)
+    keys = ["name", "series_id"]
+    parts = sliced.groupBy(*keys, "slice").agg(F.max("sec").alias("_max"))
+    bound = F.max("_max").over(Window.partitionBy(*keys)) - F.lit(int(retention_s))
+    kept = parts.withColumn("_from", bound).where(F.col("_max") > F.col("_from")).select(*keys, "slice", "_from")
+    return sliced.join(kept, [*keys, "slice"]).where(F.col("sec") > F.col("_from")).select(*points.columns)
 
 
 def tier_points(retention_s: float, interval_s: float) -> float:

@@ -71,9 +71,9 @@ def query_range(
     return found.orderBy("series_id", stamp) if ordered else found
 
 
-def empty_series(tiers: Mapping[str, DataFrame | None], metric: str, labels, start, end) -> DataFrame:
-    """Matching raw series that have no point in the range (they are listed too)."""
+def empty_series(tiers: Mapping[str, DataFrame | None], metric: str, labels, start, end, tier: str = "raw") -> DataFrame:
+    """Matching series of a tier that have no point in the range (they are listed too)."""
     match = parse_label_filter(labels) if isinstance(labels, str) else labels
-    known = select_series(tiers["raw"], metric, match).select("name", "series_id").distinct()
-    seen = query_range(tiers, metric, match, start, end, "raw", ordered=False).select("series_id").distinct()
+    known = select_series(tiers[tier], metric, match).select("name", "series_id").distinct()
+    seen = query_range(tiers, metric, match, start, end, tier, ordered=False).select("series_id").distinct()
     return known.join(seen, "series_id", "left_anti").select("series_id", F.col("name"))

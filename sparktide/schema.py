@@ -75,7 +75,8 @@ def normalize_samples(df: DataFrame, *, with_day: bool = False) -> DataFrame:
 
     Needs ``name``, ``ts`` and ``value``.  ``labels`` defaults to none,
     ``interval_s`` to one second when missing or not positive, ``anomalous`` to
-    false and ``seq`` (the arrival order) to the microsecond of ``ts``.  ``ts``
+    false and ``seq`` (the arrival order) to the microsecond of ``ts``, which the
+    column's metadata then says.  ``ts``
     keeps its full precision, ``sec`` is the whole second stored tiers use.  A
     ``series_id`` the source already has is kept.
     """
@@ -94,7 +95,7 @@ def normalize_samples(df: DataFrame, *, with_day: bool = False) -> DataFrame:
         F.col("value").cast("double").alias("value"),
         F.when(interval > 0, interval).otherwise(F.lit(1.0)).cast("double").alias("interval_s"),
         given("anomalous", F.lit(False)).alias("anomalous"),
-        given("seq", F.unix_micros(F.col("ts").cast("timestamp"))).cast("long").alias("seq"),
+        given("seq", F.unix_micros(F.col("ts").cast("timestamp"))).cast("long").alias("seq", metadata={"from_time": "seq" not in have}),
     ).withColumn("sec", unix_second("ts"))
     if with_day:
         out = out.withColumn("ts_day", F.to_date("ts"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparktide.functions.times import floor_to
 from sparktide.operators.rollup import HOUR_S, MINUTE_S, bucket_parts, coarser_parts, rollup_of
 from sparktide.operators.store import store_points
 
@@ -36,22 +39,84 @@ def write_samples(samples: DataFrame, path: str, *, mode: str = "append") -> Non
     spread.sortWithinPartitions("ts_day", "name", "series_id", "ts").write.mode(mode).partitionBy("ts_day").parquet(path)
 
 
-def build_tiers(samples: DataFrame, path: str, *, mode: str = "append") -> dict[str, DataFrame]:
-    """Write the raw, minute and hour tiers of a stretch of samples and return their tables.
+def _place(spark: SparkSession, path: str):
+    """File system and path object of a place in whatever store."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
 
-    Minute buckets are written with their sums and counts, and the hours are
-    made from those, so the samples are read for the raw and the minute tier
-    only.  Append whole hours per call; the newest bucket of a series is closed
-    by the samples of the next call.
+def _merge_parts(parts: DataFrame, path: str, width_s: int) -> None:
+    """Add bucket parts to a table by day; parts of a bucket that is there already are merged with it.
+
+    Only the days of the new parts are read and written.  The merged days go to
+    a table beside first, as a table cannot be read and replaced in one step.
+    """
+    spark = parts.sparkSession
+    parts = parts.withColumn("ts_day", F.to_date(F.timestamp_seconds("start")))
+    files, where = _place(spark, path)
+    staged = None
+    if files.exists(where):
+        staged = f"{path}-merge-{uuid.uuid4().hex}"
+        parts.write.partitionBy("ts_day").parquet(f"{staged}/new")
+        new = spark.read.parquet(f"{staged}/new")
+        old = spark.read.parquet(path).join(new.select("ts_day").distinct(), "ts_day", "left_semi")
+        merged = coarser_parts(old.select(*new.columns).unionByName(new), width_s).withColumn("ts_day", F.to_date(F.timestamp_seconds("start")))
+        merged.write.partitionBy("ts_day").parquet(f"{staged}/all")
+        parts = spark.read.parquet(f"{staged}/all")
+    writer = parts.sortWithinPartitions("name", "series_id", "start").hint("rebalance", "ts_day").write
+    writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ts_day").parquet(path)
+    if staged:
+        files.delete(_place(spark, staged)[1], True)
+
+
+def _newest(spark: SparkSession, path: str) -> tuple[int, DataFrame | None]:
+    """Number of calls so far and, per series, the newest second they stored and the newest they saw."""
+    files, where = _place(spark, f"{path}/newest")
+    done = [s.getPath().getName() for s in files.listStatus(where)] if files.exists(where) else []
+    calls = max((int(n) for n in done if files.exists(_place(spark, f"{path}/newest/{n}/_SUCCESS")[1])), default=0)
+    return calls, spark.read.parquet(f"{path}/newest/{calls}") if calls else None
+
+
+def append_tiers(samples: DataFrame, path: str) -> dict[str, DataFrame]:
+    """Add samples to the raw, minute and hour tiers below ``path`` and return their tables.
+
+    Calls follow the order of arrival.  A second that a series has stored in an
+    earlier call is not stored again; a bucket that several calls feed is one
+    row; the hours are made from the new samples and the stored hours, never
+    from the minutes, which may be pruned by then.  A call reads and writes the
+    days of its own samples only, besides one row per series.  Minute buckets
+    are written with sums and counts; the samples are read for raw and minutes.
     """
     spark = samples.sparkSession
-    write_samples(store_points(samples), f"{path}/raw", mode=mode)
-    parts = bucket_parts(samples, MINUTE_S).withColumn("ts_day", F.to_date(F.timestamp_seconds("start")))
-    parts.hint("rebalance", "ts_day").write.mode(mode).partitionBy("ts_day").parquet(f"{path}/minute")
-    minutes = spark.read.parquet(f"{path}/minute")
-    hours = coarser_parts(minutes, HOUR_S).withColumn("ts_day", F.to_date(F.timestamp_seconds("start")))
-    hours.hint("rebalance", "ts_day").write.mode("overwrite").partitionBy("ts_day").parquet(f"{path}/hour")
-    return {
-        "raw": spark.read.parquet(f"{path}/raw"), "minute": rollup_of(minutes),
-        "hour": rollup_of(spark.read.parquet(f"{path}/hour")),
-    }
+    calls, newest = _newest(spark, path)
+    points = store_points(samples, newest=newest)
+    write_samples(points, f"{path}/raw")
+    minutes = bucket_parts(samples, MINUTE_S)
+    fresh = f"{path}/fresh/{calls + 1}"
+    minutes.write.mode("overwrite").parquet(fresh)
+    minutes = spark.read.parquet(fresh)
+    _merge_parts(minutes, f"{path}/minute", MINUTE_S)
+    _merge_parts(coarser_parts(minutes, HOUR_S), f"{path}/hour", HOUR_S)
+    seen = samples.select("name", "series_id", "sec")
+    if newest is not None:
+        seen = seen.unionByName(newest)
+    # what is stored last of a series is what was seen last: a second that exceeds all before it is always stored
+    seen.groupBy("name", "series_id").agg(F.max("sec").alias("sec")).write.mode("overwrite").parquet(f"{path}/newest/{calls + 1}")
+    return read_tiers(spark, path)
+
+
+def read_tiers(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of ``append_tiers``.
+
+    The newest bucket of each series is still open and withheld.  It is known
+    from one row per series, so bounds on name, day and time reach the scans.
+    """
+    _, newest = _newest(spark, path)
+
+    def closed(table: str, width_s: int) -> DataFrame:
+        parts = spark.read.parquet(f"{path}/{table}")
+        last = newest.select("name", "series_id", floor_to(F.col("sec"), width_s).alias("_open"))
+        done = parts.join(last, ["name", "series_id"]).where(F.col("start") < F.col("_open"))
+        return rollup_of(done, day=True)
+
+    return {"raw": spark.read.parquet(f"{path}/raw"), "minute": closed("minute", MINUTE_S), "hour": closed("hour", HOUR_S)}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparktide.functions.labels import json_text, labels_of, metric_labels, sorted_entries
 from sparktide.functions.numbers import format_float
 from sparktide.functions.times import floor_to, unix_second
+from sparktide.plans.tiers import check_tier, empty_series, query_range
 
 CHUNK_SECONDS = 6 * 3600
 
@@ -58,15 +59,25 @@ def matrix_result(found: DataFrame, *, start=None, chunk_s: int = CHUNK_SECONDS)
     return packed.select("series_id", "chunk", "points", F.concat(*parts, F.lit("}")).alias("json"))
 
 
-def empty_matrix(series: DataFrame) -> DataFrame:
+def empty_matrix(series: DataFrame, *, tiered: bool = False) -> DataFrame:
     """Matrix rows of matching series without a point in the range."""
     metric = F.to_json(F.map_from_entries(sorted_entries(metric_labels(F.col("name"), labels_of(F.col("series_id"))))))
+    nothing = ',"values":[],"min":[],"max":[]}' if tiered else ',"values":[]}'
     return series.select(
         "series_id", F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("points"),
-        F.concat(F.lit('{"metric":'), json_text(metric), F.lit(',"values":[]}')).alias("json"),
+        F.concat(F.lit('{"metric":'), json_text(metric), F.lit(nothing)).alias("json"),
     )
 
 
+def matrix_query(tiers, metric: str, labels, start, end, tier: str | None = "raw", *, chunk_s: int = CHUNK_SECONDS) -> DataFrame:
+    """The main query as matrix rows; a matching series without points in the range has one with empty values."""
+    tier = check_tier(tier)
+    found = matrix_result(query_range(tiers, metric, labels, start, end, tier, ordered=False), start=start, chunk_s=chunk_s)
+    if tiers.get(tier) is None:
+        return found
+    return found.unionByName(empty_matrix(empty_series(tiers, metric, labels, start, end, tier), tiered=tier != "raw"))
+
+
 def timeseries_batches(points: DataFrame, *, chunk_s: int = CHUNK_SECONDS) -> DataFrame:
     """Per series piece: label pairs (name included) and samples (value, milliseconds) in time order."""
     sample = F.struct(F.floor(F.unix_micros("ts") / 1000).cast("long").alias("ts_ms"), "value")

@@ -7,9 +7,10 @@ from sparktide.operators.rollup import rollup
 from sparktide.operators.select import latest_per_series
 from sparktide.plans.tiers import query_range
 from sparktide.sinks.lake import write_lake, write_samples
-from sparktide.sinks.matrix import matrix_result, timeseries_batches
+from sparktide.sinks.matrix import matrix_query, matrix_result, timeseries_batches
 from sparktide.sinks.text import render_exposition
 from sparktide.sources.delta_json import parse_delta_json
+from workload.storing import stored_tiers
 from workload.inputs import EV, MI, PT, events, folder, from_events, micros, minutes, points, query, r6, table, utc
 
 
@@ -121,17 +122,27 @@ FROM pt WHERE name = 'click' AND sec BETWEEN epoch(TIMESTAMP '2024-01-05') AND e
 GROUP BY series_id, shard, (sec - epoch(TIMESTAMP '2024-01-05')::BIGINT) // 21600""")
 def matrix(spark, sf):
     start = utc(2024, 1, 5)
-    found = query_range({"raw": points(spark, sf)}, "click", None, start, utc(2024, 1, 12), ordered=False)
-    return matrix_result(found, start=start)
+    return matrix_query(stored_tiers(spark, sf), "click", None, start, utc(2024, 1, 12))
+
+
+@query("matrix_query_empty", f"""WITH {PT}, f AS (SELECT series_id, shard, string_agg('[' || sec || ',"' || {_text("value")} || '"]', ',' ORDER BY sec) AS v, count(*) AS points
+  FROM pt WHERE name = 'click' AND sec BETWEEN epoch(TIMESTAMP '2024-01-15') AND epoch(TIMESTAMP '2024-01-15 02:00:00') GROUP BY series_id, shard)
+SELECT s.series_id, CAST(0 AS BIGINT) AS chunk, coalesce(points, 0) AS points,
+  '{{"metric":{{"__name__":"click","shard":"' || s.shard || '"}},"values":[' || coalesce(v, '') || ']}}' AS json
+FROM (SELECT DISTINCT series_id, shard FROM pt WHERE name = 'click') s LEFT JOIN f USING (series_id)""")
+def matrix_empty(spark, sf):
+    """Two hours in which some of the series have no point."""
+    return matrix_query(stored_tiers(spark, sf), "click", None, utc(2024, 1, 15), utc(2024, 1, 15, 2))
 
 
 @query("matrix_result_tier", f"""WITH {MI} SELECT series_id, bucket_s // 86400 AS chunk, count(*) AS points,
-  '{{"metric":{{"__name__":"view","shard":"' || shard || '"}},"values":[' || string_agg('[' || bucket_s || ',"' || {_text("floor(av)")} || '"]', ',' ORDER BY bucket_s)
+  '{{"metric":{{"__name__":"view","shard":"' || shard || '"}},"values":[' || string_agg('[' || bucket_s || ',"' || {_text("floor(av * 4) / 4")} || '"]', ',' ORDER BY bucket_s)
   || '],"min":[' || string_agg('[' || bucket_s || ',"' || {_text("mn")} || '"]', ',' ORDER BY bucket_s)
   || '],"max":[' || string_agg('[' || bucket_s || ',"' || {_text("mx")} || '"]', ',' ORDER BY bucket_s) || ']}}' AS json
 FROM mi WHERE name = 'view' GROUP BY series_id, shard, bucket_s // 86400""")
 def matrix_tier(spark, sf):
-    found = minutes(spark, sf).where(F.col("name") == "view").withColumn("avg", F.floor("avg").cast("double"))
+    """Averages in quarters, so that fractional text is compared."""
+    found = minutes(spark, sf).where(F.col("name") == "view").withColumn("avg", F.floor(F.col("avg") * 4) / 4)
     return matrix_result(found, chunk_s=86400)
 
 

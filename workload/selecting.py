@@ -9,6 +9,7 @@ from sparktide.operators.select import (
 )
 from sparktide.plans.tiers import auto_tier, empty_series, query_range
 from sparktide.operators.rollup import rollup
+from workload.storing import stored_tiers
 from workload.inputs import EV, PT, events, lineitem, micros, points, query, r6, utc
 
 
@@ -56,8 +57,7 @@ def charted(spark, sf):
 @query("empty_series", f"""WITH {PT} SELECT DISTINCT name, series_id FROM pt WHERE name = 'click' AND series_id NOT IN (
   SELECT series_id FROM pt WHERE sec BETWEEN epoch(TIMESTAMP '2024-01-15') AND epoch(TIMESTAMP '2024-01-15 02:00:00'))""")
 def silent(spark, sf):
-    tiers = {"raw": points(spark, sf)}
-    return empty_series(tiers, "click", {}, utc(2024, 1, 15), utc(2024, 1, 15, 2)).select("name", "series_id")
+    return empty_series(stored_tiers(spark, sf), "click", {}, utc(2024, 1, 15), utc(2024, 1, 15, 2)).select("name", "series_id")
 
 
 @query("compare_op", f"""WITH {EV}, ops AS (SELECT unnest(['>', '<', '>=', '<=', '==', '!=', '~']) AS operator)
