@@ -121,16 +121,13 @@ def human_bytes(n: Column, *, decimals: int = 2) -> Column:
     return out
 
 
-_HUMAN = r"^([0-9.]+)([KMGTP]?)$"
-
-
 def parse_human_bytes(text: Column) -> Column:
     """``1898G`` -> bytes (1024-based); null for anything else."""
     clean = F.trim(text)
-    number = F.regexp_extract(clean, _HUMAN, 1).try_cast("double")
-    unit = F.regexp_extract(clean, _HUMAN, 2)
-    power = F.when(unit == "", F.lit(0)).otherwise(F.position(unit, F.lit(SIZE_UNITS)))
-    return F.when(clean.rlike(_HUMAN), number * F.pow(F.lit(1024.0), power))
+    power = F.position(F.right(clean, F.lit(1)), F.lit(SIZE_UNITS))
+    number = F.when(power > 0, F.left(clean, F.length(clean) - 1)).otherwise(clean)
+    plain = (number != "") & (F.translate(number, "0123456789.", "") == "")
+    return F.when(plain, number.try_cast("double") * F.pow(F.lit(1024.0), power))
 
 
 def euclidean(a: Column, b: Column, dims: int | None = None) -> Column:

@@ -25,6 +25,7 @@ NUMBER = r"[+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?|[iI]nf(?:in
 SAMPLE_LINE = rf"^({NAME})(?:[ \t]*({LABELS})[ \t]*|[ \t]+)({NUMBER})(?:[ \t]+(-?\d+))?[ \t]*$"
 TYPE_LINE = rf"^#[ \t]+TYPE[ \t]+({NAME})[ \t]+(\w+)[ \t]*$"
 ANY_TYPE_LINE = r"^#[ \t]+TYPE[ \t]"
+HELP_LINE = rf"^#[ \t]+HELP[ \t]+({NAME})(?:[ \t].*)?$"
 TYPES = ("counter", "gauge", "histogram", "summary", "untyped")
 
 _CUT = "\u0001"
@@ -37,8 +38,10 @@ def _lines(body: Column) -> Column:
 def _typed(lines: Column) -> Column:
     """(name, type) of every type line; both empty when the line is malformed."""
     return F.transform(
-        F.filter(lines, lambda x: x.startswith("#") & x.rlike(ANY_TYPE_LINE)),
-        lambda x: F.struct(F.regexp_extract(x, TYPE_LINE, 1).alias("name"), F.lower(F.regexp_extract(x, TYPE_LINE, 2)).alias("type")),
+        F.filter(lines, lambda x: x["text"].startswith("#") & x["text"].rlike(ANY_TYPE_LINE)),
+        lambda x: F.struct(
+            F.regexp_extract(x["text"], TYPE_LINE, 1).alias("name"), F.lower(F.regexp_extract(x["text"], TYPE_LINE, 2)).alias("type"), x["at"].alias("at")
+        ),
     )
 
 
@@ -50,6 +53,24 @@ def _repeats(array: Column) -> Column:
     return F.size(F.array_distinct(array)) < F.size(array)
 
 
+def _numbered(lines: Column) -> Column:
+    return F.transform(lines, lambda x, i: F.struct(x.alias("text"), i.alias("at")))
+
+
+def _helped(lines: Column) -> Column:
+    """Names of the help lines."""
+    return F.transform(F.filter(lines, lambda x: x.startswith("#") & x.rlike(HELP_LINE)), lambda x: F.regexp_extract(x, HELP_LINE, 1))
+
+
+def _late(typed: Column, names: Column, places: Column) -> Column:
+    """A type line stands behind a sample of its name."""
+    def behind(t: Column) -> Column:
+        first = F.array_position(names, t["name"])
+        return (first > 0) & (F.get(places, (first - 1).cast("int")) < t["at"])
+
+    return F.exists(typed, behind)
+
+
 def _cut_line(line: Column) -> Column:
     """Name, label text, label names, value and stamp of a sample line.
 
@@ -77,18 +98,21 @@ def checked_bodies(bodies: DataFrame) -> DataFrame:
     body = F.coalesce("body", F.lit(""))
     cut = (
         bodies.withColumn("_lines", _lines(body))
-        .withColumn("typed", _typed(F.col("_lines")))
-        .withColumn("samples", F.transform(F.filter("_lines", lambda x: ~x.startswith("#")), _cut_line))
+        .withColumn("_plain", F.filter(_numbered(F.col("_lines")), lambda x: ~x["text"].startswith("#")))
+        .withColumn("typed", _typed(_numbered(F.col("_lines"))))
+        .withColumn("samples", F.transform("_plain", lambda x: _cut_line(x["text"])))
     )
     ok = (
         ((body == "") | body.endswith("\n"))
         & F.forall("typed", lambda t: t["type"].isin(*TYPES))
         & ~_repeats(F.transform("typed", lambda t: t["name"]))
+        & ~_repeats(_helped(F.col("_lines")))
+        & ~_late(F.col("typed"), F.transform("samples", lambda s: s["name"]), F.transform("_plain", lambda x: x["at"]))
         & F.forall("samples", lambda s: s["value"].isNotNull() & ~_repeats(s["keys"]))
     )
     if "status" in bodies.columns:
         ok = ok & (F.col("status") == 200)
-    return cut.withColumn("ok", F.coalesce(ok, F.lit(False))).drop("_lines")
+    return cut.withColumn("ok", F.coalesce(ok, F.lit(False))).drop("_lines", "_plain")
 
 
 def exposition_rejects(bodies: DataFrame) -> DataFrame:
@@ -144,6 +168,7 @@ def parse_exposition(bodies: DataFrame) -> DataFrame:
             F.when(F.array_contains("_hist", bucket_of), F.lit("bucket"))
             .when(F.array_contains("_hist", count_of) | F.array_contains("_summ", count_of), F.lit("count"))
             .when(F.array_contains("_summ", name), F.lit("quantile"))
+            .when(F.array_contains("_hist", name), F.lit("bare"))
             .otherwise(F.lit("plain"))
         )
         return F.struct(s.alias("s"), part.alias("part"))
@@ -159,8 +184,9 @@ def parse_exposition(bodies: DataFrame) -> DataFrame:
         "target", "interval_s", "part", "name", own.alias("own"), "target_labels",
         F.col("value").try_cast("double").alias("value"),
         F.coalesce(F.timestamp_millis(F.when(F.col("stamp") != "", F.col("stamp")).try_cast("long")), F.col("scrape_ts")).alias("ts"),
-        # a summary line without a quantile label carries no reading
-        ((F.col("part") != "quantile") | F.array_contains("keys", "quantile")).alias("usable"),
+        # components without the label that tells them apart carry no reading, nor does a histogram's bare name
+        F.when(F.col("part") == "quantile", F.array_contains("keys", "quantile"))
+        .when(F.col("part") == "bucket", F.array_contains("keys", "le")).otherwise(F.col("part") != "bare").alias("usable"),
     ).where("usable")
     merged = parsed.withColumn("labels", merge_labels(F.col("target_labels"), F.col("own")))
     return flatten_families(merged).select("target", "name", "labels", "ts", "value", "interval_s")

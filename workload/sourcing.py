@@ -115,13 +115,12 @@ def meminfo(spark, sf):
 
 
 @query("parse_diskstats", _unnest([
-    ("node_disk_reads_completed_total", "'sda'", "event_id"), ("node_disk_read_bytes_total", "'sda'", "user_id * 512"),
-    ("node_disk_writes_completed_total", "'sda'", "9821"), ("node_disk_written_bytes_total", "'sda'", "(event_id + 3) * 512")], "device"))
+    ("node_disk_reads_completed_total", "'vdb'", "event_id"), ("node_disk_read_bytes_total", "'vdb'", "user_id * 512"),
+    ("node_disk_writes_completed_total", "'vdb'", "user_id + 5"), ("node_disk_written_bytes_total", "'vdb'", "(event_id + 3) * 512")], "device"))
 def diskstats(spark, sf):
     e, u = F.col("event_id"), F.col("user_id")
     snap = snapshot(
-        spark, sf, "diskstats", "   7       0 loop0 1 1 1 1 1 1 1 1 1 1 1\n   8       0 sda ", e, " 320 ", u, " 41200 9821 512 ", e + 3,
-        " 33100 0 28900 74300 0 0\n   8 1 short 1 2\n")
+        spark, sf, "diskstats", " 7 2 loop2 1 1 1 1 1 1 1 1 1 1 1\n 252 16 vdb ", e, " 4 ", u, " 6 ", u + 5, " 7 ", e + 3, " 8 0 9 10 0 0\n 252 17 short 1 2\n")
     return readings(H.parse_diskstats(snap), "device")
 
 
