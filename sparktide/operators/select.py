@@ -11,6 +11,8 @@ from sparktide.functions.labels import label_match, labels_of
 
 # Fixed value: how far back the latest-value report looks.
 LATEST_LOOKBACK_S = 300
+# What follows # in the name of a rollup value sent as a series.
+ROLLUP_PARTS = ("min", "avg", "max")
 
 
 def select_series(
@@ -46,15 +48,19 @@ def time_range(df: DataFrame, start, end, ts: str = "ts") -> DataFrame:
     return df
 
 
+def _own(samples: DataFrame) -> DataFrame:
+    return samples.where(~F.substring_index("name", "#", -1).isin(*ROLLUP_PARTS) | ~F.col("name").contains("#"))
+
+
 def list_series(samples: DataFrame) -> DataFrame:
-    """Distinct series, in canonical order."""
-    found = samples.select("name", "series_id").distinct()
+    """Distinct series, in canonical order; the parts of a rollup kept in long form are no series of their own."""
+    found = _own(samples).select("name", "series_id").distinct()
     return found.select("series_id", "name", labels_of(F.col("series_id")).alias("labels")).orderBy("series_id")
 
 
 def list_metrics(samples: DataFrame, prefix: str | None = None) -> DataFrame:
-    """Distinct metric names in order."""
-    return select_series(samples, prefix=prefix).select("name").distinct().orderBy("name")
+    """Distinct metric names in order, without the parts of rollups."""
+    return select_series(_own(samples), prefix=prefix).select("name").distinct().orderBy("name")
 
 
 def latest_per_series(points: DataFrame, now: Column | None = None, lookback_s: int | None = None) -> DataFrame:
@@ -65,9 +71,9 @@ def latest_per_series(points: DataFrame, now: Column | None = None, lookback_s:
     if now is not None:
         back = LATEST_LOOKBACK_S if lookback_s is None else lookback_s
         points = points.where(F.col("ts").between(now - F.expr(f"INTERVAL {int(back)} SECONDS"), now))
-    newest = points.groupBy("name", "series_id").agg(
-        F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value")
-    )
+    # of several samples at one time the last to arrive counts
+    order = F.struct("ts", "seq") if "seq" in points.columns else F.col("ts")
+    newest = points.groupBy("name", "series_id").agg(F.max("ts").alias("ts"), F.max_by("value", order).alias("value"))
     return newest.withColumn("labels", labels_of(F.col("series_id")))
 
 
@@ -83,5 +89,6 @@ def last_n(points: DataFrame, n: int, order: tuple[str, ...] = ("ts",)) -> DataF
     The rank filter runs before the shuffle as well, so a hot series sends at
     most ``n`` rows per input partition.
     """
+    order = (*order, "seq") if "seq" in points.columns and "seq" not in order else order
     newest = Window.partitionBy("series_id").orderBy(*[F.col(c).desc() for c in order])
     return points.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= n).drop("_rank")

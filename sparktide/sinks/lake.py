@@ -39,6 +39,10 @@ def write_samples(samples: DataFrame, path: str, *, mode: str = "append") -> Non
     spread.sortWithinPartitions("ts_day", "name", "series_id", "ts").write.mode(mode).partitionBy("ts_day").parquet(path)
 
 
+#: Bucket parts as stored.
+PARTS = "name string, series_id string, start long, low double, high double, total double, points long, ts_day date"
+
+
 def _place(spark: SparkSession, path: str):
     """File system and path object of a place in whatever store."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -58,11 +62,11 @@ def _merge_parts(parts: DataFrame, path: str, width_s: int) -> None:
     if files.exists(where):
         staged = f"{path}-merge-{uuid.uuid4().hex}"
         parts.write.partitionBy("ts_day").parquet(f"{staged}/new")
-        new = spark.read.parquet(f"{staged}/new")
-        old = spark.read.parquet(path).join(new.select("ts_day").distinct(), "ts_day", "left_semi")
+        new = spark.read.schema(parts.schema).parquet(f"{staged}/new")  # either may have no file: pruned, or nothing new
+        old = spark.read.schema(new.schema).parquet(path).join(new.select("ts_day").distinct(), "ts_day", "left_semi")
         merged = coarser_parts(old.select(*new.columns).unionByName(new), width_s).withColumn("ts_day", F.to_date(F.timestamp_seconds("start")))
         merged.write.partitionBy("ts_day").parquet(f"{staged}/all")
-        parts = spark.read.parquet(f"{staged}/all")
+        parts = spark.read.schema(parts.schema).parquet(f"{staged}/all")
     writer = parts.sortWithinPartitions("name", "series_id", "start").hint("rebalance", "ts_day").write
     writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ts_day").parquet(path)
     if staged:
@@ -114,7 +118,7 @@ def read_tiers(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     _, newest = _newest(spark, path)
 
     def closed(table: str, width_s: int) -> DataFrame:
-        parts = spark.read.parquet(f"{path}/{table}")
+        parts = spark.read.schema(PARTS).parquet(f"{path}/{table}")
         last = newest.select("name", "series_id", floor_to(F.col("sec"), width_s).alias("_open"))
         done = parts.join(last, ["name", "series_id"]).where(F.col("start") < F.col("_open"))
         return rollup_of(done, day=True)

@@ -76,21 +76,30 @@ def _read_body(body: bytes) -> list[tuple[str, dict, int, float]]:
     return out
 
 
+#: Samples that one batch out of the decoder has at most, besides the last body's.
+DECODED_ROWS = 50_000
+
+
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for body, number in zip(batch["body"], batch["body_no"]):
+            if len(rows) >= DECODED_ROWS:
+                yield _rows_out(rows)
+                rows = []
             number = number.as_py()
             try:
                 rows += [(*r, number, None) for r in _read_body(body.as_py())]
             except (ValueError, IndexError, TypeError, AttributeError, struct.error, OSError) as problem:
                 rows.append((None, {}, None, None, number, str(problem) or type(problem).__name__))
-        columns = list(zip(*rows)) if rows else [[]] * 6
-        types = (pa.string(), pa.map_(pa.string(), pa.string()), pa.int64(), pa.float64(), pa.int64(), pa.string())
-        arrays = [
-            pa.array([list(m.items()) for m in c] if pa.types.is_map(t) else list(c), t) for c, t in zip(columns, types)
-        ]
-        yield pa.RecordBatch.from_arrays(arrays, ["name", "labels", "ts_ms", "value", "body_no", "error"])
+        yield _rows_out(rows)
+
+
+def _rows_out(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[]] * 6
+    types = (pa.string(), pa.map_(pa.string(), pa.string()), pa.int64(), pa.float64(), pa.int64(), pa.string())
+    arrays = [pa.array([list(m.items()) for m in c] if pa.types.is_map(t) else list(c), t) for c, t in zip(columns, types)]
+    return pa.RecordBatch.from_arrays(arrays, ["name", "labels", "ts_ms", "value", "body_no", "error"])
 
 
 def _decoded(bodies: DataFrame, number: str | None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sparktide.operators.export import lake_rows
@@ -29,13 +30,16 @@ def start_export(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def stream_forward(deliver: Callable[[DataFrame, int], None]):
+def stream_forward(deliver: Callable[[DataFrame, int], None], since: Column | None = None):
     """A ``foreachBatch`` function that hands each batch to ``deliver`` as wire bodies.
 
+    ``since`` bounds the first run: samples up to then are not sent, so a new
+    receiver need not take all history (give the start less one interval).
     A body holds one series piece.  The checkpoint records a batch only after
     ``deliver`` returned, so a failed delivery is repeated.
     """
     def forward(batch: DataFrame, batch_id: int) -> None:
-        deliver(encode_remote_write(timeseries_batches(batch)), batch_id)
+        fresh = batch if since is None else batch.where(F.col("ts") > since)
+        deliver(encode_remote_write(timeseries_batches(fresh)), batch_id)
 
     return forward

@@ -14,11 +14,12 @@ from sparktide.functions.labels import labels_of
 from sparktide.operators.rollup import bucket_stats
 
 
-def stream_rollup(samples: DataFrame, width_s: int, delay: str = "0 seconds") -> DataFrame:
+def stream_rollup(samples: DataFrame, width_s: int, delay: str) -> DataFrame:
     """Min, average and maximum per series and closed bucket.
 
     A bucket is written once the watermark (newest time seen minus ``delay``)
-    has passed its end; later samples of that bucket are dropped.
+    has passed its end; later samples of that bucket are dropped, which the
+    batch form counts.  ``delay`` has no default: it says how late a sample may be.
     """
     window = F.window("ts", f"{int(width_s)} seconds")
     stats = samples.withWatermark("ts", delay).groupBy("name", "series_id", window).agg(*bucket_stats())

@@ -93,7 +93,7 @@ def as_stream(spark, df, tmp_path, per_trigger=1):
 def test_stream_rollup_emits_closed_buckets(spark, tmp_path):
     s = samples(spark, [("cpu", CPU, 15 * i, v) for i, v in enumerate(TEN)])
     s.write.parquet(str(tmp_path / "in"))
-    got = run(spark, stream_rollup(as_stream(spark, s, tmp_path, 100), 60), tmp_path, "out").orderBy("bucket").collect()
+    got = run(spark, stream_rollup(as_stream(spark, s, tmp_path, 100), 60, "0 seconds"), tmp_path, "out").orderBy("bucket").collect()
     assert [(rel(r.bucket), r.min, r.avg, r.max, r.labels) for r in got] == [(0, 10, 25, 40, CPU), (60, 1, 2.5, 4, CPU)]
 
 

@@ -1,6 +1,8 @@
 """Stored points, rollups, retention, selection and the main query."""
 
+import os
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,9 +10,10 @@ from pyspark.sql import functions as F
 from helpers import EPOCH, at, rel, samples
 from sparktide.operators.rollup import rollup, zip_subseries
 from sparktide.operators.select import last_n, latest_per_series, latest_sum, list_metrics, list_series, select_series
-from sparktide.operators.store import dedup_ordered, retention, ring_retention, sizing_report, store_points, tier_points
+from sparktide.operators.store import arrival_carries, arrivals_slice, dedup_ordered, retention, ring_retention, sizing_report, store_points, tier_points
 from sparktide.plans.tiers import auto_tier, check_tier, empty_series, parse_label_filter, query_range
-from sparktide.schema import union_sources
+from sparktide.schema import normalize_samples, union_sources
+from sparktide.sinks.lake import append_tiers
 
 CPU = {"host": "a"}
 TEN = [10, 20, 30, 40, 1, 2, 3, 4, 99]
@@ -181,3 +184,45 @@ def test_no_window_holds_a_whole_hot_series(spark):
     back = with_time_before(rows, 300, 3600)
     assert back.groupBy("series_id", "slice").count().agg(F.max("count")).first()[0] <= 3600 + 301
     assert near.where("NOT is_context").count() == back.where("NOT is_context").count() == 50_000
+
+
+def test_tiers_grow_call_by_call(spark, tmp_path):
+    """Repeated seconds, a bucket fed twice, minutes pruned in between, the open bucket."""
+    path = str(tmp_path / "t")
+    one = samples(spark, [("m", {"h": "a"}, t, v) for t, v in ((0, 1), (30, 3), (3600, 10), (3610, 20))])
+    two = samples(spark, [("m", {"h": "a"}, t, v, 10 + k) for k, (t, v) in enumerate(((3610, 99), (3620, 30), (7200, 5)))])
+    append_tiers(one, path)
+    minutes = spark.read.parquet(f"{path}/minute")
+    assert sorted((r.start % 86400, r.total) for r in minutes.collect()) == [(0, 4), (3600, 30)]
+    for day in os.listdir(f"{path}/minute"):
+        if day.startswith("ts_day="):
+            shutil.rmtree(f"{path}/minute/{day}")
+    made = append_tiers(two, path)
+    assert [(rel(r.ts), r.value) for r in made["raw"].orderBy("ts").collect()] == [(0, 1), (30, 3), (3600, 10), (3610, 20), (3620, 30), (7200, 5)]
+    hours = [(rel(r.bucket), r.min, r.avg, r.max) for r in made["hour"].orderBy("bucket").collect()]
+    assert hours == [(0, 1, 2, 3), (3600, 10, (10 + 20 + 99 + 30) / 4, 99)]
+    assert [(rel(r.bucket), r.max) for r in made["minute"].orderBy("bucket").collect()] == [(3600, 99)]
+    late = samples(spark, [("m", {"h": "a"}, 40, 8, 90), ("m", {"h": "b"}, 10800, 1, 91)])
+    made = append_tiers(late, path)
+    assert made["raw"].where("labels.h = 'a'").count() == 6
+    assert [(rel(r.bucket), r.max) for r in made["hour"].where("labels.h = 'a'").orderBy("bucket").collect()] == [(0, 8), (3600, 99)]
+    assert not [d for d in os.listdir(path) if "merge" in d]
+
+
+def test_bounds_reach_the_scans_of_the_tiers(spark, tmp_path):
+    rows = [(n, {"h": "a"}, 86400 * d + 60 * k, k) for n in ("m", "n") for d in range(3) for k in range(5)]
+    made = append_tiers(samples(spark, rows), str(tmp_path / "t"))
+    for tier in ("raw", "minute", "hour"):
+        found = query_range(made, "m", None, at(86400), at(86400 + 3600), tier)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(ts_day" in plan and "EqualTo(name,m)" in plan, tier
+
+
+def test_carries_are_few_where_arrival_is_the_time(spark):
+    rows = spark.range(5000).select(
+        F.lit("m").alias("name"), F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("ts"), F.col("id").cast("double").alias("value"))
+    plain = normalize_samples(rows)
+    carries = arrival_carries(plain, arrivals_slice(plain))
+    assert carries.count() <= 2 and dedup_ordered(plain).count() == 5000
+    known = spark.createDataFrame([("m", "m{}", 1_700_000_099)], "name string, series_id string, sec long")
+    assert dedup_ordered(plain, newest=known).count() == 4900

@@ -97,10 +97,11 @@ def latest(spark, sf):
 
 
 @query("latest_lookback", f"""WITH {EV} SELECT series_id, max(us) AS ts_us, arg_max(value, us) AS value FROM ev
-WHERE us BETWEEN epoch_us(TIMESTAMP '2024-01-14 23:55:00') AND epoch_us(TIMESTAMP '2024-01-15') GROUP BY series_id""")
+WHERE us BETWEEN epoch_us(TIMESTAMP '2024-01-14 18:00:00') AND epoch_us(TIMESTAMP '2024-01-15') GROUP BY series_id""")
 def latest_recent(spark, sf):
+    """Six hours back, in which most series have points at every size of the tables."""
     now = F.lit(utc(2024, 1, 15))
-    return latest_per_series(events(spark, sf), now).select("series_id", micros("ts"), "value")
+    return latest_per_series(events(spark, sf), now, 6 * 3600).select("series_id", micros("ts"), "value")
 
 
 @query("latest_sum", f"""WITH {EV} SELECT round(sum(value), 6) AS value FROM (
