@@ -106,6 +106,21 @@ def feature_windows(values: np.ndarray, diff_n: int, smooth_n: int, lag_n: int)
     return np.lib.stride_tricks.sliding_window_view(series, lag_n + 1)
 
 
+def _nearer_second(dims: np.ndarray, centres: list[np.ndarray], scale: float) -> np.ndarray:
+    """Which vectors are nearer to the second centroid, by the side of the bisecting plane they are on.
+
+    Vectors too near to the plane for that are compared by their distances.
+    """
+    way = centres[1] - centres[0]
+    beyond = way @ dims - way @ (centres[0] + centres[1]) / 2
+    far = beyond > 0
+    close = np.flatnonzero(np.abs(beyond) <= 1e-9 * scale * (np.abs(way).sum() + scale))
+    if len(close):
+        gaps = [np.sqrt(((dims[:, close] - c[:, None]) ** 2).sum(axis=0)) for c in centres]
+        far[close] = gaps[0] > gaps[1]
+    return far
+
+
 def _fit(vectors: np.ndarray, max_rounds: int, early_stop: bool):
     """Two centroids: seeded by the first vector and the first one farthest from it.
 
@@ -123,8 +138,9 @@ def _fit(vectors: np.ndarray, max_rounds: int, early_stop: bool):
     centres = [dims[:, 0].copy(), None]
     centres[1] = dims[:, int(np.argmax(reach(centres[0])))].copy()
     sides = None
+    scale = float(np.abs(dims).max(initial=0.0))
     for _ in range(max_rounds):
-        far = reach(centres[0]) > reach(centres[1])
+        far = _nearer_second(dims, centres, scale)
         if early_stop and sides is not None and np.array_equal(far, sides):
             break
         sides = far

@@ -90,6 +90,8 @@ def append_tiers(samples: DataFrame, path: str) -> dict[str, DataFrame]:
     from the minutes, which may be pruned by then.  A call reads and writes the
     days of its own samples only, besides one row per series.  Minute buckets
     are written with sums and counts; the samples are read for raw and minutes.
+    A call is not atomic: after one that failed half way, go back to the folder
+    as it was before.
     """
     spark = samples.sparkSession
     calls, newest = _newest(spark, path)
@@ -106,6 +108,8 @@ def append_tiers(samples: DataFrame, path: str) -> dict[str, DataFrame]:
         seen = seen.unionByName(newest)
     # what is stored last of a series is what was seen last: a second that exceeds all before it is always stored
     seen.groupBy("name", "series_id").agg(F.max("sec").alias("sec")).write.mode("overwrite").parquet(f"{path}/newest/{calls + 1}")
+    files, where = _place(spark, fresh)
+    files.delete(where, True)
     return read_tiers(spark, path)
 
 
