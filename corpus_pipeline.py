@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparktide.llm.contamination import contamination
 from sparktide.llm.packing import pack
 from sparktide.llm.queries import table, tokenizer_path
-from sparktide.llm.shared import shared_path
+from sparktide.llm.shared import bounded_batches, shared_path
 from sparktide.llm.shingle_join import near_duplicates
 from sparktide.llm.substring import repeated_words
 from sparktide.llm.toxicity import score_toxicity, toxicity_model
@@ -19,6 +19,7 @@ TOXIC = 0.7
 
 def wrapped(docs: DataFrame) -> DataFrame:
     """doc_id and text with all other columns in one, so that no name clashes with those an operator adds."""
+    bounded_batches(docs.sparkSession)
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     return docs.select("doc_id", "text", F.struct(*rest, F.lit(0).alias("_end")).alias("_rest"))
 
@@ -35,6 +36,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id, once if its row repeats; documents without id all stay."""
+    bounded_batches(spark)
     kept = near_duplicates(docs.select("doc_id", "text")).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
@@ -57,6 +59,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the packed sequences of all that is left."""
+    bounded_batches(spark)
     return pack(docs, tokenizer_path())
 
 

@@ -17,7 +17,7 @@ from sparktide.llm.shared import text_slices
 TRAIN_TEXTS, TRAIN_CHARS = 1000, 12_000
 #: Bits of an n-gram's hash, the lengths of n-grams, what is added to each count.
 BITS, LENGTHS, SMOOTHING = 15, (1, 2, 3), 0.5
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 #: The answer for texts without letters, or where no language was learned.
 UNKNOWN = "und"

@@ -24,9 +24,9 @@ from sparktide.llm.shared import stored, text_slices
 from sparktide.llm.words import Family, mix
 
 #: Pieces whose ids a worker remembers before it starts anew.
-CACHED_PIECES = 500_000
+CACHED_PIECES = 300_000
 #: Bytes of text that are split at a time.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 #: Partitions of the first pass up to which their offsets are broadcast; beyond, they are joined by a shuffle.
 MOST_PARTS = 1_000_000
@@ -96,9 +96,9 @@ class Ids:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.classes, self.alphabet, self.hashes = _classes(), _alphabet(), Family(9)
         self.values = mix(np.arange(sys.maxunicode + 1, dtype=np.uint64))
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.number: dict[int, int] = {}
         self.at, self.size, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
         self.used = 0
@@ -106,7 +106,7 @@ class Ids:
     def _numbers(self, signs: str, start: np.ndarray, end: np.ndarray, keys: list[int]) -> np.ndarray:
         """The number of each piece signs[start:end] among those remembered; new ones are encoded."""
         if len(self.number) + len(keys) > CACHED_PIECES:
-            self._forget()
+            self.forget()
         known, encode = self.number, self.tokenizer.model.tokenize
         new = [i for i, k in enumerate(keys) if k not in known]
         made = [[t.id for t in encode(signs[a:b])] for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
@@ -200,6 +200,7 @@ def tokenize(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "t
                     names=["doc_id", "ids", "n_tokens", "part", "part_start"],
                 )
                 total += int(where[-1])
+        encode.forget()  # workers live on between tasks and stages
 
     return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         run, "doc_id long, ids binary, n_tokens long, part long, part_start long"

@@ -24,7 +24,7 @@ TRAIN_TEXTS, TRAIN_CHARS = 1200, 12_000
 BITS, SIZE, EPOCHS, BATCH, RATE = 16, 8, 8, 32, 0.1
 #: Lengths of character n-grams; words are taken alone and in pairs.
 LENGTHS = (2, 3)
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 _word = Family(41)
 REPEAT, REPEAT_SIGN = np.uint64(0x51ED270B), np.uint32(0xE000)

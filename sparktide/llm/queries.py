@@ -15,12 +15,14 @@ from sparktide.llm.language import identify, language_model
 from sparktide.llm.licenses import scan_licenses
 from sparktide.llm.packing import pack
 from sparktide.llm.quality import quality_model, score_quality
+from sparktide.llm.shared import bounded_batches
 from sparktide.llm.shingle_join import near_duplicates
 from sparktide.llm.substring import repeated_words
 from sparktide.llm.toxicity import score_toxicity, toxicity_model
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 

@@ -11,7 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one slice of vectorised work holds at most, unless a single text is longer.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
+
+
+#: Rows and bytes of one batch between Spark and Python.  Whole texts are long: the default of 10,000 rows makes batches
+#: of tens of megabytes, which both sides of every task hold.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let the session send texts in small batches; the rows of a result do not depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

@@ -23,7 +23,7 @@ from sparktide.llm.shared import power_of_two, text_bytes, text_slices
 from sparktide.llm.words import Family, counts, spans
 
 #: Bytes of text in one batch and, as the text that they come from, of the hashes in one bucket.
-BATCH_BYTES = 6_000_000
+BATCH_BYTES = 4_000_000
 BUCKET_BYTES = 24_000_000
 
 #: The smallest difference cover of period 7: every number from 0 to 6 is a difference of two of them modulo 7.

@@ -29,7 +29,7 @@ from sparktide.llm.words import LOWER, SPACES
 TRAIN_TEXTS, TRAIN_CHARS = 1200, 12_000
 LANDMARKS, ROUNDS = 160, 3
 LETTERS, DECAY, MOST_GAP = 4, 0.75, 2
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 #: Places of the letters of a subsequence from its first one, and the weight of each pattern.
 PATTERNS = [(0, *p) for p in combinations(range(1, LETTERS + MOST_GAP), LETTERS - 1)]
