@@ -14,7 +14,7 @@ from sparktide.streaming.rollups import stream_dedup, stream_rollup
 from sparktide.streaming.scoring import stream_score
 from workload.alerting import EVENTS_SQL, RULES, alert_rows
 from workload.inputs import EV, PT, events, folder, from_events, micros, points, query, r6, table
-from workload.scoring import _plain_models
+from workload.scoring import _plain_models, gap_sql, models_sql
 
 
 def event_stream(spark, sf):
@@ -62,7 +62,14 @@ def alerts(spark, sf):
     return alert_rows(land(spark, stream_alerts(stream, A.load_rules(spark, RULES)), "alerts"))
 
 
-@query("stream_score")
+@query("stream_score", f"""WITH RECURSIVE {models_sql(PT, "SELECT epoch(TIMESTAMP '2024-01-11')::BIGINT AS t", 10 * 86400)},
+dv AS (SELECT *, value - lag(value) OVER (PARTITION BY series_id ORDER BY seq) AS d FROM ev),
+sm AS (SELECT *, CASE WHEN count(d) OVER w = 3 THEN avg(d) OVER w END AS m FROM dv
+  WINDOW w AS (PARTITION BY series_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+fx AS (SELECT *, {", ".join(f"lag(m, {5 - i}) OVER w AS x{i}" for i in range(6))} FROM sm WINDOW w AS (PARTITION BY series_id ORDER BY seq)),
+vote AS (SELECT fx.seq, CASE WHEN lo = hi THEN 0 ELSE least(100, 100 * abs((({gap_sql("c0")} + {gap_sql("c1")}) / 2 - lo) / (hi - lo))) END >= 60 AS a
+  FROM fx JOIN mo ON fx.series_id = mo.series_id AND t * 1000000 <= us WHERE x0 IS NOT NULL)
+SELECT ev.series_id, ev.us AS ts_us, ev.value, coalesce(a, false) AS anomalous FROM ev LEFT JOIN vote ON ev.seq = vote.seq""")
 def scored(spark, sf):
     """Stream scores against models trained from the first ten days."""
     from workload.inputs import utc
