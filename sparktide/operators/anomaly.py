@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sparktide.functions.labels import labels_of
 from sparktide.functions.numbers import anomaly_score, mean_distance
 from sparktide.functions.times import floor_to, unix_second
+from sparktide.operators.select import time_range
 from sparktide.plans.slices import SLICE_SECONDS, slice_window, with_rows_before
 
 # Defaults of the detector.
@@ -193,6 +194,10 @@ def train_models(
             F.transform(ends, lambda t: t * 1_000_000),
             lambda t: (us <= t) & (us >= t - window_s * 1_000_000),
         )
+    first, final = (start, end) if train_at is None else (min(train_at, default=None), max(train_at, default=None))
+    if first is not None:
+        # bounds on time and day reach the scan of a stored table
+        points = time_range(points, first - timedelta(seconds=window_s), final)
     windows = points.select("series_id", F.explode(times).alias("_at"), us.alias("_us"), "value")
 
     def train(table: pa.Table) -> pa.Table:

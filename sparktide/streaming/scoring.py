@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timedelta
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
@@ -82,8 +82,4 @@ def stream_score(
 
 def retrain(points: DataFrame, models_path: str, now: datetime, *, window_s: int = TRAINING_WINDOW_S, **settings) -> None:
     """One scheduled training of every series at ``now``, appended to the model table."""
-    since = now - timedelta(seconds=window_s)
-    recent = points.where(F.col("ts").between(F.lit(since), F.lit(now)))
-    if "ts_day" in points.columns:
-        recent = recent.where(F.col("ts_day").between(F.to_date(F.lit(since)), F.to_date(F.lit(now))))
-    train_models(recent, train_at=[now], window_s=window_s, **settings).write.mode("append").parquet(models_path)
+    train_models(points, train_at=[now], window_s=window_s, **settings).write.mode("append").parquet(models_path)

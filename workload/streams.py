@@ -11,9 +11,10 @@ from sparktide.sources.remote_write import decode_remote_write
 from sparktide.streaming.alerts import stream_alerts
 from sparktide.streaming.export import start_export, stream_export, stream_forward
 from sparktide.streaming.rollups import stream_dedup, stream_rollup
-from sparktide.streaming.scoring import stream_score
+from sparktide.streaming.scoring import retrain, stream_score
 from workload.alerting import EVENTS_SQL, RULES, alert_rows
-from workload.inputs import EV, PT, events, folder, from_events, micros, points, query, r6, table
+from workload.inputs import EV, PT, events, folder, from_events, micros, points, query, r6, table, utc
+from workload.storing import stored_tiers
 from workload.scoring import _plain_models, gap_sql, models_sql
 
 
@@ -72,7 +73,6 @@ vote AS (SELECT fx.seq, CASE WHEN lo = hi THEN 0 ELSE least(100, 100 * abs((({ga
 SELECT ev.series_id, ev.us AS ts_us, ev.value, coalesce(a, false) AS anomalous FROM ev LEFT JOIN vote ON ev.seq = vote.seq""")
 def scored(spark, sf):
     """Stream scores against models trained from the first ten days."""
-    from workload.inputs import utc
     trained = train_models(points(spark, sf), train_at=[utc(2024, 1, 11)], window_s=10 * 86400)
     base = folder(spark, "models")
     trained.write.mode("overwrite").parquet(f"{base}/models")
@@ -81,6 +81,16 @@ def scored(spark, sf):
     return out.select("series_id", micros("ts"), "value", "anomalous")
 
 
+@query("retrain", f"""WITH RECURSIVE {models_sql(PT, "SELECT unnest([epoch(TIMESTAMP '2024-01-11')::BIGINT, epoch(TIMESTAMP '2024-01-16')::BIGINT]) AS t", 10 * 86400)}
+SELECT series_id, t * 1000000 AS trained_at_us, round(lo, 6) AS min_dist, round(hi, 6) AS max_dist FROM mo""")
+def retrained(spark, sf):
+    """Two scheduled trainings from the stored raw tier, appended to one model table."""
+    base = folder(spark, "models")
+    for now in (utc(2024, 1, 11), utc(2024, 1, 16)):
+        retrain(stored_tiers(spark, sf)["raw"], f"{base}/models", now, window_s=10 * 86400)
+    return spark.read.parquet(f"{base}/models").select("series_id", micros("trained_at"), r6("min_dist"), r6("max_dist"))
+
+
 @query("stream_score_plain", f"""WITH {EV}, dv AS (SELECT *, value - lag(value) OVER (PARTITION BY series_id ORDER BY seq) AS d FROM ev),
 fm AS (SELECT *, CASE WHEN count(d) OVER w = 3 THEN avg(d) OVER w END AS m FROM dv
   WINDOW w AS (PARTITION BY series_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
