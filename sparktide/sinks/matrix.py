@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktide.functions.labels import json_text, labels_of, metric_labels, sorted_entries
@@ -11,6 +11,7 @@ from sparktide.functions.times import floor_to, unix_second
 from sparktide.plans.tiers import check_tier, empty_series, query_range
 
 CHUNK_SECONDS = 6 * 3600
+MAX_SAMPLES = 100_000
 
 
 def _chunk(ts: str, start, chunk_s: int) -> Column:
@@ -78,11 +79,19 @@ def matrix_query(tiers, metric: str, labels, start, end, tier: str | None = "raw
     return found.unionByName(empty_matrix(empty_series(tiers, metric, labels, start, end, tier), tiered=tier != "raw"))
 
 
-def timeseries_batches(points: DataFrame, *, chunk_s: int = CHUNK_SECONDS) -> DataFrame:
-    """Per series piece: label pairs (name included) and samples (value, milliseconds) in time order."""
+def timeseries_batches(points: DataFrame, *, chunk_s: int = CHUNK_SECONDS, max_samples: int = MAX_SAMPLES) -> DataFrame:
+    """Per series piece: label pairs (name included) and samples (value, milliseconds) in time order.
+
+    A piece spans at most ``chunk_s`` seconds and holds at most ``max_samples``
+    samples; ``piece`` numbers those of one stretch.  The rank is taken by a
+    sort that spills, on the keys of the grouping, so nothing moves twice.
+    """
+    keys = ["name", "series_id", "chunk"]
     sample = F.struct(F.floor(F.unix_micros("ts") / 1000).cast("long").alias("ts_ms"), "value")
-    packed = points.groupBy("name", "series_id", floor_to(unix_second("ts"), chunk_s).alias("chunk")).agg(
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("ts", "value")) - 1
+    rows = points.select("name", "series_id", "ts", "value", floor_to(unix_second("ts"), chunk_s).alias("chunk"))
+    packed = rows.withColumn("piece", F.floor(rank / F.lit(int(max_samples))).cast("long")).groupBy(*keys, "piece").agg(
         F.sort_array(F.collect_list(sample)).alias("samples")
     )
     labels = sorted_entries(metric_labels(F.col("name"), labels_of(F.col("series_id"))))
-    return packed.select("series_id", "chunk", labels.alias("labels"), "samples")
+    return packed.select("series_id", "chunk", "piece", labels.alias("labels"), "samples")

@@ -148,3 +148,12 @@ def test_fan_out(spark):
 
 def test_shared_folder(spark):
     assert shared_folder(spark, "x").endswith("/x")
+
+
+def test_batches_are_bounded_in_samples(spark):
+    s = samples(spark, [("m", {}, t % 50, t) for t in range(100)])
+    rows = timeseries_batches(s, max_samples=30).collect()
+    assert sorted((r.piece, len(r.samples)) for r in rows) == [(0, 30), (1, 30), (2, 30), (3, 10)]
+    assert sorted(x["value"] for r in rows for x in r.samples) == list(range(100))
+    plan = timeseries_batches(s, max_samples=30)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
