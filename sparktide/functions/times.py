@@ -63,7 +63,11 @@ _RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:[Zz]|[+-]\d{2}:
 
 
 def parse_time(text: Column) -> Column:
-    """Query time: unix seconds (may be fractional) or an RFC 3339 stamp; else null."""
+    """Query time: unix seconds (may be fractional) or an RFC 3339 stamp; else null.
+
+    Seconds count up to 9.2e9 on either side of 1970 (years 1678 to 2261), what
+    a nanosecond clock of 64 bits can tell; beyond, the time is null.
+    """
     seconds = text.try_cast("double")
     finite = seconds.isNotNull() & ~F.isnan(seconds) & (F.abs(seconds) < 9.2e9)
     number = F.timestamp_micros(F.when(finite, F.floor(seconds * MICROS)))

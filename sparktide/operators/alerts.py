@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sparktide.functions.labels import labels_of
 from sparktide.functions.numbers import OPERATORS, compare_op
 from sparktide.functions.times import duration_seconds
-from sparktide.plans.guard import broadcast_if
+from sparktide.plans.guard import MAX_BROADCAST_ROWS, broadcast_if
 from sparktide.plans.slices import SLICE_SECONDS, slice_window, with_slice, with_time_before
 from sparktide.schema import NOTIFIERS, RULES
 
@@ -132,8 +132,13 @@ def load_rules(
 
 
 def match_rules(samples: DataFrame, rules: RuleSet) -> DataFrame:
-    """Every (sample, rule) pair where the metric is equal and the rule's labels are on the sample."""
-    samples = samples.where(F.col("name").isin(*rules.metrics))
+    """Every (sample, rule) pair where the metric is equal and the rule's labels are on the sample.
+
+    A few rules are broadcast, and their metric names filter the scan.  Many
+    meet the samples in a shuffle join, whose hot names adaptive execution splits.
+    """
+    if rules.count <= MAX_BROADCAST_ROWS:
+        samples = samples.where(F.col("name").isin(*rules.metrics))
     carries = F.forall(
         F.map_keys("rule_labels"),
         lambda k: F.coalesce(F.try_element_at("labels", k), F.lit("")) == F.try_element_at("rule_labels", k),
