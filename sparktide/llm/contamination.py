@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparktide.llm.shared import give_back
+
 #: Bytes of item text in one automaton.  More items are dealt to several, and the documents scanned once for each.
 ITEM_BYTES = 8_000_000
 
@@ -120,6 +122,7 @@ def scan(docs: DataFrame, items: list[tuple[str, str | None]], size: int, text:
                     pa.array([sorted(m[2]) for m in made], pa.list_(pa.string())), pa.array(spans, kind),
                 ]
                 yield pa.RecordBatch.from_arrays([*some.columns[:own], *more], names=[*some.schema.names[:own], "n_words", "words", "items", "spans"])
+        give_back()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:own], *T.StructType.fromDDL(FOUND).fields]))
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparktide.llm.shared import stored, text_slices
+from sparktide.llm.shared import give_back, stored, text_slices
 from sparktide.llm.words import Family, mix
 
 #: Pieces whose ids a worker remembers before it starts anew.
@@ -200,7 +200,9 @@ def tokenize(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "t
                     names=["doc_id", "ids", "n_tokens", "part", "part_start"],
                 )
                 total += int(where[-1])
-        encode.forget()  # workers live on between tasks and stages
+        _ids.clear()
+        del encode
+        give_back()
 
     return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         run, "doc_id long, ids binary, n_tokens long, part long, part_start long"

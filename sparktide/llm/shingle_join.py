@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparktide.llm.graph import components
-from sparktide.llm.shared import stored, text_slices
+from sparktide.llm.shared import give_back, stored, text_slices
 from sparktide.llm.words import LOWER, Family, counts, mix, spans
 
 #: Trees of the forest and values in the signature of one tree.
@@ -104,6 +104,7 @@ def sketches(docs: DataFrame, n: int, forest: Forest) -> DataFrame:
                     ],
                     names=["id", "one", "two", "prefixes"],
                 )
+        give_back()
 
     return docs.mapInArrow(run, "id long, one long, two long, prefixes array<long>")
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparktide.llm.labelled import remainder, sample_by_label
-from sparktide.llm.shared import text_slices
+from sparktide.llm.shared import give_back, text_slices
 from sparktide.llm.words import LOWER, SPACES
 
 #: Texts of each label that are learned from, and characters that such a text has at most.
@@ -322,6 +322,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
                 yield pa.RecordBatch.from_arrays(
                     [*(c.slice(first, rows) for c in batch.columns), pa.array(known.probability(value)), pa.array(worst, pa.string())], names=[*names, "score", "evidence"]
                 )
+        give_back()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{kinds}, score double, evidence string")
