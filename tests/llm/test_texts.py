@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -100,6 +101,38 @@ def test_winner_is_the_nearest_wording():
             assert m["license"] == name and len(m["differences"]) <= best + 1
 
 
+def wrapped(notice, width, before):
+    return "\n".join(textwrap.wrap(notice, width, initial_indent=before, subsequent_indent=before, break_long_words=False, break_on_hyphens=False))
+
+
+def test_wrapped_licences():
+    scan = Scanner(NOTICES)
+    for name, notice in NOTICES:
+        for width, before in ((40, ""), (72, " * "), (80, "# ")):
+            text = f"{before}Copyright 2020 Some Body\n{before}\n{wrapped(notice, width, before)}\n{before}\n{before}More words.\n"
+            found = scan(text)[1]
+            assert [(f["license"], f["differences"]) for f in found] == [(name, [])], text
+            assert WORD.findall(text[found[0]["start"] : found[0]["end"]].lower()) == WORD.findall(notice.lower())
+
+
+def test_several_licences():
+    scan = Scanner(NOTICES)
+
+    def names(text):
+        return [m["license"] for m in scan(text)[1]]
+
+    assert names("It is licensed under the MIT License or the Apache License, Version 2.0, at your option.") == ["MIT", "Apache-2.0"]
+    assert names("Available under the\nGNU General Public License, version 2,\nor the BSD 3-Clause License and the ISC License.") == ["GPL-2.0", "BSD-3-Clause", "ISC"]
+    whole = {name: notice for name, notice in NOTICES if len(notice) > 500 and not notice.endswith(("distribution.", "conditions:", "permission."))}
+    assert set(whole) == {"MIT", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "0BSD", "ISC", "Apache-2.0"}
+    for one, first in whole.items():
+        for two, second in whole.items():
+            assert names(f"Released under the ISC License. {first}\n\n{second}\nReleased under the MIT License.") == ["ISC", one, two, "MIT"]
+    assert names("under a Creative Commons Attribution-NoDerivatives 4.0 International License") == []
+    listed = whole["BSD-3-Clause"].replace("Redistributions of", "\n\n1. Redistributions of").replace("Redistributions in", "\n\n2. Redistributions in").replace("Neither", "\n\n3. Neither")
+    assert names(listed.replace("the copyright holder nor", "Some Body nor")) == ["BSD-3-Clause"]
+
+
 def test_licence_rows(spark):
     docs = spark.createDataFrame([(1, "Released under the MIT License.", "x"), (1, "Released under the MIT License.", "x"), (None, None, "x"), (3, "", "x"), (4, "word " * 100_000 + "\nLicensed under CC BY-NC 4.0.", "x")], "doc_id long, text string, licenses string")
     got = sorted(scan_licenses(docs).collect(), key=lambda r: r.doc_id or 0)
