@@ -2,7 +2,8 @@
 
 The kernel of two words counts the runs of four letters they share in order, with gaps: a gap of g letters costs a factor
 DECAY ** g, and more than MOST_GAP gaps count for nothing.  So an insult with a letter put in or left out stays near the
-plain one.  Signs between the letters of a word are left out before, and words of one letter that follow each other are
+plain one.  As the word norm grows with a letter put in, a word counts also as it is without any one of its inner letters,
+unless clean texts have it.  Signs between the letters of a word are left out before, and words of one letter that follow each other are
 one word, so that `i.d-i o t` is read as a whole.
 
 Labels are those of documents; a sentence of a toxic document need not be toxic.  Training takes the sentence of each
@@ -30,6 +31,8 @@ TRAIN_TEXTS, TRAIN_CHARS = 1200, 12_000
 LANDMARKS, ROUNDS = 160, 3
 LETTERS, DECAY, MOST_GAP = 4, 0.75, 2
 SLICE = 1 << 19
+#: Probability from which a word counts without one of its letters.
+LIKELY = 0.5
 
 #: Places of the letters of a subsequence from its first one, and the weight of each pattern.
 PATTERNS = [(0, *p) for p in combinations(range(1, LETTERS + MOST_GAP), LETTERS - 1)]
@@ -107,17 +110,27 @@ class Lookup:
     def hits(self, text: Letters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, number of the key, weight) for every occurrence."""
         word, number, weight = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for pattern, w in zip(PATTERNS, WEIGHTS, strict=True):
+        for pattern, at, found in self.places(text):
+            word.append(text.word[at])
+            number.append(found)
+            weight.append(np.full(len(at), WEIGHTS[pattern]))
+        return np.concatenate(word), np.concatenate(number), np.concatenate(weight)
+
+    def places(self, text: Letters) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(number of the pattern, places of its first letter, numbers of the keys) for each pattern."""
+        for n, pattern in enumerate(PATTERNS):
             keys = text.keys(pattern)
             at = text.inside(np.flatnonzero(self.seen[self._slot(keys)]), pattern)
             if not len(at) or not len(self.keys):
                 continue
             found = np.searchsorted(self.keys, keys[at])
             same = self.keys[np.minimum(found, len(self.keys) - 1)] == keys[at]
-            word.append(text.word[at[same]])
-            number.append(found[same])
-            weight.append(np.full(int(same.sum()), w))
-        return np.concatenate(word), np.concatenate(number), np.concatenate(weight)
+            yield n, at[same], found[same]
+
+
+def _counting(sizes: np.ndarray) -> np.ndarray:
+    """0 to size - 1 for each size."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 class Model:
@@ -125,14 +138,35 @@ class Model:
 
     def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float, slope: float, shift: float):
         self.lookup, self.weights, self.bias, self.slope, self.shift = Lookup(keys), weights, bias, slope, shift
+        self.harmless: frozenset[bytes] = frozenset()
 
     def words(self, text: Letters) -> np.ndarray:
         word, number, weight = self.lookup.hits(text)
         return np.bincount(word, weight * self.weights[number], len(text.row)) / lengths(text.size) + self.bias
 
-    def rows(self, text: Letters, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    def both(self, text: Letters) -> tuple[np.ndarray, np.ndarray]:
+        """Value of each word as it is, and the highest it has without one of its inner letters.
+
+        Without a letter, the subsequences that use it are gone, and those that pass over it have a gap less.
+        """
+        n, total, at_letter = len(text.letters), np.zeros(len(text.row)), []
+        for k, at, number in self.lookup.places(text):
+            worth = WEIGHTS[k] * self.weights[number]
+            total += np.bincount(text.word[at], worth, len(text.row))
+            at_letter += [(at + i, -worth if i in PATTERNS[k] else worth * (1 / DECAY - 1)) for i in range(PATTERNS[k][-1] + 1)]
+        value = total / lengths(text.size) + self.bias
+        less = np.full(len(text.row), -np.inf)
+        if at_letter:
+            change = np.bincount(np.concatenate([a for a, _ in at_letter]), np.concatenate([v for _, v in at_letter]), n)
+            own = np.flatnonzero((text.size > LETTERS) & (total > 0))
+            place = np.repeat(text.first[own] + 1, text.size[own] - 2) + _counting(text.size[own] - 2)
+            most = np.maximum.reduceat(change[place], np.cumsum(text.size[own] - 2) - (text.size[own] - 2)) if len(own) else np.zeros(0)
+            less[own] = (total[own] + most) / lengths(text.size[own] - 1) + self.bias
+        return value, less
+
+    def rows(self, text: Letters, rows: int, words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Value of each row, and its strongest word (-1 if it has none)."""
-        value, words = np.full(rows, self.bias), self.words(text)
+        value, words = np.full(rows, self.bias), self.words(text) if words is None else words
         best = np.full(rows, -1)
         if len(words):
             order = np.lexsort((-np.arange(len(words)), words, text.row))
@@ -141,6 +175,18 @@ class Model:
             value[text.row[order[last]]] = np.maximum(words[order[last]], self.bias)
         return value, best
 
+    def hidden(self, text: Letters) -> tuple[np.ndarray, np.ndarray]:
+        """Value of each word, and the words that are likely toxic only without one letter."""
+        value, less = self.both(text)
+        likely = np.flatnonzero((less > value) & (self.probability(less) >= LIKELY))
+        likely = likely[[text.text(w) not in self.harmless for w in likely]] if len(likely) else likely
+        value[likely] = less[likely]
+        return value, likely
+
+    def judge(self, text: Letters, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """As rows, with words that have a letter put in."""
+        return self.rows(text, rows, self.hidden(text)[0])
+
     def probability(self, value: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -30, 30)))
 
@@ -299,6 +345,7 @@ def train(examples: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: i
         if np.abs(step).max() < 1e-7:
             break
     model.slope, model.shift = float(ab[0]), float(ab[1])
+    model.harmless = frozenset(text.text(w) for text, _rows in clean for w in model.hidden(text)[1])
     return model
 
 
@@ -317,7 +364,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
             for first, offsets, raw in text_slices(batch.column(where), SLICE):
                 rows = len(offsets) - 1
                 letters = Letters(raw, offsets)
-                value, best = known.rows(letters, rows)
+                value, best = known.judge(letters, rows)
                 worst = [letters.text(b).decode("utf-8", "replace") if b >= 0 else None for b in best]
                 yield pa.RecordBatch.from_arrays(
                     [*(c.slice(first, rows) for c in batch.columns), pa.array(known.probability(value)), pa.array(worst, pa.string())], names=[*names, "score", "evidence"]

@@ -51,6 +51,39 @@ def test_toxicity_finds_hidden_words(toxic_model, change):
     assert (bad >= 0.7).mean() > 0.9 and (good < 0.7).mean() > 0.95
 
 
+SHORT = ["scum", "idiot", "moron", "clown", "loser", "stupid"]
+
+
+def judged(model, texts):
+    """Whether texts are toxic, as score_toxicity decides."""
+    out = []
+    for _, offsets, raw in text_slices(pa.array(texts, pa.large_string())):
+        letters = toxicity.Letters(raw, offsets)
+        out.append(model.probability(model.judge(letters, len(offsets) - 1)[0]) >= 0.7)
+    return np.concatenate(out)
+
+
+@pytest.fixture(scope="module")
+def short_model():
+    return toxicity.train([(clean_text(), 0) for _ in range(150)] + [(f"{clean_text(10)} {bad} {clean_text(10)}", 1) for bad in SHORT for _ in range(20)])
+
+
+def test_letters_put_into_short_insults(short_model):
+    put = [w[:at] + x + w[at:] for w in SHORT for at in range(1, len(w)) for x in "xuemz"]
+    assert judged(short_model, [f"{clean_text()} {w} {clean_text()}" for w in put]).mean() > 0.95
+    assert judged(short_model, [clean_text() for _ in range(100)]).mean() < 0.05
+
+
+def test_one_letter_less_is_the_word_without_it(short_model):
+    def of(words):
+        raw = " ".join(words).encode()
+        return toxicity.Letters(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+
+    value, less = short_model.both(of(["scxum", "idixot", "scum"]))
+    assert np.allclose(value, short_model.words(of(["scxum", "idixot", "scum"])))
+    assert less[0] >= short_model.words(of(["scum"]))[0] - 1e-9 and less[1] >= short_model.words(of(["idiot"]))[0] - 1e-9 and less[2] == -np.inf
+
+
 def plain_value(model, text):
     """The strongest word by the kernel sum, letter by letter."""
     low = "".join(c.lower() if c.isascii() else c for c in text)
