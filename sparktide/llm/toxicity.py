@@ -6,9 +6,10 @@ plain one.  As the word norm grows with a letter put in, a word counts also as i
 unless clean texts have it.  Signs between the letters of a word are left out before, and words of one letter that follow each other are
 one word, so that `i.d-i o t` is read as a whole.
 
-Labels are those of documents; a sentence of a toxic document need not be toxic.  Training takes the sentence of each
-toxic document that scores highest, all sentences of clean ones, and repeats.  A sentence is as toxic as its strongest
-word, a document as its strongest sentence.  Landmarks are words of both; the machine is linear in the mapped
+Labels are those of documents, the kernel works on single words.  A word of two or three letters has an edge sign before and
+after, so that it has subsequences too; one of a single letter has none, and a phrase of words that are harmless one by one
+is not found.  Training takes the strongest words of each toxic document, those of clean ones nearest to toxic and a share
+of the others, and repeats; the bounds are parameters.  A document is as toxic as its strongest word.  Landmarks are words of both; the machine is linear in the mapped
 kernel values, so it folds into one weight for each subsequence that a landmark has, and scoring looks these up.
 """
 
@@ -29,6 +30,8 @@ from sparktide.llm.words import LOWER, SPACES
 #: Texts of each label that are learned from, and characters that such a text has at most.
 TRAIN_TEXTS, TRAIN_CHARS = 1200, 12_000
 LANDMARKS, ROUNDS = 160, 3
+#: Strongest words taken of a toxic and of a clean text, one in so many of all words of clean texts, and words of each kind at most.
+TOXIC_WORDS, CLEAN_WORDS, EVERY, MOST_TOXIC, MOST_CLEAN = 2, 3, 37, 6000, 12_000
 LETTERS, DECAY, MOST_GAP = 4, 0.75, 2
 SLICE = 1 << 19
 #: Probability from which a word counts without one of its letters.
@@ -38,6 +41,14 @@ LIKELY = 0.5
 PATTERNS = [(0, *p) for p in combinations(range(1, LETTERS + MOST_GAP), LETTERS - 1)]
 WEIGHTS = [DECAY ** (p[-1] - LETTERS + 1) for p in PATTERNS]
 
+#: Stands before and after a short word.
+EDGE = 1
+
+
+def _padded(word: bytes) -> bytes:
+    return b"%c%b%c" % (EDGE, word, EDGE) if 1 < len(word) < LETTERS else word
+
+
 _KEPT = np.array([97 <= b <= 122 or b >= 128 for b in range(256)])
 #: Signs that stand for a letter when they are between two letters.
 _STANDS = np.arange(256, dtype=np.uint8)
@@ -71,6 +82,13 @@ class Letters:
         self.row = row[~joins]
         self.size = np.bincount(self.word, minlength=len(self.row))
         self.first = np.cumsum(self.size) - self.size
+        short = (self.size > 1) & (self.size < LETTERS)
+        if short.any():
+            size = self.size + 2 * short
+            first = np.cumsum(size) - size
+            padded = np.full(int(size.sum()), EDGE, np.uint8)
+            padded[np.arange(len(self.letters)) + (first - self.first + short)[self.word]] = self.letters
+            self.letters, self.word, self.size, self.first = padded, np.repeat(np.arange(len(size)), size), size, first
 
     def keys(self, pattern: tuple[int, ...]) -> np.ndarray:
         """The four letters of the pattern from each place on, as one number; across words as well."""
@@ -86,7 +104,7 @@ class Letters:
         return at[self.word[at] == self.word[at + pattern[-1]]]
 
     def text(self, word: int) -> bytes:
-        return self.letters[self.first[word] : self.first[word] + self.size[word]].tobytes()
+        return self.letters[self.first[word] : self.first[word] + self.size[word]].tobytes().strip(bytes([EDGE]))
 
 
 def lengths(size: np.ndarray) -> np.ndarray:
@@ -158,7 +176,7 @@ class Model:
         less = np.full(len(text.row), -np.inf)
         if at_letter:
             change = np.bincount(np.concatenate([a for a, _ in at_letter]), np.concatenate([v for _, v in at_letter]), n)
-            own = np.flatnonzero((text.size > LETTERS) & (total > 0))
+            own = np.flatnonzero((text.size > LETTERS) & (total > 0) & (text.letters[text.first] != EDGE))
             place = np.repeat(text.first[own] + 1, text.size[own] - 2) + _counting(text.size[own] - 2)
             most = np.maximum.reduceat(change[place], np.cumsum(text.size[own] - 2) - (text.size[own] - 2)) if len(own) else np.zeros(0)
             less[own] = (total[own] + most) / lengths(text.size[own] - 1) + self.bias
@@ -219,19 +237,20 @@ def _first_guess(toxic: list, clean: list) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.where(z > 2, z, 0)
 
 
-def _strongest(slices: list, words_of) -> list[list[tuple[float, bytes]]]:
-    """For each row its up to three strongest words with their values."""
+def _strongest(slices: list, words_of, most: int) -> list[list[tuple[float, bytes]]]:
+    """For each row its up to `most` strongest words with their values."""
     out = []
     for text, rows in slices:
         value = words_of(text)
         order = np.lexsort((-value, text.row))
         edge = np.searchsorted(text.row[order], np.arange(rows + 1))
-        out += [[(float(value[w]), text.text(w)) for w in order[a : min(b, a + 3)]] for a, b in zip(edge, edge[1:], strict=False)]
+        out += [[(float(value[w]), text.text(w)) for w in order[a : min(b, a + most)]] for a, b in zip(edge, edge[1:], strict=False)]
     return out
 
 
 def _features(words: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, key, value) of the normed subsequence vectors of words."""
+    words = [_padded(w) for w in words]
     raw = np.frombuffer(b" ".join(words), np.uint8)
     text = Letters.__new__(Letters)
     size = np.array([len(w) for w in words])
@@ -241,7 +260,7 @@ def _features(words: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _all_keys(words: list[bytes]) -> np.ndarray:
-    keys = {bytes(w[i + p] for p in pattern) for w in words for pattern in PATTERNS for i in range(len(w) - pattern[-1])}
+    keys = {bytes(w[i + p] for p in pattern) for w in map(_padded, words) for pattern in PATTERNS for i in range(len(w) - pattern[-1])}
     return np.unique(np.frombuffer(b"".join(sorted(keys)), "<u4")) if keys else np.zeros(0, np.uint32)
 
 
@@ -274,8 +293,15 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0) -
     return w
 
 
-def train(examples: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> Model:
-    """The model of labelled texts; the share of label 1 for every text where one label is missing."""
+def train(
+    examples: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = ROUNDS, toxic_words: int = TOXIC_WORDS, clean_words: int = CLEAN_WORDS,
+    every: int = EVERY, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN,
+) -> Model:
+    """The model of labelled texts; the share of label 1 for every text where one label is missing.
+
+    Of a toxic text the `toxic_words` strongest words are learned from, of a clean one the `clean_words` strongest, and one in
+    `every` of all words of clean texts; in all the most frequent `most_toxic` and `most_clean` of these.
+    """
     texts = {y: [t for t, label in examples if label == y] for y in (0, 1)}
     if not texts[0] or not texts[1]:
         return _constant(len(texts[1]) / max(len(examples), 1))
@@ -293,28 +319,28 @@ def train(examples: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: i
 
     value_of, model = guessed, None
     for _ in range(rounds):
-        bad = _strongest(toxic, value_of)
+        bad = _strongest(toxic, value_of, toxic_words)
         witness: dict[bytes, float] = {}
         for own in bad:
-            for v, w in own[:2]:
-                if own[0][0] > 0 and v >= 0.5 * own[0][0] and len(w) >= LETTERS:
+            for v, w in own:
+                if own[0][0] > 0 and v >= 0.5 * own[0][0] and len(w) > 1:
                     witness[w] = witness.get(w, 0.0) + (v if model is None else 1.0)
         plain: dict[bytes, int] = {}
-        for own in _strongest(clean, value_of):  # the words of clean texts nearest to toxic ones
+        for own in _strongest(clean, value_of, clean_words):  # the words of clean texts nearest to toxic ones
             for _v, w in own:
-                if len(w) >= LETTERS:
+                if len(w) > 1:
                     plain[w] = plain.get(w, 0) + 1
         for text, _rows in clean:
-            for w in range(0, len(text.row), 37):
+            for w in range(0, len(text.row), every):
                 word = text.text(w)
-                if len(word) >= LETTERS:
+                if len(word) > 1:
                     plain.setdefault(word, 0)
         for w in [w for w in witness if plain.get(w, 0) > 2]:
             del witness[w]
         if not witness or not plain:
             return model or _constant(len(texts[1]) / len(examples))
         positive = sorted(witness, key=lambda w: (-witness[w], w))
-        negative = sorted((w for w in plain if w not in witness), key=lambda w: (-plain[w], w))[:12_000]
+        negative = sorted((w for w in plain if w not in witness), key=lambda w: (-plain[w], w))[:most_clean]
         near = sorted(positive[: landmarks * 2 // 3] + negative[: landmarks // 3])
         keys = _all_keys(near)
         if not len(keys):
@@ -325,8 +351,8 @@ def train(examples: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: i
         size, turn = np.linalg.eigh((vectors @ vectors.T).astype(np.float64))
         some = size > 1e-6 * size.max()
         root = turn[:, some] / np.sqrt(size[some])
-        words = positive[:6000] + negative
-        y = np.where(np.arange(len(words)) < min(len(positive), 6000), 1.0, -1.0)
+        words = positive[:most_toxic] + negative
+        y = np.where(np.arange(len(words)) < min(len(positive), most_toxic), 1.0, -1.0)
         count = np.array([np.sqrt(max(1.0, witness.get(w, 1.0))) for w in words])
         each = np.where(y > 0, count / count[y > 0].sum(), 1 / max((y < 0).sum(), 1))
         w = _svm(_kernel(words, keys, vectors) @ root, y, each)
@@ -377,8 +403,8 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
 
 def toxicity_model(
     docs: DataFrame, labels: DataFrame, parts: int = 3, held_out: int = 1, label: str = "toxic", id: str = "doc_id", text: str = "text",
-    most: int = TRAIN_TEXTS, chars: int = TRAIN_CHARS,
+    most: int = TRAIN_TEXTS, chars: int = TRAIN_CHARS, **bounds: int,
 ) -> Model:
-    """The model learned from a bounded sample of the labelled rows whose checksum modulo `parts` is not `held_out`."""
+    """The model learned from a bounded sample of the labelled rows whose checksum modulo `parts` is not `held_out`; bounds go to train."""
     own = docs.where(remainder(id, parts) != held_out).select(id, text)
-    return train(sample_by_label(own, labels.select(id, label), label, [0, 1], most, chars, id, text))
+    return train(sample_by_label(own, labels.select(id, label), label, [0, 1], most, chars, id, text), **bounds)

@@ -84,6 +84,21 @@ def test_one_letter_less_is_the_word_without_it(short_model):
     assert less[0] >= short_model.words(of(["scum"]))[0] - 1e-9 and less[1] >= short_model.words(of(["idiot"]))[0] - 1e-9 and less[2] == -np.inf
 
 
+def test_insults_of_two_and_three_letters():
+    def texts(words):
+        return [f"{clean_text(10)} {w} {clean_text(10)}" for w in words for _ in range(30)]
+
+    model = toxicity.train([(clean_text(), 0) for _ in range(150)] + [(t, 1) for t in texts(["oaf", "git", "zy"])])
+    assert judged(model, texts(["oaf", "GIT", "zy", "o-a-f"])).mean() > 0.9
+    assert judged(model, texts(["oak", "gi", "zygit"])).mean() < 0.4 and judged(model, [clean_text() for _ in range(100)]).mean() < 0.05
+
+
+def test_training_bounds_are_parameters():
+    examples = [(clean_text(), 0) for _ in range(60)] + [(toxic_text(), 1) for _ in range(60)]
+    few = toxicity.train(examples, landmarks=6, most_toxic=2, most_clean=50, toxic_words=1, clean_words=1, every=100)
+    assert 0 < len(few.weights) < len(toxicity.train(examples).weights)
+
+
 def plain_value(model, text):
     """The strongest word by the kernel sum, letter by letter."""
     low = "".join(c.lower() if c.isascii() else c for c in text)
