@@ -2,7 +2,8 @@
 
 A page becomes a flat list of blocks.  Each has its words, its link density (the share of its words inside links), the
 same of the block before and after it, whether an element around it is by its name, class, id or role one for menus,
-adverts, notices, comments and the like, and whether it stands in an article.  A tree grown from the labelled blocks
+adverts, notices, comments and the like, and whether it stands in an article.  A form, or an element marked by a word of
+its class or id only, counts for nothing if it holds an article or most words of the page.  A tree grown from the labelled blocks
 below says which blocks are main text.
 """
 
@@ -44,9 +45,11 @@ BEFORE = frozenset(
     " notice notices alert popup modal overlay toolbar topbar copyright disclaimer legal skip".split()
 )
 MAIN = frozenset(("article", "main"))
+#: Words of classes and ids that stay whatever the element holds; only these mark an article.
+COMMENTS = frozenset("comment comments respond reply replies discussion disqus".split())
 
 #: Labelled blocks: words, link density, words and link density before, words and link density after, 1 in an element of
-#: the lists above, 1 in an article, and 1 for main text.  Made up for this purpose.
+#: the lists above and 2 if it is hidden or for comments, 1 in an article, and 1 for main text.  Made up for this purpose.
 LABELLED = """
 1 1.0 0 0.0 1 1.0 1 0 0
 1 1.0 1 1.0 1 1.0 1 0 0
@@ -65,6 +68,17 @@ LABELLED = """
 2 1.0 3 1.0 2 1.0 1 1 0
 60 0.1 40 0.0 10 0.0 1 1 0
 1 0.0 45 0.0 30 0.0 1 1 0
+150 0.0 120 0.0 140 0.0 1 0 1
+110 0.02 60 0.0 90 0.0 1 0 1
+240 0.05 8 0.0 130 0.0 1 0 1
+130 0.0 150 0.0 6 0.0 1 1 1
+170 0.04 90 0.0 100 0.0 1 1 1
+150 0.0 120 0.0 140 0.0 2 0 0
+60 0.0 40 0.0 30 0.0 2 0 0
+12 0.0 50 0.0 45 0.0 2 0 0
+150 0.0 120 0.0 140 0.0 2 1 0
+170 0.04 90 0.0 100 0.0 2 1 0
+9 0.0 5 0.0 60 0.0 2 1 0
 9 0.0 5 0.0 60 0.0 0 1 1
 1 0.0 9 0.0 44 0.0 0 1 1
 2 0.0 50 0.0 1 0.0 0 1 1
@@ -146,38 +160,52 @@ def tree() -> Tree:
     return Tree(table[:, :-1], table[:, -1])
 
 
-def _kind(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element by its name or attributes is of the first or the second kind above."""
-    words = {name}
+def _kind(name: str, attributes: str) -> tuple[int, int, bool]:
+    """Whether an element by its name or attributes is of the first or the second kind above (2: hidden or for comments), and
+    whether it is so only by its class or id or as a form.
+    """
+    sure, named = {name} - {"form"}, {name}
     if attributes:
         for what, value in ATTRIBUTE.findall(attributes):
             what, value = what.lower(), value.strip("\"'").lower()
             if what in ("hidden",) or (what == "aria-hidden" and value == "true"):
-                return True, False
+                return 2, 0, False
             if what == "style":
                 if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                    return True, False
+                    return 2, 0, False
             elif what != "hidden":
-                words.update(re.split(r"[^a-z]+", value))
-    return not words.isdisjoint(ASIDE), not words.isdisjoint(BEFORE)
+                words = re.split(r"[^a-z]+", value)
+                named.update(words)
+                if what == "role":
+                    sure.update(words)
+    if not named.isdisjoint(COMMENTS):
+        return 2, 0, False
+    first, second = not named.isdisjoint(ASIDE), not named.isdisjoint(BEFORE)
+    return int(first), int(second), sure.isdisjoint(ASIDE) and sure.isdisjoint(BEFORE)
 
 
 class Block:
-    __slots__ = ("parts", "linked", "marked", "within")
+    __slots__ = ("parts", "linked", "marked", "named", "within")
 
-    def __init__(self, marked: bool, within: bool):
+    def __init__(self, marked: int, named: frozenset[int], within: bool):
         self.parts: list[str] = []
         self.linked: list[str] = []
-        self.marked, self.within = marked, within
+        self.marked, self.named, self.within = marked, named, within
 
 
-def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
+def blocks(page: str) -> list[tuple[str, float, int, bool]]:
     """(text, link density, marked, in an article) of every block with words, in page order."""
-    out: list[tuple[str, float, bool, bool]] = []
-    open_: list[tuple[str, bool, bool, bool]] = []  # name, first kind, second kind, in an article
-    aside = before = within = False
-    links = 0
-    now = Block(False, False)
+    out: list[tuple[str, float, int, frozenset[int], bool]] = []
+    # name, first kind, second kind, in an article, elements marked by name only: of the first kind, of the second, around an article or not
+    none: frozenset[int] = frozenset()
+    open_: list[tuple[str, int, int, bool, frozenset[int], frozenset[int], frozenset[int]]] = []
+    state = ("", 0, 0, False, none, none, none)
+    holding: set[int] = set()
+    numbers = links = 0
+    now = Block(0, none, False)
+
+    def fresh() -> Block:
+        return Block(max(state[1], state[2]), state[4] | state[5], state[3])
 
     def close() -> None:
         nonlocal now
@@ -186,8 +214,8 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
             if text:
                 words = len(text.split(" "))
                 linked = len(html.unescape(" ".join(now.linked)).split()) if now.linked else 0
-                out.append((text, min(1.0, linked / words), now.marked, now.within))
-        now = Block(aside or before, within)
+                out.append((text, min(1.0, linked / words), now.marked, now.named, now.within))
+        now = fresh()
 
     at, n = 0, len(page)
     while at < n:
@@ -222,28 +250,41 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
                 if places:
                     del open_[places[0] :]
             elif not attributes.rstrip().endswith("/"):
-                first, second = _kind(name, attributes)
-                if name in MAIN and not first:
-                    second = False
-                    open_.append((name, aside, False, True))
+                first, second, weak = _kind(name, attributes)
+                _, aside, before, within, one, two, around = state
+                if name in MAIN and (weak or not first):
+                    holding |= around
+                    open_.append((name, aside, 0, True, one, none, around))
                 elif name == "header" and within:
-                    open_.append((name, aside, before, within))
+                    open_.append((name, aside, before, within, one, two, around))
                 elif name == "body":
-                    open_.append((name, False, False, False))
+                    open_.append((name, 0, 0, False, none, none, none))
+                elif weak and (first or second):
+                    numbers += 1
+                    own = frozenset((numbers,))
+                    open_.append((name, aside, before, within, one | own if first else one, two if first else two | own, around | own))
                 else:
-                    open_.append((name, aside or first, before or second, within))
-            _, aside, before, within = open_[-1] if open_ else ("", False, False, False)
+                    open_.append((name, max(aside, first), max(before, second), within, one, two, around))
+            state = open_[-1] if open_ else ("", 0, 0, False, none, none, none)
             if name in BLOCKS:
                 links = 0 if not open_ or name in ("body", "article", "main") else links
-                now = Block(aside or before, within)
+                now = fresh()
     close()
-    return out
+    inside: dict[int, float] = {}
+    total = 0.0
+    for text, density, marked, named, _within in out:
+        words = (1 - density) * (text.count(" ") + 1) * (marked < 2)
+        total += words
+        for k in named:
+            inside[k] = inside.get(k, 0.0) + words
+    ignored = holding | {k for k, words in inside.items() if 2 * words > total}
+    return [(text, density, max(marked, int(bool(named - ignored))), within) for text, density, marked, named, within in out]
 
 
 def main_blocks(page: str | None) -> list[str]:
     """The blocks of a page that are main text."""
     found = blocks(page or "")
-    judge, none = tree(), ("", 0.0, False, False)
+    judge, none = tree(), ("", 0.0, 0, False)
     size = [len(b[0].split(" ")) for b in found]
     out = []
     for i, (text, density, marked, within) in enumerate(found):

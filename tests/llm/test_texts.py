@@ -160,6 +160,21 @@ def test_page_without_article():
     assert len(main_blocks(page)) == 2
 
 
+@pytest.mark.parametrize("around", ['<article class="long-form">%s</article>', '<div class="search-result">%s</div>', '<div id="social-post">%s</div>', '<form action="/x"><div>%s</div></form>', '<form><main class="sidebar-left">%s</main></form>', '<div class="legal">%s</div>'])
+def test_names_do_not_lose_the_main_text(around):
+    text = ["many words of a long text that is the body " * 4, "a short line of it", "and more words of it in the next block " * 4]
+    menu = '<div class="menu"><a href="/">Home</a> <a href="/all">All of it</a></div>'
+    comments = '<section class="comments"><article class="comment"><p>' + "words of a reader who has a lot to say on it " * 20 + "</p></article></section>"
+    page = f"<body>{menu}{around % ''.join(f'<p>{t}</p>' for t in text)}%s<footer>the end</footer></body>"
+    assert main_blocks(page % "") == [t.strip() for t in text]
+    assert main_blocks(page % comments) == [t.strip() for t in text]
+
+
+def test_small_marked_parts_stay_out():
+    page = f'<article><p>{"many words of a text " * 20}</p><div class="share"><p>Send it to all the people that you know well</p></div><div hidden><p>{"unseen words " * 90}</p></div></article>'
+    assert main_blocks(page) == [("many words of a text " * 20).strip()]
+
+
 def test_broken_pages():
     for page in (None, "", "<", "<p", "</div></p>", "<p>a < b", "<script>never closed", "&am &amp x", "<a href=\"x>y</a>", "<p>" * 3000):
         assert isinstance(main_blocks(page), list)
