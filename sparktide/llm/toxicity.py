@@ -183,8 +183,8 @@ class Model:
         return value, less
 
     def rows(self, text: Letters, rows: int, words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Value of each row, and its strongest word (-1 if it has none)."""
-        value, words = np.full(rows, self.bias), self.words(text) if words is None else words
+        """Value of each row, and its strongest word (-1 if it has none); of the words as they may be read, or of given values."""
+        value, words = np.full(rows, self.bias), self.hidden(text)[0] if words is None else words
         best = np.full(rows, -1)
         if len(words):
             order = np.lexsort((-np.arange(len(words)), words, text.row))
@@ -201,10 +201,6 @@ class Model:
         value[likely] = less[likely]
         return value, likely
 
-    def judge(self, text: Letters, rows: int) -> tuple[np.ndarray, np.ndarray]:
-        """As rows, with words that have a letter put in."""
-        return self.rows(text, rows, self.hidden(text)[0])
-
     def probability(self, value: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -30, 30)))
 
@@ -358,7 +354,7 @@ def train(
         w = _svm(_kernel(words, keys, vectors) @ root, y, each)
         model = Model(keys, vectors.T.astype(np.float64) @ (root @ w[:-1]), float(w[-1]), 1.0, 0.0)
         value_of = model.words
-    value = np.concatenate([model.rows(text, rows)[0] for text, rows in (*toxic, *clean)])
+    value = np.concatenate([model.rows(text, rows, model.words(text))[0] for text, rows in (*toxic, *clean)])
     y = np.repeat([1.0, 0.0], [len(texts[1]), len(texts[0])])
     # label 1 is rarer outside the sample; smoothed targets keep the curve finite
     target = np.where(y > 0, (len(texts[1]) + 1) / (len(texts[1]) + 2), 1 / (len(texts[0]) + 2))
@@ -390,7 +386,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
             for first, offsets, raw in text_slices(batch.column(where), SLICE):
                 rows = len(offsets) - 1
                 letters = Letters(raw, offsets)
-                value, best = known.judge(letters, rows)
+                value, best = known.rows(letters, rows)
                 worst = [letters.text(b).decode("utf-8", "replace") if b >= 0 else None for b in best]
                 yield pa.RecordBatch.from_arrays(
                     [*(c.slice(first, rows) for c in batch.columns), pa.array(known.probability(value)), pa.array(worst, pa.string())], names=[*names, "score", "evidence"]

@@ -59,7 +59,7 @@ def judged(model, texts):
     out = []
     for _, offsets, raw in text_slices(pa.array(texts, pa.large_string())):
         letters = toxicity.Letters(raw, offsets)
-        out.append(model.probability(model.judge(letters, len(offsets) - 1)[0]) >= 0.7)
+        out.append(model.probability(model.rows(letters, len(offsets) - 1)[0]) >= 0.7)
     return np.concatenate(out)
 
 
