@@ -19,6 +19,7 @@ from sparktide.llm.shared import bounded_batches
 from sparktide.llm.shingle_join import near_duplicates
 from sparktide.llm.substring import repeated_words
 from sparktide.llm.toxicity import score_toxicity, toxicity_model
+from sparktide.llm.vector_codes import compress_vectors
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -164,6 +165,43 @@ FROM words d LEFT JOIN classes USING (w) JOIN lowest l ON l.doc_id = d.doc_id
 """
 
 
+def op12_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    found = compress_vectors(table(spark, sf, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", F.sha2("codebooks", 256).alias("codebooks_sha256"))
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The same for vectors of one length that is a multiple of `parts`."""
+    steps = [f"""
+ints AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS w FROM ints, range({parts}) t(p)),
+book0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, w FROM parts QUALIFY k < {entries})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+near{r} AS MATERIALIZED (
+  SELECT vec_id, p, any_value(a.w) AS w, min({{'d': list_sum(list_transform(list_zip(a.w, b.w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'k': k}}) AS best
+  FROM parts a JOIN book{r} b USING (p) GROUP BY vec_id, p)""")
+        if r < rounds:
+            steps.append(f"""
+book{r + 1} AS MATERIALIZED (
+  SELECT b.p, b.k, coalesce(m.w, b.w) AS w FROM book{r} b LEFT JOIN (
+    SELECT p, k, list(x ORDER BY i) AS w FROM (
+      SELECT p, k, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x
+      FROM (SELECT p, best.k AS k, unnest(w) AS x, unnest(range(len(w))) AS i FROM near{r}) GROUP BY p, k, i) GROUP BY p, k) m
+  ON m.p = b.p AND m.k = b.k)""")
+    return "WITH " + ",".join(steps) + f""",
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', best.k), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(w, ','), ',' ORDER BY p, k)) FROM book{rounds}) AS codebooks_sha256
+FROM coded JOIN ints USING (vec_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_vectors": op1_near_vectors,
     "op2_substring_dedup": op2_substring_dedup,
@@ -175,6 +213,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_packing": op9_packing,
     "op10_ngram_join": op10_ngram_join,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 SQL: dict[str, str] = {
@@ -182,4 +221,5 @@ SQL: dict[str, str] = {
     "op2_substring_dedup": OP2,
     "op6_decontamination": OP6,
     "op10_ngram_join": OP10,
+    "op12_vector_codes": _codes_sql(),
 }
