@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktide.llm.contamination import contamination
+from sparktide.llm.conversation_repair import damaged, repair
 from sparktide.llm.embeddings import near_vectors
 from sparktide.llm.html import extract_text
 from sparktide.llm.labelled import remainder
@@ -165,6 +166,76 @@ FROM words d LEFT JOIN classes USING (w) JOIN lowest l ON l.doc_id = d.doc_id
 """
 
 
+def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return repair(damaged(table(spark, sf, "conversations")))[0]
+
+
+def _state(c: str, a: str, r: str, when: str) -> str:
+    return f"CASE WHEN {when} THEN {{'c': {c}, 'a': {a}, 'r': {r}}} END"
+
+
+def _after(state: str, cost: str, initial: str, line: str | None, when: str = "TRUE") -> str:
+    """A state after one more edit; an edit of an unreachable state, or one that may not be, is null."""
+    turns = f"list_append({state}.r, {line})" if line else f"{state}.r"
+    return _state(f"{state}.c + {cost}", f"{state}.a || '{initial}'", turns, f"{state} IS NOT NULL AND {when}")
+
+
+def _repair_sql() -> str:
+    """One row of a conversation after the other, keeping the least (cost, audit) of each state of the roles so far."""
+    user, assistant = "'user:'", "'assistant:'"
+    insert = lambda s, line: _after(s, "2", "I", line)
+    twice = lambda s: _state(f"{s}.c + 4", f"{s}.a || 'II'", f"list_concat({s}.r, [{user}, {assistant}])", f"{s} IS NOT NULL")
+    to_user = f"list_min([u, {insert('n', user)}, {insert('s', user)}, {insert('a', user)}])"
+    to_assistant = f"list_min([a, {insert('u', assistant)}, {twice('n')}, {twice('s')}])"
+    keep = lambda s, initial: _after(s, "late", "K", "role || ':' || text", f"NOT faulty AND role[1] = '{initial}'")
+    turn = lambda s, role: _after(s, "late + 2", "R", f"'{role}:' || text", "NOT faulty")
+    delete = lambda s: _after(s, "3", "D", None)
+    new = {
+        "n": [delete("n")],
+        "s": [delete("s"), keep("n", "s")],
+        "u": [delete("u2"), *(f(x, w) for x in ("n", "s", "a2") for f, w in ((keep, "u"), (turn, "user")))],
+        "a": [delete("a2"), keep("u2", "a"), turn("u2", "assistant")],
+    }
+    bits = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    return f"""
+WITH RECURSIVE marked AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+sums AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(name, ''), lambda z: CAST(ord(z) AS BIGINT))),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), CAST(range(8) AS BIGINT[])), lambda x, k: {bits})), 4294967295) % 20 AS kind FROM marked),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE WHEN kind = 0 THEN 0 WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM sums),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || ':' || text), copy) AS i,
+         rtrim(text, e' \t\n\x0b\x0c\r') AS body FROM hurt),
+seen AS (
+  SELECT *, body = '' AS blank, body <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM placed),
+rows AS MATERIALIZED (
+  SELECT *, blank OR again AS faulty, CAST(NOT blank AND NOT again AND right(body, 1) NOT IN ('.', '!', '?') AS BIGINT) AS late FROM seen),
+steps AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 'a': '', 'r': CAST([] AS VARCHAR[])}} AS n,
+         CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR[])) AS s, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR[])) AS u,
+         CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR[])) AS a FROM conversations
+  UNION ALL
+  SELECT conv_id, i, {", ".join(f"list_min([{', '.join(x)}]) AS {k}" for k, x in new.items())}
+  FROM (SELECT t.conv_id, r.i, n, s, {to_user} AS u2, {to_assistant} AS a2, r.role, r.text, r.faulty, r.late
+        FROM steps t JOIN rows r ON r.conv_id IS NOT DISTINCT FROM t.conv_id AND r.i = t.i + 1)),
+final AS (
+  SELECT conv_id, list_min([n, {to_assistant}]) AS f FROM steps t
+  WHERE i = (SELECT count(*) FROM rows r WHERE r.conv_id IS NOT DISTINCT FROM t.conv_id)),
+counts AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, sum(CAST(blank AS INT)) AS blank, sum(CAST(again AS INT)) AS duplicate, sum(late) AS truncated,
+         count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv_id)
+SELECT f.conv_id, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("gaps", "blank", "duplicate", "truncated", "illegal"))},
+       f.c AS cost, f.a AS audit, sha256(array_to_string(f.r, chr(10))) AS repaired_sha256
+FROM final f LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM f.conv_id
+"""
+
+
 def op12_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
     found = compress_vectors(table(spark, sf, "embeddings"))
     return found.select("vec_id", "code", "error", "label_error", F.sha2("codebooks", 256).alias("codebooks_sha256"))
@@ -213,6 +284,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_packing": op9_packing,
     "op10_ngram_join": op10_ngram_join,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_vector_codes": op12_vector_codes,
 }
 
@@ -221,5 +293,6 @@ SQL: dict[str, str] = {
     "op2_substring_dedup": OP2,
     "op6_decontamination": OP6,
     "op10_ngram_join": OP10,
+    "op11_conversation_repair": _repair_sql(),
     "op12_vector_codes": _codes_sql(),
 }
