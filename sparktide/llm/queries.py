@@ -16,6 +16,7 @@ from sparktide.llm.language import identify, language_model
 from sparktide.llm.licenses import scan_licenses
 from sparktide.llm.packing import pack
 from sparktide.llm.quality import quality_model, score_quality
+from sparktide.llm.repeated_bytes import repeated_bytes
 from sparktide.llm.shared import bounded_batches
 from sparktide.llm.shingle_join import near_duplicates
 from sparktide.llm.substring import repeated_words
@@ -273,6 +274,28 @@ FROM coded JOIN ints USING (vec_id)
 """
 
 
+def op13_repeated_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    found = repeated_bytes(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP13 = r"""
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, h, unnest(range(len(h) // 2 - 99)) AS i FROM texts WHERE len(h) >= 200),
+windows AS (SELECT doc_id, i, md5(array_slice(h, 2 * i + 1, 2 * i + 200)) AS w FROM starts),
+late AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1),
+runs AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, TRUE) AS fresh FROM late),
+numbered AS (SELECT doc_id, i, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM runs),
+gone AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM numbered GROUP BY 1, 2),
+between AS (
+  SELECT doc_id, run, array_slice(h, 2 * coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY run), 0) + 1, 2 * a) AS piece, b - a AS n, b FROM gone JOIN texts USING (doc_id)),
+left_over AS (SELECT doc_id, string_agg(piece, '' ORDER BY run) AS kept, max(b) AS b, sum(n) AS n, count(*) AS runs FROM between GROUP BY 1)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(runs, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || array_slice(h, 2 * coalesce(b, 0) + 1, len(h)))) AS kept_sha256
+FROM texts LEFT JOIN left_over USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_vectors": op1_near_vectors,
     "op2_substring_dedup": op2_substring_dedup,
@@ -286,6 +309,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_join": op10_ngram_join,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_vector_codes": op12_vector_codes,
+    "op13_repeated_bytes": op13_repeated_bytes,
 }
 
 SQL: dict[str, str] = {
@@ -295,4 +319,5 @@ SQL: dict[str, str] = {
     "op10_ngram_join": OP10,
     "op11_conversation_repair": _repair_sql(),
     "op12_vector_codes": _codes_sql(),
+    "op13_repeated_bytes": OP13,
 }
