@@ -148,8 +148,19 @@ def _packed(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
+def late_windows(table: pa.Table, length: int) -> list[np.ndarray]:
+    """For each span the windows that are not the earliest of their content; of equal spans only the earliest is sorted."""
+    which = table.column("text").combine_chunks().dictionary_encode().indices.to_numpy()
+    order = np.lexsort((*(table.column(c).to_numpy() for c in ("at", "tie", "id")), which))
+    first = order[np.append(True, np.diff(which[order]) > 0)[: len(order)]]
+    late = earliest(table.take(pa.array(first)), length)
+    leads = np.zeros(len(which), bool)
+    leads[first] = True
+    return [late[w] if lead else np.ones(len(late[w]), bool) for w, lead in zip(which.tolist(), leads.tolist(), strict=True)]
+
+
 def earliest(table: pa.Table, length: int) -> list[np.ndarray]:
-    """For each span the windows that are not the earliest of their content, as truth values."""
+    """For each of several different spans the windows that are not the earliest of their content, as truth values."""
     texts = table.column("text").to_pylist()
     sizes = np.array([len(t) for t in texts])
     # bytes of UTF-8 stay below 255, so 0 is free for the ends
@@ -239,7 +250,7 @@ def repeated_bytes(docs: DataFrame, length: int = 100, id: str = "doc_id", text:
             fit = ends[(ends > start) & (held[ends - 1] <= below + ARRAY_BYTES)]
             stop = int(fit[-1]) if len(fit) else int(ends[np.searchsorted(ends, start, "right")])
             part = table.slice(start, stop - start).combine_chunks()
-            for who, others, late in zip(part.column("_batch").to_pylist(), part.column("others").to_pylist(), earliest(part, length), strict=True):
+            for who, others, late in zip(part.column("_batch").to_pylist(), part.column("others").to_pylist(), late_windows(part, length), strict=True):
                 if late.any() or len(others) > 16:
                     out.append((who, len(late), others, _packed(np.packbits(late))))
             start = stop
