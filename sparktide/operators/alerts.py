@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ class RuleSet:
     metrics: tuple[str, ...]
     windows_s: tuple[float, ...]
     kinds: tuple[str, ...]
+    silences_s: tuple[float, ...] = ()
 
     def hinted(self) -> DataFrame:
         return broadcast_if(self.table, self.count)
@@ -73,6 +75,8 @@ def check_rule(rule: Mapping, notifier_names: set[str] | None, scoring: bool) ->
         errors.append(f"{name}: metric is required")
     if _seconds(rule.get("for_s")) < 0:
         errors.append(f"{name}: for must not be negative")
+    if _seconds(rule.get("silent_s")) < 0:
+        errors.append(f"{name}: silent must not be negative")
     if (rule.get("severity") or DEFAULT_SEVERITY) not in SEVERITIES:
         errors.append(f"{name}: severity must be one of {SEVERITIES}")
     if kind not in CONDITIONS and kind not in CONDITION_COLUMNS:
@@ -107,7 +111,9 @@ def load_rules(
 ) -> RuleSet:
     """Check rule settings and turn them into a :class:`RuleSet`.
 
-    All problems are reported together in one ValueError.
+    ``silent_s`` of a rule, if any, is how long a series may send nothing before
+    its alert resolves; without it an alert of a silent series stays.  All
+    problems are reported together in one ValueError.
     """
     rules = list(rules)
     names = set(notifiers) if notifiers is not None else None
@@ -118,7 +124,7 @@ def load_rules(
         (
             r["rule"], r["metric"], dict(r.get("labels") or {}), r["cond_type"], r.get("operator"),
             None if r.get("threshold") is None else float(r["threshold"]), _seconds(r.get("window_s")),
-            _seconds(r.get("for_s")), r.get("severity") or DEFAULT_SEVERITY, list(r.get("notify") or []),
+            _seconds(r.get("for_s")), r.get("severity") or DEFAULT_SEVERITY, list(r.get("notify") or []), _seconds(r.get("silent_s")),
         )
         for r in rules
     ]
@@ -128,16 +134,34 @@ def load_rules(
         metrics=tuple(sorted({r[1] for r in rows})),
         windows_s=tuple(sorted({r[6] for r in rows if r[3] == "rate_of_change"})),
         kinds=tuple(sorted({r[3] for r in rows})),
+        silences_s=tuple(sorted({r[10] for r in rows if r[10] > 0})),
     )
 
 
-def match_rules(samples: DataFrame, rules: RuleSet) -> DataFrame:
+#: Most rules that one table may hold; rules are settings that people write.
+MAX_RULES = 100_000
+
+
+def rules_from(table: DataFrame, **options) -> RuleSet:
+    """Rules kept in a table with the columns of a rule; missing columns have their defaults, durations may be text.
+
+    Rules are settings: more than ``MAX_RULES`` rows are refused, not read.
+    """
+    rows = table.limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    return load_rules(table.sparkSession, [r.asDict(recursive=True) for r in rows], **options)
+
+
+def match_rules(samples: DataFrame, rules: RuleSet, *, early: bool = True) -> DataFrame:
     """Every (sample, rule) pair where the metric is equal and the rule's labels are on the sample.
 
     A few rules are broadcast, and their metric names filter the scan.  Many
     meet the samples in a shuffle join, whose hot names adaptive execution splits.
+    Without ``early`` all names are read, as a stream needs whose watermark is to
+    follow the samples of all series.
     """
-    if rules.count <= MAX_BROADCAST_ROWS:
+    if early and rules.count <= MAX_BROADCAST_ROWS:
         samples = samples.where(F.col("name").isin(*rules.metrics))
     carries = F.forall(
         F.map_keys("rule_labels"),
@@ -233,6 +257,31 @@ def evaluate_rules(samples: DataFrame, rules: RuleSet) -> DataFrame:
     return out.withColumn("holds", alert_holds(F.col("rate")))
 
 
+def with_silences(evaluated: DataFrame, until: datetime | Column | None = None, slice_s: int = SLICE_SECONDS) -> DataFrame:
+    """Evaluated samples and, where a series then sends nothing for its rule's ``silent_s``, a row that ends the run.
+
+    That row stands ``silent_s`` after the last sample, with its value, and does
+    not hold.  After the last sample of all it is added if ``until``, the time
+    up to which the samples are complete, has come that far.  The next sample of
+    a slice's last one is known from a table with one row per slice.
+    """
+    keys = ["rule", "series_id"]
+    rows = with_slice(evaluated.where(F.col("silent_s") > 0), slice_s).where(F.col("slice").isNotNull())
+    w = slice_window(keys, ["ts", "seq"])
+    firsts = rows.groupBy(*keys, "slice").agg(F.min("ts").alias("_first"))
+    later = firsts.select(*keys, "slice", F.lead("_first").over(Window.partitionBy(*keys).orderBy("slice")).alias("_later"))
+    ends = F.timestamp_micros(F.unix_micros("ts") + F.round(F.col("silent_s") * 1e6).cast("long"))
+    known = F.lit(None).cast("timestamp") if until is None else until if isinstance(until, Column) else F.lit(until).cast("timestamp")
+    silent = (
+        rows.withColumn("_after", F.lead("ts").over(w)).join(later, [*keys, "slice"])
+        .withColumn("_after", F.coalesce("_after", "_later"))
+        .withColumn("ts", ends)
+        .where(F.coalesce(F.col("_after") > F.col("ts"), F.col("ts") <= known, F.lit(False)))
+        .withColumn("holds", F.lit(False))
+    )
+    return evaluated.unionByName(silent.select(*evaluated.columns))
+
+
 def alert_states(evaluated: DataFrame, slice_s: int = SLICE_SECONDS) -> DataFrame:
     """Per evaluated sample: pending-since, firing now, firing before.
 

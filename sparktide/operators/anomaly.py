@@ -14,7 +14,7 @@ from sparktide.functions.labels import labels_of
 from sparktide.functions.numbers import anomaly_score, mean_distance
 from sparktide.functions.times import floor_to, unix_second
 from sparktide.operators.select import time_range
-from sparktide.plans.slices import SLICE_SECONDS, slice_window, with_rows_before
+from sparktide.plans.slices import SLICE_SECONDS, last_of, slice_window, tails, with_rows_before, with_slice
 
 # Defaults of the detector.
 MODEL_COUNT = 18
@@ -79,6 +79,13 @@ def feature_vectors(
     """
     order = list(order)
     rows = with_rows_before(points, ["series_id"], order, ["value"], values_needed(diff_n, smooth_n, lag_n) - 1, slice_s)
+    rows = _with_vectors(rows, order, diff_n, smooth_n, lag_n)
+    keep = ~F.col("is_context") if keep_all else ~F.col("is_context") & F.col("x").isNotNull()
+    return rows.where(keep).drop("is_context")
+
+
+def _with_vectors(rows: DataFrame, order: Sequence[str], diff_n: int, smooth_n: int, lag_n: int) -> DataFrame:
+    """Rows of slices, with those before each, and the vector that ends at each row; null where there is none."""
     w = slice_window(["series_id"], order)
     step = F.col("value") - F.lag("value", diff_n).over(w) if diff_n > 0 else F.col("value")
     rows = rows.withColumn("_d", step)
@@ -91,8 +98,7 @@ def feature_vectors(
     lags = [F.lag("_m", i).over(w) if i else F.col("_m") for i in range(lag_n, -1, -1)]
     # lags within a run are full exactly when the oldest one is
     rows = rows.withColumn("_oldest", lags[0]).withColumn("x", F.when(F.col("_oldest").isNotNull(), F.array(*lags)))
-    keep = ~F.col("is_context") if keep_all else ~F.col("is_context") & F.col("x").isNotNull()
-    return rows.where(keep).drop("_d", "_m", "_oldest", "is_context")
+    return rows.drop("_d", "_m", "_oldest")
 
 
 def feature_windows(values: np.ndarray, diff_n: int, smooth_n: int, lag_n: int) -> np.ndarray:
@@ -229,29 +235,41 @@ def ensembles(models: DataFrame, model_count: int = MODEL_COUNT) -> DataFrame:
     return models.select("series_id", F.col("trained_at").alias("since"), F.collect_list(model).over(recent).alias("models"))
 
 
-def _ensembles_by_slice(slices: DataFrame, models: DataFrame, model_count: int, slice_s: int) -> DataFrame:
-    """For every (series, slice) in use: the ensemble in force at its start and those that begin in it."""
-    epochs = ensembles(models, model_count).withColumn("slice", floor_to(unix_second("since"), slice_s))
-    running = Window.partitionBy("series_id").orderBy("_us", "_kind")
-    marks = epochs.select("series_id", "slice", F.unix_micros("since").alias("_us"), F.lit(0).alias("_kind"), "models")
-    starts = slices.select(
-        "series_id", "slice", (F.col("slice") * 1_000_000).alias("_us"), F.lit(1).alias("_kind"),
-    )
-    in_force = (
-        marks.unionByName(starts, allowMissingColumns=True)
-        .withColumn("_first", F.last("models", ignorenulls=True).over(running))
-        .where(F.col("_kind") == 1)
-        .select("series_id", "slice", "_us", "_first")
+def _before_slices(points: DataFrame, models: DataFrame, k: int, order: list[str], model_count: int, slice_s: int) -> DataFrame:
+    """What each slice needs from before it, as rows of that slice.
+
+    One row without a time carries ``epochs``: the ensemble in force when the
+    slice starts and those that begin in it, with their times.  The others are
+    the last ``k`` values before the slice.  The tails of the slices and the
+    models meet in one shuffle by series, which serves all windows here; both
+    are small beside the points.
+    """
+    tail = tails(with_slice(points, slice_s), ["series_id"], order, ["value"], k).select("series_id", "slice", "tail")
+    model = models.select(
+        "series_id", floor_to(unix_second("trained_at"), slice_s).alias("slice"), F.unix_micros("trained_at").alias("_us"),
+        F.struct("c0", "c1", "min_dist", "max_dist").alias("_model"),
     )
-    begun = epochs.groupBy("series_id", "slice").agg(
-        F.sort_array(F.collect_list(F.struct(F.unix_micros("since").alias("us"), "models"))).alias("_begun")
+    is_model = F.col("_us").isNotNull()
+    recent = Window.partitionBy("series_id", is_model).orderBy("_us").rowsBetween(-(model_count - 1), 0)
+    marks = tail.unionByName(model, allowMissingColumns=True).repartition("series_id")
+    begin = F.when(is_model, F.struct(F.col("_us").alias("us"), F.collect_list("_model").over(recent).alias("models")))
+    slices = marks.withColumn("_begin", begin).groupBy("series_id", "slice").agg(
+        F.first("tail", ignorenulls=True).alias("tail"), F.sort_array(F.collect_list("_begin")).alias("_begun")
     )
-    head = F.when(F.col("_first").isNotNull(), F.array(F.struct(F.col("_us").alias("us"), F.col("_first").alias("models"))))
-    empty = F.slice(F.array(F.struct(F.col("_us").alias("us"), F.col("_first").alias("models"))), 1, 0)
-    return in_force.join(begun, ["series_id", "slice"], "left").select(
-        "series_id", "slice",
-        F.concat(F.coalesce(head, empty), F.coalesce("_begun", empty)).alias("epochs"),
+    # any slice with points holds at least one, so k earlier ones suffice
+    earlier = Window.partitionBy("series_id", F.col("tail").isNotNull()).orderBy("slice").rowsBetween(-k, -1)
+    so_far = Window.partitionBy("series_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.try_element_at("_begun", F.lit(-1))["models"], ignorenulls=True).over(so_far)
+    start = F.when(F.col("_last").isNotNull(), F.array(F.struct((F.col("slice") * 1_000_000).alias("us"), F.col("_last").alias("models"))))
+    known = (
+        slices.withColumn("_before", F.flatten(F.collect_list("tail").over(earlier))).withColumn("_last", last)
+        .where(F.col("tail").isNotNull())
+        .select("series_id", "slice", last_of(F.col("_before"), k).alias("_before"), F.concat(F.coalesce(start, F.slice("_begun", 1, 0)), "_begun").alias("epochs"))
     )
+    fields = list(dict.fromkeys([*order, "value"]))
+    rows = known.select("series_id", "slice", "epochs", F.posexplode_outer("_before").alias("_at", "_row"))
+    values = rows.select("series_id", "slice", *[F.col(f"_row.{c}").alias(c) for c in fields], F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("epochs")).alias("epochs"))
+    return values.withColumn("is_context", F.lit(True))
 
 
 def score_samples(
@@ -269,30 +287,31 @@ def score_samples(
     """Set ``anomalous`` where every model in force scores at or above ``threshold``.
 
     A point is judged by the newest ``model_count`` models trained no later than
-    its own time; without a model or enough history it is normal.  Models travel
-    as one short array per (series, slice), joined on the partitioning the
-    feature windows already have, and the vote stops at the first model that
-    disagrees.
+    its own time; without a model or enough history it is normal.  Points are
+    read twice, for the ends of their slices and as they are, and models once;
+    all that a slice needs comes with its rows in one shuffle.  The vote stops
+    at the first model that disagrees.
     """
     check_settings(model_count, TRAINING_WINDOW_S, RETRAIN_INTERVAL_S, diff_n, smooth_n, lag_n, threshold)
-    rows = feature_vectors(points, diff_n, smooth_n, lag_n, order=order, slice_s=slice_s, keep_all=True)
-    slices = points.select("series_id", floor_to(unix_second("ts"), slice_s).alias("slice")).distinct()
-    by_slice = _ensembles_by_slice(slices, models, model_count, slice_s)
+    order = list(order)
+    before = _before_slices(points, models, values_needed(diff_n, smooth_n, lag_n) - 1, order, model_count, slice_s)
+    rows = with_slice(points, slice_s).withColumn("is_context", F.lit(False)).unionByName(before, allowMissingColumns=True)
+    rows = _with_vectors(rows, order, diff_n, smooth_n, lag_n)
+    whole = slice_window(["series_id"], order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     now = F.unix_micros("ts")
-    begun = F.filter("epochs", lambda e: e["us"] <= now)
-    in_force = F.try_element_at(begun, F.lit(-1))["models"]
     dims = lag_n + 1
 
     def agrees(m):
         distance = mean_distance(F.col("x"), m["c0"], m["c1"], dims)
         return anomaly_score(distance, m["min_dist"], m["max_dist"]) >= threshold
 
+    begun = F.filter(F.first("epochs", ignorenulls=True).over(whole), lambda e: e["us"] <= now)
     vote = F.col("x").isNotNull() & (F.size("_models") > 0) & F.forall("_models", agrees)
     return (
-        rows.join(by_slice, ["series_id", "slice"], "left")
-        .withColumn("_models", in_force)
+        rows.withColumn("_models", F.try_element_at(begun, F.lit(-1))["models"])
+        .where(~F.col("is_context"))
         .withColumn("anomalous", F.coalesce(vote, F.lit(False)))
-        .drop("slice", "epochs", "_models", "x")
+        .select(*points.columns, *([] if "anomalous" in points.columns else ["anomalous"]))
     )
 
 

@@ -71,13 +71,14 @@ def with_rows_before(
     context = (
         tails(sliced, keys, order, cols, k)
         .select(*keys, "slice", before.alias("_before"))
-        .select(*keys, "slice", F.explode(_last(F.col("_before"), k)).alias("_row"))
+        .select(*keys, "slice", F.explode(last_of(F.col("_before"), k)).alias("_row"))
         .select(*keys, "slice", *[F.col(f"_row.{c}").alias(c) for c in fields], F.lit(True).alias("is_context"))
     )
     return sliced.withColumn("is_context", F.lit(False)).unionByName(context, allowMissingColumns=True)
 
 
-def _last(array: Column, k: int) -> Column:
+def last_of(array: Column, k: int) -> Column:
+    """The last ``k`` elements."""
     return F.slice(array, F.greatest(F.size(array) - k + 1, F.lit(1)), F.lit(k))
 
 

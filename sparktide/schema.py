@@ -21,6 +21,12 @@ SAMPLES = T.StructType([
     T.StructField("seq", T.LongType()),
 ])
 
+#: Samples in normal form, and points as a tier stores them.
+POINTS = T.StructType([
+    SAMPLES["name"], SAMPLES["labels"], T.StructField("series_id", T.StringType()), *(SAMPLES[c] for c in ("ts", "value", "interval_s", "anomalous", "seq")),
+    T.StructField("sec", T.LongType()),
+])
+
 ROLLUP = T.StructType([
     T.StructField("name", T.StringType()),
     T.StructField("labels", LABELS),
@@ -42,6 +48,7 @@ RULES = T.StructType([
     T.StructField("for_s", T.DoubleType()),
     T.StructField("severity", T.StringType()),
     T.StructField("notify", T.ArrayType(T.StringType())),
+    T.StructField("silent_s", T.DoubleType()),
 ])
 
 NOTIFIERS = T.StructType([

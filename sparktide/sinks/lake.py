@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktide.functions.times import floor_to
+from sparktide.operators.index import index_rows
 from sparktide.operators.rollup import HOUR_S, MINUTE_S, bucket_parts, coarser_parts, rollup_of
 from sparktide.operators.store import store_points
+from sparktide.sinks.snapshots import DAY, PART, Snapshot, Snapshots, place
 
 
 def write_lake(rows: DataFrame, path: str, *, mode: str = "append") -> None:
@@ -39,92 +41,155 @@ def write_samples(samples: DataFrame, path: str, *, mode: str = "append") -> Non
     spread.sortWithinPartitions("ts_day", "name", "series_id", "ts").write.mode(mode).partitionBy("ts_day").parquet(path)
 
 
-#: Bucket parts as stored.
-PARTS = "name string, series_id string, start long, low double, high double, total double, points long, ts_day date"
+def _by_day(rows: DataFrame) -> DataFrame:
+    return rows.withColumn(DAY, F.to_date(F.timestamp_seconds("start")))
 
 
-def _place(spark: SparkSession, path: str):
-    """File system and path object of a place in whatever store."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+def _merged(store: Snapshots, at: Snapshot, table: str, parts: DataFrame, days: list[str], width_s: int) -> DataFrame:
+    """Bucket parts of some days: those stored and the new ones, a bucket that both have as one row."""
+    old = store.read(table, at, days)
+    if old is not None:
+        parts = coarser_parts(old.select(*parts.columns).unionByName(parts), width_s)
+    return _by_day(parts).repartitionByRange(DAY, "name", "series_id", "start").sortWithinPartitions(DAY, "name", "series_id", "start")
 
 
-def _merge_parts(parts: DataFrame, path: str, width_s: int) -> None:
-    """Add bucket parts to a table by day; parts of a bucket that is there already are merged with it.
-
-    Only the days of the new parts are read and written.  The merged days go to
-    a table beside first, as a table cannot be read and replaced in one step.
-    """
-    spark = parts.sparkSession
-    parts = parts.withColumn("ts_day", F.to_date(F.timestamp_seconds("start")))
-    files, where = _place(spark, path)
-    staged = None
-    if files.exists(where):
-        staged = f"{path}-merge-{uuid.uuid4().hex}"
-        parts.write.partitionBy("ts_day").parquet(f"{staged}/new")
-        new = spark.read.schema(parts.schema).parquet(f"{staged}/new")  # either may have no file: pruned, or nothing new
-        old = spark.read.schema(new.schema).parquet(path).join(new.select("ts_day").distinct(), "ts_day", "left_semi")
-        merged = coarser_parts(old.select(*new.columns).unionByName(new), width_s).withColumn("ts_day", F.to_date(F.timestamp_seconds("start")))
-        merged.write.partitionBy("ts_day").parquet(f"{staged}/all")
-        parts = spark.read.schema(parts.schema).parquet(f"{staged}/all")
-    writer = parts.sortWithinPartitions("name", "series_id", "start").hint("rebalance", "ts_day").write
-    writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ts_day").parquet(path)
-    if staged:
-        files.delete(_place(spark, staged)[1], True)
-
-
-def _newest(spark: SparkSession, path: str) -> tuple[int, DataFrame | None]:
-    """Number of calls so far and, per series, the newest second they stored and the newest they saw."""
-    files, where = _place(spark, f"{path}/newest")
-    done = [s.getPath().getName() for s in files.listStatus(where)] if files.exists(where) else []
-    calls = max((int(n) for n in done if files.exists(_place(spark, f"{path}/newest/{n}/_SUCCESS")[1])), default=0)
-    return calls, spark.read.parquet(f"{path}/newest/{calls}") if calls else None
-
-
-def append_tiers(samples: DataFrame, path: str) -> dict[str, DataFrame]:
+def append_tiers(samples: DataFrame, path: str, *, call: int | None = None, writer: str = "") -> dict[str, DataFrame]:
     """Add samples to the raw, minute and hour tiers below ``path`` and return their tables.
 
     Calls follow the order of arrival.  A second that a series has stored in an
     earlier call is not stored again; a bucket that several calls feed is one
     row; the hours are made from the new samples and the stored hours, never
     from the minutes, which may be pruned by then.  A call reads and writes the
-    days of its own samples only, besides one row per series.  Minute buckets
-    are written with sums and counts; the samples are read for raw and minutes.
-    A call is not atomic: after one that failed half way, go back to the folder
-    as it was before.
+    days of its own samples only, besides one row per series and the index rows
+    of new series.  Minute buckets are written with sums and counts; the samples
+    are read for raw and minutes.
+
+    A call is one snapshot: readers see all of it or nothing.  ``call`` numbers
+    the calls of a writer; one that is committed already changes nothing, so a
+    scheduler may repeat a call that it does not know to have succeeded.
+    Without a number the call is the writer's next one.
     """
     spark = samples.sparkSession
-    calls, newest = _newest(spark, path)
-    points = store_points(samples, newest=newest)
-    write_samples(points, f"{path}/raw")
-    minutes = bucket_parts(samples, MINUTE_S)
-    fresh = f"{path}/fresh/{calls + 1}"
-    minutes.write.mode("overwrite").parquet(fresh)
+    store = Snapshots(spark, path)
+    base = store.latest()
+    call = base.calls.get(writer, 0) + 1 if call is None else call
+    if call <= base.calls.get(writer, 0):
+        return read_tiers(spark, path)
+    part = store.new_part(call)
+    newest = store.read("newest", base)
+
+    points = store_points(samples, newest=newest).withColumn(DAY, F.to_date("ts"))
+    order = [DAY, "name", "series_id", "ts"]
+    store.write("raw", points.repartitionByRange(*order).sortWithinPartitions(*order), part, DAY)
+    fresh = f"{path}/_fresh/{part}"
+    bucket_parts(samples, MINUTE_S).write.parquet(fresh)
     minutes = spark.read.parquet(fresh)
-    _merge_parts(minutes, f"{path}/minute", MINUTE_S)
-    _merge_parts(coarser_parts(minutes, HOUR_S), f"{path}/hour", HOUR_S)
-    seen = samples.select("name", "series_id", "sec")
+    days = [str(r[0]) for r in minutes.select(F.to_date(F.timestamp_seconds("start"))).distinct().collect()]  # one row a day
+    new = base.with_rows("raw", points.schema, store.written_days("raw", part, days), part, instead=False)
+    for table, rows, width_s in (("minute", minutes, MINUTE_S), ("hour", coarser_parts(minutes, HOUR_S), HOUR_S)):
+        merged = _merged(store, base, table, rows, days, width_s)
+        store.write(table, merged, part, DAY)
+        new = new.with_rows(table, merged.schema, store.written_days(table, part, days), part, instead=True)
+
+    seen = samples.groupBy("name", "series_id").agg(F.max("sec").alias("sec"))
+    series = seen.select("name", "series_id")
     if newest is not None:
-        seen = seen.unionByName(newest)
+        series = series.join(newest.select("name", "series_id"), ["name", "series_id"], "left_anti")
+        seen = seen.unionByName(newest).groupBy("name", "series_id").agg(F.max("sec").alias("sec"))
+    index = index_rows(series).sort("name", "key", "value")
+    store.write("series", index, part)
+    new = new.with_rows("series", index.schema, [""], part, instead=False)
     # what is stored last of a series is what was seen last: a second that exceeds all before it is always stored
-    seen.groupBy("name", "series_id").agg(F.max("sec").alias("sec")).write.mode("overwrite").parquet(f"{path}/newest/{calls + 1}")
-    files, where = _place(spark, fresh)
+    store.write("newest", seen, part)
+    new = new.with_rows("newest", seen.schema, [""], part, instead=True)
+    new = _existing(store, new, part)
+    store.commit(base, new, call, writer)
+    files, where = place(spark, fresh)
     files.delete(where, True)
     return read_tiers(spark, path)
 
 
+def _existing(store: Snapshots, new: Snapshot, part: str) -> Snapshot:
+    """Without folders that a call had no rows for."""
+    live = dict(new.live)
+    for table in ("series", "newest"):
+        files, where = place(store.spark, f"{store.path}/{table}/{PART}={part}")
+        if not files.exists(where):
+            live[table] = {"": [p for p in live[table][""] if p != part]}
+    return replace(new, live=live)
+
+
+def stream_tiers(path: str):
+    """A ``foreachBatch`` function that adds each micro-batch to the tiers; the batch number is the number of the call.
+
+    The writer is the query, so a batch that is run again after a failure is one
+    call all the same, and a query with a new checkpoint goes on in the same folder.
+    """
+    def consume(batch: DataFrame, batch_id: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+        append_tiers(batch, path, call=batch_id + 1, writer=query)
+
+    return consume
+
+
+def compact_tiers(spark: SparkSession, path: str, writer: str = "compaction") -> int:
+    """Rewrite days whose raw points lie in several folders, and the index, into one folder each; how many days.
+
+    A snapshot of its own: readers see the same rows before and after.
+    """
+    store = Snapshots(spark, path)
+    base = store.latest()
+    days = sorted(d for d, parts in base.live.get("raw", {}).items() if len(parts) > 1)
+    call = base.calls.get(writer, 0) + 1
+    part = store.new_part(call)
+    new = base
+    if days:
+        order = [DAY, "name", "series_id", "ts"]
+        points = store.read("raw", base, days)
+        store.write("raw", points.repartitionByRange(*order).sortWithinPartitions(*order), part, DAY)
+        new = new.with_rows("raw", points.schema, days, part, instead=True)
+    if len(base.live.get("series", {}).get("", [])) > 1:
+        index = store.read("series", base).sort("name", "key", "value")
+        store.write("series", index, part)
+        new = new.with_rows("series", index.schema, [""], part, instead=True)
+    if new is not base:
+        store.commit(base, new, call, writer)
+    return len(days)
+
+
 def read_tiers(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of ``append_tiers``.
+    """The tables of ``append_tiers`` as of the newest snapshot, and ``series``, the index of all series.
 
     The newest bucket of each series is still open and withheld.  It is known
     from one row per series, so bounds on name, day and time reach the scans.
     """
-    _, newest = _newest(spark, path)
+    store = Snapshots(spark, path)
+    at = store.latest()
+    newest = store.read("newest", at)
 
     def closed(table: str, width_s: int) -> DataFrame:
-        parts = spark.read.schema(PARTS).parquet(f"{path}/{table}")
         last = newest.select("name", "series_id", floor_to(F.col("sec"), width_s).alias("_open"))
-        done = parts.join(last, ["name", "series_id"]).where(F.col("start") < F.col("_open"))
+        done = store.read(table, at).join(last, ["name", "series_id"]).where(F.col("start") < F.col("_open"))
         return rollup_of(done, day=True)
 
-    return {"raw": spark.read.parquet(f"{path}/raw"), "minute": closed("minute", MINUTE_S), "hour": closed("hour", HOUR_S)}
+    return {"raw": store.read("raw", at), "minute": closed("minute", MINUTE_S), "hour": closed("hour", HOUR_S), "series": store.read("series", at)}
+
+
+def append_lake(rows: DataFrame, path: str, *, call: int | None = None, writer: str = "") -> None:
+    """Export rows as one snapshot of a lake table under ``ts_day=/node_id=``; a call made already changes nothing."""
+    store = Snapshots(rows.sparkSession, path)
+    base = store.latest()
+    call = base.calls.get(writer, 0) + 1 if call is None else call
+    if call <= base.calls.get(writer, 0):
+        return
+    part = store.new_part(call)
+    rows = rows.withColumn(DAY, F.to_date("ts"))
+    store.write("rows", rows.hint("rebalance", DAY, "node_id"), part, DAY, "node_id")
+    files, where = place(rows.sparkSession, f"{path}/rows")
+    found = {s.getPath().getParent().getParent().getName().removeprefix(f"{DAY}=") for s in files.globStatus(place(rows.sparkSession, f"{path}/rows/*/*/{PART}={part}")[1]) or []}
+    store.commit(base, base.with_rows("rows", rows.schema, sorted(found), part, instead=False), call, writer)
+
+
+def read_lake(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of all committed calls; day and node still prune folders."""
+    return Snapshots(spark, path).read("rows", keys=1)

@@ -8,6 +8,8 @@ exploded afterwards, so nothing is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +25,8 @@ PAIR = rf"{LABEL}\s*=\s*{TEXT}"
 LABELS = rf"\{{\s*(?:{PAIR}(?:\s*,\s*{PAIR})*+\s*,?\s*)?\}}"
 NUMBER = r"[+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?|[iI]nf(?:inity)?|[nN]a[nN])"
 SAMPLE_LINE = rf"^({NAME})(?:[ \t]*({LABELS})[ \t]*|[ \t]+)({NUMBER})(?:[ \t]+(-?\d+))?[ \t]*$"
-TYPE_LINE = rf"^#[ \t]+TYPE[ \t]+({NAME})[ \t]+(\w+)[ \t]*$"
+ABOUT_LINE = rf"^#[ \t]+(TYPE|HELP)[ \t]+({NAME})(?:[ \t]+(.*))?$"
 ANY_TYPE_LINE = r"^#[ \t]+TYPE[ \t]"
-HELP_LINE = rf"^#[ \t]+HELP[ \t]+({NAME})(?:[ \t].*)?$"
 TYPES = ("counter", "gauge", "histogram", "summary", "untyped")
 
 _CUT = "\u0001"
@@ -35,14 +36,44 @@ def _lines(body: Column) -> Column:
     return F.filter(F.transform(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: x != "")
 
 
-def _typed(lines: Column) -> Column:
-    """(name, type) of every type line; both empty when the line is malformed."""
-    return F.transform(
-        F.filter(lines, lambda x: x["text"].startswith("#") & x["text"].rlike(ANY_TYPE_LINE)),
-        lambda x: F.struct(
-            F.regexp_extract(x["text"], TYPE_LINE, 1).alias("name"), F.lower(F.regexp_extract(x["text"], TYPE_LINE, 2)).alias("type"), x["at"].alias("at")
-        ),
-    )
+def _about(lines: Column) -> Column:
+    """Kind, name, type and place of the lines that describe a family; a malformed type line has no type."""
+    def fields(x: Column) -> Column:
+        def taken(p: Column) -> Column:
+            kind = F.when(F.size(p) > 2, F.get(p, F.lit(0))).when(x["text"].rlike(ANY_TYPE_LINE), F.lit("TYPE"))
+            return F.struct(kind.alias("kind"), F.get(p, F.lit(1)).alias("name"), F.lower(F.get(p, F.lit(2))).alias("type"), x["at"].alias("at"))
+
+        return let(F.split(F.regexp_replace(x["text"], ABOUT_LINE, f"$1{_CUT}$2{_CUT}$3"), _CUT), taken)
+
+    return F.transform(F.filter(lines, lambda x: x["text"].startswith("#")), fields)
+
+
+#: Widths of a binary search, as many as an array can need.
+_STEPS = [1 << k for k in range(30, -1, -1)]
+
+
+def _with_families(typed: Column, then: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """``then(family)``, where ``family`` gives the type line of a name.
+
+    A binary search among the sorted lines, so its cost hardly grows with them.
+    All it needs is bound once a body: a plain column would be put in place of
+    its name by the optimizer, and worked out again for every line.
+    """
+    lines = F.sort_array(F.transform(typed, lambda t: F.struct(F.coalesce(t["name"], F.lit("")).alias("name"), t["type"].alias("type"), t["at"].alias("at"))))
+
+    def search(families: Column, names: Column, steps: Column) -> Callable[[Column], Column]:
+        def family(name: Column) -> Column:
+            def forward(at: Column, step: Column) -> Column:
+                return F.when((at + step <= F.size(names)) & (F.get(names, at + step - 1) <= name), at + step).otherwise(at)
+
+            return let(F.get(families, F.aggregate(steps, F.lit(0), forward) - 1), lambda f: F.when(f["name"] == name, f))
+
+        return family
+
+    def steps(names: Column) -> Column:
+        return F.filter(F.array(*[F.lit(n) for n in _STEPS]), lambda n: n <= F.size(names))
+
+    return let(lines, lambda f: let(F.transform(f, lambda x: x["name"]), lambda n: let(steps(n), lambda s: then(search(f, n, s)))))
 
 
 def _label_keys(pairs: Column) -> Column:
@@ -57,20 +88,6 @@ def _numbered(lines: Column) -> Column:
     return F.transform(lines, lambda x, i: F.struct(x.alias("text"), i.alias("at")))
 
 
-def _helped(lines: Column) -> Column:
-    """Names of the help lines."""
-    return F.transform(F.filter(lines, lambda x: x.startswith("#") & x.rlike(HELP_LINE)), lambda x: F.regexp_extract(x, HELP_LINE, 1))
-
-
-def _late(typed: Column, names: Column, places: Column) -> Column:
-    """A type line stands behind a sample of its name."""
-    def behind(t: Column) -> Column:
-        first = F.array_position(names, t["name"])
-        return (first > 0) & (F.get(places, (first - 1).cast("int")) < t["at"])
-
-    return F.exists(typed, behind)
-
-
 def _cut_line(line: Column) -> Column:
     """Name, label text, label names, value and stamp of a sample line.
 
@@ -94,30 +111,61 @@ def _cut_line(line: Column) -> Column:
 
 
 def checked_bodies(bodies: DataFrame) -> DataFrame:
-    """Bodies with their cut ``samples``, their ``typed`` lines and whether the whole body can be taken (``ok``)."""
+    """Bodies with ``checked``: their cut ``samples``, their ``typed`` lines and whether the whole body can be taken (``ok``).
+
+    Each line is looked at once; a sample finds the family it is a ``part`` of
+    in the sorted list of the body's type lines.
+    """
     body = F.coalesce("body", F.lit(""))
-    cut = (
-        bodies.withColumn("_lines", _lines(body))
-        .withColumn("_plain", F.filter(_numbered(F.col("_lines")), lambda x: ~x["text"].startswith("#")))
-        .withColumn("typed", _typed(_numbered(F.col("_lines"))))
-        .withColumn("samples", F.transform("_plain", lambda x: _cut_line(x["text"])))
-    )
-    ok = (
-        ((body == "") | body.endswith("\n"))
-        & F.forall("typed", lambda t: t["type"].isin(*TYPES))
-        & ~_repeats(F.transform("typed", lambda t: t["name"]))
-        & ~_repeats(_helped(F.col("_lines")))
-        & ~_late(F.col("typed"), F.transform("samples", lambda s: s["name"]), F.transform("_plain", lambda x: x["at"]))
-        & F.forall("samples", lambda s: s["value"].isNotNull() & ~_repeats(s["keys"]))
-    )
-    if "status" in bodies.columns:
-        ok = ok & (F.col("status") == 200)
-    return cut.withColumn("ok", F.coalesce(ok, F.lit(False))).drop("_lines", "_plain")
+
+    def sample(x: Column, family: Callable[[Column], Column]) -> Column:
+        def told(c: Column, own: Column) -> Column:
+            name = c["name"]
+
+            def belongs(end: str) -> Column:
+                """Type of the family that a name with this end is a component of."""
+                return F.when(name.endswith(end), family(F.left(name, F.length(name) - len(end)))["type"])
+
+            part = (
+                F.when(belongs("_bucket") == "histogram", F.lit("bucket"))
+                .when(belongs("_count").isin("histogram", "summary"), F.lit("count"))
+                .when(own["type"] == "summary", F.lit("quantile"))
+                .when(own["type"] == "histogram", F.lit("bare"))
+                .otherwise(F.lit("plain"))
+            )
+            return F.struct(c.alias("line"), part.alias("part"), F.coalesce(own["at"] > x["at"], F.lit(False)).alias("early"))
+
+        return let(_cut_line(x["text"]), lambda c: let(family(c["name"]), lambda own: told(c, own)))
+
+    def of_kind(about: Column, kind: str) -> Column:
+        return F.transform(F.filter(about, lambda x: x["kind"] == kind), lambda x: x["name"])
+
+    def judged(typed: Column, about: Column, samples: Column) -> Column:
+        ok = (
+            ((body == "") | body.endswith("\n"))
+            & F.forall(typed, lambda t: F.coalesce(t["type"], F.lit("")).isin(*TYPES))
+            & ~_repeats(of_kind(about, "TYPE"))
+            & ~_repeats(of_kind(about, "HELP"))
+            & F.forall(samples, lambda s: s["line"]["value"].isNotNull() & ~_repeats(s["line"]["keys"]) & ~s["early"])
+        )
+        if "status" in bodies.columns:
+            ok = ok & (F.col("status") == 200)
+        return F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), samples.alias("samples"), typed.alias("typed"))
+
+    def of_body(lines: Column) -> Column:
+        plain = F.filter(lines, lambda x: ~x["text"].startswith("#"))
+        return let(_about(lines), lambda about: let(F.filter(about, lambda x: x["kind"] == "TYPE"), lambda typed: let(
+            _with_families(typed, lambda family: F.transform(plain, lambda x: sample(x, family))), lambda samples: judged(typed, about, samples)
+        )))
+
+    # one expression that binds what it uses again; as columns the optimizer would work the parts out once for each use
+    return bodies.withColumn("checked", let(_numbered(_lines(body)), of_body))
 
 
 def exposition_rejects(bodies: DataFrame) -> DataFrame:
     """Scrapes whose body is invalid or whose status is not 200."""
-    return checked_bodies(bodies).where(~F.col("ok")).drop("samples", "typed", "ok")
+    checked = checked_bodies(bodies).select(*bodies.columns, F.explode(F.when(~F.col("checked.ok"), F.array(F.lit(1)))).alias("_one"))
+    return checked.drop("_one")
 
 
 def _unescape(text: Column) -> Column:
@@ -155,30 +203,13 @@ def parse_exposition(bodies: DataFrame) -> DataFrame:
     The time is the line's own millisecond stamp or the scrape time; target
     labels are merged under the line's own.
     """
-    def names(kind: str) -> Column:
-        return F.transform(F.filter("typed", lambda t: t["type"] == kind), lambda t: t["name"])
-
-    checked = checked_bodies(bodies).withColumn("_hist", names("histogram")).withColumn("_summ", names("summary"))
-
-    def tagged(s: Column) -> Column:
-        name = s["name"]
-        bucket_of = F.when(name.endswith("_bucket"), F.regexp_replace(name, "_bucket$", ""))
-        count_of = F.when(name.endswith("_count"), F.regexp_replace(name, "_count$", ""))
-        part = (
-            F.when(F.array_contains("_hist", bucket_of), F.lit("bucket"))
-            .when(F.array_contains("_hist", count_of) | F.array_contains("_summ", count_of), F.lit("count"))
-            .when(F.array_contains("_summ", name), F.lit("quantile"))
-            .when(F.array_contains("_hist", name), F.lit("bare"))
-            .otherwise(F.lit("plain"))
-        )
-        return F.struct(s.alias("s"), part.alias("part"))
-
+    checked = checked_bodies(bodies)
     # a rejected body explodes to nothing; filtering it away would check it twice
-    taken = F.when(F.col("ok"), F.transform("samples", tagged))
+    taken = F.when(F.col("checked.ok"), F.col("checked.samples"))
     rows = checked.select(
         "target", "scrape_ts", F.coalesce("target_labels", empty_labels()).alias("target_labels"), "interval_s",
         F.explode(taken).alias("l"),
-    ).select("target", "scrape_ts", "target_labels", "interval_s", "l.part", "l.s.*")
+    ).select("target", "scrape_ts", "target_labels", "interval_s", "l.part", "l.line.*")
     own = _label_map(F.col("keys"), F.col("pairs"))
     parsed = rows.select(
         "target", "interval_s", "part", "name", own.alias("own"), "target_labels",

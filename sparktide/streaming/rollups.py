@@ -8,10 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparktide.functions.labels import labels_of
 from sparktide.operators.rollup import bucket_stats
+from sparktide.streaming.state import InOrder, stretch, with_state
 
 
 def stream_rollup(samples: DataFrame, width_s: int, delay: str) -> DataFrame:
@@ -29,27 +29,60 @@ def stream_rollup(samples: DataFrame, width_s: int, delay: str) -> DataFrame:
     )
 
 
-def stream_dedup(samples: DataFrame) -> DataFrame:
-    """Per series, only samples whose second exceeds every earlier one.
+_KEPT = ["series_id", "name", "us", "value", "interval_s", "anomalous", "seq", "sec"]
+_KEPT_DDL = "series_id string, name string, us long, value double, interval_s double, anomalous boolean, seq long, sec long"
 
-    State per series is one number.  Within a micro-batch arrival order is
-    ``seq``.  Labels are rebuilt from the series id.
-    """
-    columns = ["name", "us", "value", "interval_s", "anomalous", "seq", "sec"]
-    out = (
-        "series_id string, name string, us bigint, value double, interval_s double, anomalous boolean, seq bigint, sec bigint"
-    )
 
-    def keep(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["seq", "us", "value"], kind="stable")
+class Newest(InOrder):
+    """Keeps samples whose second exceeds all before it; the state of a series is that second."""
+
+    def __init__(self, width: int, forget_after_s: int | None):
+        super().__init__(["seq", "us", "value"], width)
+        self.forget_after_s = forget_after_s
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.stored = handle.getValueState("newest", "sec long, timer_ms long")
+
+    def begin(self, key, timers) -> None:
+        self.newest, self.timer_ms = self.stored.get() if self.stored.exists() else (np.iinfo(np.int64).min, None)
+
+    def step(self, key, rows: pd.DataFrame) -> pd.DataFrame:
         sec = rows["sec"].to_numpy()
-        seen = state.get[0] if state.exists else np.iinfo(np.int64).min
-        before = np.maximum.accumulate(np.concatenate([[seen], sec]))[:-1]
-        state.update((int(max(seen, sec.max())),))
-        yield rows[sec > before].assign(series_id=key[0])[["series_id", *columns]]
+        before = np.maximum.accumulate(np.concatenate([[self.newest], sec]))
+        self.newest = int(before[-1])
+        return rows[sec > before[:-1]][_KEPT]
 
-    kept = samples.withColumn("us", F.unix_micros("ts")).select("series_id", *columns).groupBy("series_id").applyInPandasWithState(
-        keep, out, "seen bigint", "append", GroupStateTimeout.NoTimeout
-    )
+    def end(self, key, timers) -> None:
+        if self.forget_after_s is not None:
+            timer_ms = (self.newest + self.forget_after_s) * 1000
+            if timer_ms != self.timer_ms:
+                if self.timer_ms is not None:
+                    self.handle.deleteTimer(self.timer_ms)
+                self.handle.registerTimer(timer_ms)
+            self.timer_ms = timer_ms
+        self.stored.update((self.newest, self.timer_ms))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.stored.clear()
+        return iter([])
+
+
+def stream_dedup(samples: DataFrame, forget_after_s: int | None = None, delay: str | None = None) -> DataFrame:
+    """Per series, only samples whose second exceeds every earlier one.
+
+    State per series is one number in the state store.  With ``forget_after_s``
+    a series leaves it once the watermark, the newest time of all series minus
+    ``delay``, is so many seconds past its last sample; samples later than
+    ``delay`` are dropped then.  Within a micro-batch arrival order is ``seq``.
+    Labels are rebuilt from the series id.
+    """
+    timed = forget_after_s is not None
+    if timed and delay is None:
+        raise ValueError("forgetting needs a delay")
+    if timed:
+        samples = samples.withWatermark("ts", delay)
+    rows = samples.withColumn("us", F.unix_micros("ts")).select(*_KEPT, *(["ts"] if timed else []))
+    kept = with_state(rows.groupBy("series_id"), Newest(stretch(samples), forget_after_s), _KEPT_DDL, time_mode="eventTime" if timed else "none")
     # rebuilding ts is also the projection a sort-merge join needs on top of Python state output
     return kept.withColumn("ts", F.timestamp_micros("us")).drop("us").withColumn("labels", labels_of(F.col("series_id")))

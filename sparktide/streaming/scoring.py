@@ -2,56 +2,106 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import datetime
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparktide.functions.labels import labels_of
-from sparktide.functions.numbers import anomaly_score, mean_distance
 from sparktide.operators.anomaly import (
-    DIFF_N, LAG_N, MODEL_COUNT, SCORE_THRESHOLD, SMOOTH_N, TRAINING_WINDOW_S, feature_windows, newest_models,
-    train_models, values_needed,
+    DIFF_N, LAG_N, MODEL_COUNT, RETRAIN_INTERVAL_S, SCORE_THRESHOLD, SMOOTH_N, TRAINING_WINDOW_S, check_settings,
+    feature_windows, train_models, values_needed,
 )
+from sparktide.streaming.state import InOrder, stretch, with_state
 
+_MODEL = ["trained_us", "c0", "c1", "min_dist", "max_dist"]
+_MODEL_DDL = "trained_us long, c0 array<double>, c1 array<double>, min_dist double, max_dist double"
+_SCORED_DDL = "series_id string, name string, us long, value double, interval_s double, anomalous boolean, seq long"
 
-def stream_features(samples: DataFrame, diff_n: int = DIFF_N, smooth_n: int = SMOOTH_N, lag_n: int = LAG_N) -> DataFrame:
-    """Samples with their feature vector ``x`` (null until there is enough history).
 
-    State per series is the last few raw values, nothing more.
-    """
-    need = values_needed(diff_n, smooth_n, lag_n)
-    columns = ["name", "us", "value", "interval_s", "seq"]
-    out = "series_id string, name string, us bigint, value double, interval_s double, seq bigint, x array<double>"
+def agreement(x: np.ndarray, model: tuple, threshold: float) -> np.ndarray:
+    """Which vectors a model scores at the threshold or above."""
+    _, c0, c1, low, high = model
+    # added up in the order of the dimensions, as the batch form does
+    reach = sum(np.sqrt(sum((x[:, i] - c[i]) ** 2 for i in range(x.shape[1]))) for c in (c0, c1)) / 2
+    if low == high:
+        return np.full(len(x), 0.0 >= threshold)
+    return np.minimum(100.0, np.abs((reach - low) / (high - low)) * 100) >= threshold
 
-    def extend(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["seq", "us"], kind="stable")
-        held = np.array(state.get[0] if state.exists else [], dtype=float)
-        values = np.concatenate([held, rows["value"].to_numpy(dtype=float)])
-        vectors = feature_windows(values, diff_n, smooth_n, lag_n)
-        # the last vectors end at the last values; earlier rows lack history
-        x = [None] * len(values)
-        for i, v in enumerate(vectors):
-            x[i + need - 1] = v.tolist()
-        state.update((values[-(need - 1):].tolist(),))
-        yield rows.assign(series_id=key[0], x=x[len(held):])[["series_id", *columns, "x"]]
-
-    named = samples.select("series_id", "name", F.unix_micros("ts").alias("us"), "value", "interval_s", "seq")
-    rows = named.groupBy("series_id").applyInPandasWithState(
-        extend, out, "held array<double>", "append", GroupStateTimeout.NoTimeout
-    )
-    # rebuilding ts is also the projection a sort-merge join needs on top of Python state output
-    return rows.withColumn("ts", F.timestamp_micros("us")).drop("us")
 
+class Scored(InOrder):
+    """Flags samples by the vote of the models in force at their own time.
+
+    State of a series: its last raw values, the newest time seen, and a list of
+    models, those that a sample may still be judged by.
+    """
 
-def ensemble_now(models: DataFrame, model_count: int = MODEL_COUNT) -> DataFrame:
-    """One row per series with the models in force now."""
-    model = F.struct("trained_at", "c0", "c1", "min_dist", "max_dist")
-    return newest_models(models, model_count).groupBy("series_id").agg(F.sort_array(F.collect_list(model)).alias("models"))
+    def __init__(self, width: int, model_count: int, shape: tuple[int, int, int], threshold: float, late_s: float):
+        super().__init__(["seq", "us"], width)
+        self.model_count, self.shape, self.threshold, self.late_us = model_count, shape, threshold, int(late_s * 1e6)
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.stored = handle.getValueState("held", "held array<double>, newest_us long")
+        self.listed = handle.getListState("models", _MODEL_DDL)
+
+    def _load(self) -> None:
+        self.held, self.newest_us = self.stored.get() if self.stored.exists() else ([], np.iinfo(np.int64).min)
+        self.models = sorted(tuple(m) for m in self.listed.get())
+        self.changed = False
+
+    def _add(self, rows: pd.DataFrame) -> None:
+        new = [tuple(r) for r in rows[_MODEL].itertuples(index=False)]
+        if new:
+            known = {m[0] for m in self.models}
+            more = [(int(t), list(a), list(b), float(low), float(high)) for t, a, b, low, high in new]
+            self.models = sorted([*self.models, *({m[0]: m for m in more if m[0] not in known}.values())])
+            self.changed = True
+
+    def begin(self, key, timers) -> None:
+        self._load()
+
+    def control(self, rows: pd.DataFrame) -> pd.DataFrame:
+        is_model = rows["trained_us"].notna()
+        self._add(rows[is_model])
+        return rows[~is_model]
+
+    def step(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+        held = np.array(self.held, dtype=float)
+        values = np.concatenate([held, rows["value"].to_numpy(dtype=float)])
+        need = values_needed(*self.shape)
+        x = feature_windows(values, *self.shape)  # the last vectors end at the last values
+        has = np.arange(len(held), len(values)) >= need - 1
+        x = x[len(x) - np.count_nonzero(has) :]
+        us = rows["us"].to_numpy(dtype=np.int64)
+        flagged = np.zeros(len(rows), dtype=bool)
+        upto = np.searchsorted(np.array([m[0] for m in self.models], dtype=np.int64), us, side="right")
+        for end in np.unique(upto[has]):
+            at = np.flatnonzero(has & (upto == end))
+            ensemble = self.models[max(0, end - self.model_count) : end]
+            vote = np.full(len(at), bool(ensemble))
+            for model in ensemble:
+                vote[vote] = agreement(x[at - (len(rows) - len(x))][vote], model, self.threshold)
+            flagged[at] = vote
+        self.held = values[-(need - 1) :].tolist()
+        self.newest_us = max(self.newest_us, int(us.max()))
+        return rows.assign(series_id=key[0], anomalous=flagged)[["series_id", "name", "us", "value", "interval_s", "anomalous", "seq"]]
+
+    def end(self, key, timers) -> None:
+        self.stored.update((self.held, self.newest_us))
+        # a sample that is late_s behind is still judged by the models of its time
+        passed = sum(m[0] <= self.newest_us - self.late_us for m in self.models)
+        if passed > self.model_count:
+            self.models, self.changed = self.models[passed - self.model_count :], True
+        if self.changed:
+            self.listed.put(self.models)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self._load()
+        self._add(initialState)
+        self.listed.put(self.models)
 
 
 def stream_score(
@@ -63,21 +113,30 @@ def stream_score(
     smooth_n: int = SMOOTH_N,
     lag_n: int = LAG_N,
     threshold: float = SCORE_THRESHOLD,
+    late_s: float = RETRAIN_INTERVAL_S,
 ) -> DataFrame:
-    """Samples with ``anomalous`` set by the vote of the models trained before them."""
-    rows = stream_features(samples, diff_n, smooth_n, lag_n)
-
-    def agrees(m):
-        distance = mean_distance(F.col("x"), m["c0"], m["c1"], lag_n + 1)
-        return anomaly_score(distance, m["min_dist"], m["max_dist"]) >= threshold
-
-    joined = rows.join(ensemble_now(models, model_count), "series_id", "left").withColumn(
-        "models", F.filter("models", lambda m: m["trained_at"] <= F.col("ts"))
-    )
-    vote = F.col("x").isNotNull() & (F.size("models") > 0) & F.forall("models", agrees)
-    return joined.withColumn("anomalous", F.coalesce(vote, F.lit(False))).drop("x", "models").withColumn(
-        "labels", labels_of(F.col("series_id"))
-    )
+    """Samples with ``anomalous`` set by the vote of the models trained no later than their own time.
+
+    ``models`` is a stream of the table that :func:`retrain` appends to, or a
+    table, which is then the state that the query starts with.  A model counts
+    for the samples of the micro-batch it comes with and later ones.  The state
+    of a series holds the newest ``model_count`` models as of ``late_s`` before
+    its newest sample, and those trained since, so that a late sample, too, is
+    judged by the models of its time.
+    """
+    check_settings(model_count, diff_n=diff_n, smooth_n=smooth_n, lag_n=lag_n, score_threshold=threshold)
+    known = models.select("series_id", F.unix_micros("trained_at").alias("trained_us"), *_MODEL[1:])
+    rows = samples.select("series_id", "name", F.unix_micros("ts").alias("us"), "value", "interval_s", "seq")
+    initial = None
+    if models.isStreaming:
+        rows = rows.unionByName(known, allowMissingColumns=True)
+    else:
+        initial = known.groupBy("series_id")
+        rows = rows.select("*", *(F.lit(None).cast(t).alias(c) for c, t in zip(_MODEL, ("long", "array<double>", "array<double>", "double", "double"))))
+    processor = Scored(stretch(samples), model_count, (diff_n, smooth_n, lag_n), threshold, late_s)
+    scored = with_state(rows.groupBy("series_id"), processor, _SCORED_DDL, initial=initial)
+    # rebuilding ts is also the projection a sort-merge join needs on top of Python state output
+    return scored.withColumn("ts", F.timestamp_micros("us")).drop("us").withColumn("labels", labels_of(F.col("series_id")))
 
 
 def retrain(points: DataFrame, models_path: str, now: datetime, *, window_s: int = TRAINING_WINDOW_S, **settings) -> None:
