@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparktide.functions.times import floor_to, unix_second
 from sparktide.plans.slices import SLICE_SECONDS, with_slice
 
 # Ring slots per series, bytes per stored (time, value) pair,
@@ -123,6 +124,45 @@ def tier_points(retention_s: float, interval_s: float) -> float:
     return 0.0 if retention_s <= 0 or interval_s <= 0 else retention_s / interval_s
 
 
+def _sizes(tier: str, series: Column, rows: Column, keep: dict, every: dict, ratio: float) -> Column:
+    """One row of a report as a struct."""
+    subseries = 1 if tier == "raw" else ROLLUP_SUBSERIES
+    planned = tier_points(keep[tier], every[tier])
+    bytes_planned = series * (subseries * POINT_BYTES) * F.lit(planned)
+    return F.struct(
+        F.lit(tier).alias("tier"), series.alias("series"), (rows * subseries).alias("points"), (rows * subseries * POINT_BYTES).alias("bytes"),
+        F.lit(planned).alias("planned_points_per_series"), bytes_planned.alias("planned_bytes"),
+        (bytes_planned / F.lit(float(ratio))).alias("planned_compressed_bytes"),
+    )
+
+
+def _plans(retention_s: dict[str, float] | None, raw_interval_s: float, ratio: float) -> tuple[dict, dict]:
+    if ratio <= 0:
+        raise ValueError("ratio must be positive")
+    return {**RETENTION_S, **(retention_s or {})}, {**TIER_INTERVAL_S, "raw": raw_interval_s}
+
+
+def sizing_of(
+    samples: DataFrame,
+    *,
+    retention_s: dict[str, float] | None = None,
+    raw_interval_s: float = TIER_INTERVAL_S["raw"],
+    ratio: float = COMPRESSION_RATIO,
+) -> DataFrame:
+    """:func:`sizing_report` of the tiers that samples would make, in one pass over them.
+
+    Samples are counted by minute, minutes by hour, hours by series; each step
+    has partial sums before its shuffle and far fewer rows than the one before.
+    """
+    keep, every = _plans(retention_s, raw_interval_s, ratio)
+    minute = samples.groupBy("series_id", floor_to(unix_second("ts"), 60).alias("_m")).agg(F.count(F.lit(1)).alias("raw"))
+    hour = minute.groupBy("series_id", floor_to(F.col("_m"), 3600).alias("_h")).agg(F.sum("raw").alias("raw"), F.count(F.lit(1)).alias("minute"))
+    series = hour.groupBy("series_id").agg(F.sum("raw").alias("raw"), F.sum("minute").alias("minute"), F.count(F.lit(1)).alias("hour"))
+    total = series.agg(F.count(F.lit(1)).alias("series"), *(F.coalesce(F.sum(t), F.lit(0)).alias(t) for t in TIER_INTERVAL_S))
+    rows = F.array(*[_sizes(t, F.col("series"), F.col(t), keep, every, ratio) for t in TIER_INTERVAL_S])
+    return total.select(F.inline(rows))
+
+
 def sizing_report(
     raw: DataFrame,
     minute: DataFrame,
@@ -137,28 +177,11 @@ def sizing_report(
     ``points`` and ``bytes`` count the tables as they are (a rollup bucket is
     three values); ``planned_bytes`` is series x retention / interval.
     """
-    if ratio <= 0:
-        raise ValueError("ratio must be positive")
-    keep = {**RETENTION_S, **(retention_s or {})}
-    every = {**TIER_INTERVAL_S, "raw": raw_interval_s}
-    reports = []
-    for tier, table, subseries in (
-        ("raw", raw, 1), ("minute", minute, ROLLUP_SUBSERIES), ("hour", hour, ROLLUP_SUBSERIES),
-    ):
-        planned = tier_points(keep[tier], every[tier])
-        reports.append(
-            table.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
-            .agg(F.count(F.lit(1)).alias("series"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
-            .select(
-                F.lit(tier).alias("tier"),
-                "series",
-                (F.col("rows") * subseries).alias("points"),
-                (F.col("rows") * subseries * POINT_BYTES).alias("bytes"),
-                F.lit(planned).alias("planned_points_per_series"),
-                (F.col("series") * (subseries * POINT_BYTES) * F.lit(planned)).alias("planned_bytes"),
-                (F.col("series") * (subseries * POINT_BYTES) * F.lit(planned) / F.lit(float(ratio))).alias(
-                    "planned_compressed_bytes"
-                ),
-            )
-        )
+    keep, every = _plans(retention_s, raw_interval_s, ratio)
+    reports = [
+        table.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("series"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+        .select(F.inline(F.array(_sizes(tier, F.col("series"), F.col("rows"), keep, every, ratio))))
+        for tier, table in (("raw", raw), ("minute", minute), ("hour", hour))
+    ]
     return reports[0].unionByName(reports[1]).unionByName(reports[2])

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sparktide.functions.labels import label
 from sparktide.operators import alerts as A
 from sparktide.sinks.text import alert_payloads
-from workload.inputs import EV, events, micros, query, r6
+from workload.inputs import EV, events, micros, query, r6, table
 
 RULES = [
     {"rule": "high_click", "metric": "click", "cond_type": "threshold", "operator": ">", "threshold": 60, "for_s": "1h"},
@@ -51,16 +51,19 @@ def alert_rows(ev):
     return ev.select("rule", "metric", "series_id", "severity", r6("value"), micros("since"), micros("at"), "firing")
 
 
-@query("load_rules", """SELECT * FROM (VALUES
-  ('high_click', 'click', 'threshold', 'warning', 3600.0::DOUBLE, 0.0::DOUBLE), ('rising_view', 'view', 'rate_of_change', 'warning', 0.0, 14400.0),
-  ('low_error', 'error', 'threshold', 'critical', 7200.0, 0.0), ('any_purchase', 'purchase', 'threshold', 'info', 86400.0, 0.0),
-  ('odd_signup', 'signup', 'anomaly', 'warning', 1800.0, 0.0)) AS t(rule, metric, cond_type, severity, for_s, window_s)
-  WHERE metric IN (SELECT event_type FROM events)""")
+@query("load_rules", """SELECT 'high_' || event_type AS rule, event_type AS metric, 'threshold' AS cond_type,
+  CASE WHEN count(*) % 2 = 0 THEN 'critical' ELSE 'warning' END AS severity, round(avg(value), 3) AS threshold, 5400.0::DOUBLE AS for_s, 0.0::DOUBLE AS window_s,
+  CAST(count(DISTINCT user_id % 4) AS DOUBLE) * 3600 AS silent_s
+FROM events GROUP BY event_type""")
 def rules(spark, sf):
-    """The rules whose metric occurs in the data."""
-    known = events(spark, sf).select(F.col("name").alias("metric")).distinct()
-    rows = A.load_rules(spark, RULES, notifiers=["hook", "chat", "gone"]).table
-    return rows.select("rule", "metric", "cond_type", "severity", "for_s", "window_s").join(known, "metric", "left_semi")
+    """A table of rules, one for each metric from its own values, checked and given its defaults."""
+    found = table(spark, sf, "events").groupBy(F.col("event_type").alias("metric")).agg(
+        F.round(F.avg("value"), 3).alias("threshold"), F.when(F.count(F.lit(1)) % 2 == 0, "critical").alias("severity"),
+        F.concat(F.count_distinct(F.col("user_id") % 4).cast("string"), F.lit("h")).alias("silent_s"),
+    )
+    made = found.select(F.concat(F.lit("high_"), "metric").alias("rule"), "*", F.lit("threshold").alias("cond_type"), F.lit(">").alias("operator"), F.lit("1h30m").alias("for_s"))
+    rows = A.rules_from(made, notifiers=["hook"]).table
+    return rows.select("rule", "metric", "cond_type", "severity", "threshold", "for_s", "window_s", "silent_s")
 
 
 @query("match_rules", f"WITH {MATCHED} SELECT rule, series_id, us AS ts_us, seq FROM m")
@@ -115,6 +118,9 @@ def routes(spark, sf):
     return routed(spark, sf).select("rule", "series_id", micros("at"), "firing", "notifier", "type")
 
 
+SENT = _ROUTED + """, sent AS (SELECT * FROM rt)"""
+
+
 _NUM = r"regexp_replace(CAST(value AS VARCHAR), '\.0$', '')"
 
 
@@ -135,3 +141,43 @@ def payloads(spark, sf):
 def by_label(spark, sf):
     ev = A.alert_events(evaluated(spark, sf), A.load_rules(spark, RULES))
     return ev.groupBy("rule", label(F.col("labels"), "shard").alias("shard")).agg(F.count(F.lit(1)).alias("events"))
+
+
+SILENT_RULES = [
+    {"rule": "high_click", "metric": "click", "cond_type": "threshold", "operator": ">", "threshold": 50, "silent_s": "3h"},
+    {"rule": "any_purchase", "metric": "purchase", "cond_type": "threshold", "operator": ">=", "threshold": 0, "for_s": "2h", "severity": "info", "silent_s": "90m"},
+    {"rule": "rising_view", "metric": "view", "cond_type": "rate_of_change", "operator": ">", "threshold": 0.01, "window_s": "4h", "silent_s": "2h"},
+    {"rule": "low_error", "metric": "error", "cond_type": "threshold", "operator": "<", "threshold": 30},
+]
+
+# Where the next sample is farther than the silence, or there is none and the newest sample of all is, a row that does not hold.
+SILENT_SQL = f"""WITH {EV}, ol AS (SELECT *, first_value(us) OVER w AS ous, first_value(value) OVER w AS ov FROM ev
+  WINDOW w AS (PARTITION BY series_id ORDER BY us RANGE BETWEEN 14400000000 PRECEDING AND CURRENT ROW)),
+h AS (SELECT 'high_click' AS rule, 'warning' AS severity, 0 AS wait, 10800000000 AS quiet, *, value > 50 AS holds FROM ol WHERE name = 'click'
+  UNION ALL SELECT 'any_purchase', 'info', 7200000000, 5400000000, *, value >= 0 FROM ol WHERE name = 'purchase'
+  UNION ALL SELECT 'rising_view', 'warning', 0, 7200000000, *, coalesce(us > ous AND (value - ov) / ((us - ous) / 1e6::DOUBLE) > 0.01, false) FROM ol WHERE name = 'view'
+  UNION ALL SELECT 'low_error', 'warning', 0, NULL, *, value < 30 FROM ol WHERE name = 'error'),
+nx AS (SELECT *, lead(us) OVER (PARTITION BY rule, series_id ORDER BY us, seq) AS after FROM h),
+m AS (SELECT rule, severity, wait, name, series_id, us, seq, value, holds FROM h
+  UNION ALL SELECT rule, severity, wait, name, series_id, us + quiet, seq, value, false FROM nx
+  WHERE after > us + quiet OR (after IS NULL AND us + quiet <= (SELECT max(us) FROM ev))){STATES.removeprefix(MATCHED)}
+SELECT rule, name AS metric, series_id, severity, round(value, 6) AS value,
+  CASE WHEN firing THEN pending ELSE us END AS since_us, us AS at_us, firing FROM s4 WHERE firing <> was_firing"""
+
+
+@query("alert_events_silent", SILENT_SQL)
+def turned_silent(spark, sf):
+    """Alerts that also resolve when their series sends nothing for a while, up to the newest sample of all."""
+    rows = events(spark, sf)
+    loaded = A.load_rules(spark, SILENT_RULES)
+    until = rows.agg(F.max("ts")).first()[0]
+    ev = A.with_silences(A.evaluate_rules(rows, loaded), F.lit(until))
+    return alert_rows(A.alert_events(ev, loaded))
+
+
+@query("register_condition", f"""WITH {EV} SELECT series_id, us AS ts_us, value > 40 AND us // 3600000000 % 24 >= 20 AS holds FROM ev WHERE name = 'view'""")
+def own_condition(spark, sf):
+    """A condition kind of one's own: high values late in the day."""
+    A.register_condition("late_and_high", lambda: (F.col("value") > F.col("threshold")) & (F.hour("ts") >= 20))
+    loaded = A.load_rules(spark, [{"rule": "late", "metric": "view", "cond_type": "late_and_high", "threshold": 40}])
+    return A.evaluate_rules(events(spark, sf), loaded).select("series_id", micros("ts"), "holds")

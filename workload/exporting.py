@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from sparktide.operators.export import delta_since, delta_watermark, federated_query, lake_rows
+from sparktide.operators.export import delta_since, delta_watermark, federated_query, lake_rows, local_source
 from sparktide.operators.rollup import rollup
 from sparktide.operators.select import latest_per_series
 from sparktide.plans.tiers import query_range
-from sparktide.sinks.lake import write_lake, write_samples
+from sparktide.sinks.lake import append_lake, read_lake, write_lake, write_samples
 from sparktide.sinks.matrix import matrix_query, matrix_result, timeseries_batches
 from sparktide.sinks.text import render_exposition
 from sparktide.sources.delta_json import parse_delta_json
@@ -165,3 +165,28 @@ SELECT DISTINCT name, 0 AS part, '# TYPE ' || name || ' untyped' AS line FROM la
 UNION ALL SELECT name, 1, name || '{{shard="' || shard || '"}} ' || {_text("value")} || ' ' || (us // 1000) FROM la""")
 def exposition(spark, sf):
     return render_exposition(latest_per_series(events(spark, sf))).select("name", "part", "line")
+
+
+@query("append_lake", f"""WITH {_NODES} SELECT node_id, 'host' || right(node_id, 1) AS hostname, name AS metric_name,
+  '{{"shard":"' || shard || '"}}' AS labels_json, us AS ts_us, round(av, 6) AS value, false AS anomaly_bit FROM nr""")
+def lake_calls(spark, sf):
+    """Each node's rows as a snapshot of the lake table, each call made twice."""
+    path = folder(spark, "lake")
+    rows = _node_rows(spark, sf)
+    for n in range(3):
+        for _ in range(2):
+            append_lake(rows.where(F.col("node_id") == f"node{n}"), path, call=1, writer=f"node{n}")
+    return read_lake(spark, path).select(*lake_columns())
+
+
+@query("delta_source", f"""WITH {MI} SELECT 'n1' AS node_id, 'host1' AS hostname, name AS metric_name,
+  '{{"shard":"' || shard || '"}}' AS labels_json, bucket_s * 1000000 AS ts_us, round(av, 6) AS value, false AS anomaly_bit
+FROM mi WHERE bucket_s > epoch(TIMESTAMP '2024-01-10') AND bucket_s <= epoch(TIMESTAMP '2024-01-20')""")
+def source(spark, sf):
+    """Three pulls from a source, each from the watermark that the one before gave."""
+    pull = local_source(minutes(spark, sf), "n1", "host1")
+    since, parts = _SINCE, []
+    for day in (13, 16, 20):
+        parts.append(pull(since, utc(2024, 1, day)))
+        since = utc(2024, 1, day)
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select(*lake_columns())

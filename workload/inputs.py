@@ -41,9 +41,9 @@ def shard() -> Column:
     return F.col("user_id") % 4
 
 
-def from_events(events: DataFrame) -> DataFrame:
+def from_events(events: DataFrame, labels: dict[str, Column] | None = None) -> DataFrame:
     return samples_from_table(
-        events, name=F.col("event_type"), ts="ts", value="value", labels={"shard": shard()}, seq="event_id"
+        events, name=F.col("event_type"), ts="ts", value="value", labels=labels or {"shard": shard()}, seq="event_id"
     )
 
 
@@ -57,6 +57,38 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
     return store_points(events(spark, sf))
 
 
+def label_of_week() -> Column:
+    """Number of the week of an event, counted from 1970."""
+    return F.expr("unix_micros(CAST(ts AS TIMESTAMP)) div 604800000000").cast("string")
+
+
+def event_file(spark: SparkSession, sf: str, k: int, n: int, path: str) -> None:
+    """Add the k-th of n equal stretches of the event table, in order of arrival, to a folder as one file."""
+    rows = table(spark, sf, "events")
+    total = rows.agg(F.max("event_id") + 1).first()[0]
+    rows.where(F.floor(F.col("event_id") * n / F.lit(total)) == k).coalesce(1).write.mode("append").parquet(path)
+
+
+_FILES: dict[tuple[str, str, int], str] = {}
+
+
+def event_files(spark: SparkSession, sf: str, n: int = 3) -> str:
+    """A folder with the event table in n files, made once per application and input."""
+    key = (spark.sparkContext.applicationId, sf, n)
+    if key not in _FILES:
+        path = folder(spark, "events")
+        for k in range(n):
+            event_file(spark, sf, k, n, path)
+        _FILES[key] = path
+    return _FILES[key]
+
+
+def file_stream(spark: SparkSession, sf: str, path: str, labels: dict[str, Column] | None = None) -> DataFrame:
+    """Samples of a folder of event files, one file to a micro-batch."""
+    schema = table(spark, sf, "events").schema
+    return from_events(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path), labels)
+
+
 def lineitem(spark: SparkSession, sf: str) -> DataFrame:
     """Six series with many samples per second, arriving in order-key order."""
     rows = table(spark, sf, "lineitem")

@@ -8,6 +8,7 @@ from sparktide.operators import anomaly as M
 from sparktide.operators.store import MICROS_PER_SLICE, store_points
 from sparktide.sources.tables import samples_from_table
 from workload.inputs import EV, PT, events, micros, points, query, r6, table, utc
+from workload.storing import stored_tiers
 
 _X = """fd AS (SELECT *, value - lag(value) OVER (PARTITION BY series_id ORDER BY sec) AS d FROM pt),
 fm AS (SELECT *, CASE WHEN count(d) OVER w = 3 THEN avg(d) OVER w END AS m FROM fd
@@ -89,7 +90,7 @@ def models(spark, sf):
 
     The shift keeps means that end in an exact half from rounding either way.
     """
-    out = M.train_models(points(spark, sf), **_GRID)
+    out = M.train_models(stored_tiers(spark, sf)["raw"], **_GRID)
     return out.select(
         "series_id", micros("trained_at"), *[r6(F.col("c0")[i] + 1e-8, f"c0_{i}") for i in range(6)],
         *[r6(F.col("c1")[i] + 1e-8, f"c1_{i}") for i in range(6)], r6("min_dist"), r6("max_dist"),
@@ -100,7 +101,7 @@ def models(spark, sf):
 SELECT series_id, t * 1000000 AS trained_at_us, round(lo, 6) AS min_dist, round(hi, 6) AS max_dist FROM mo""")
 def models_all_rounds(spark, sf):
     """The same with every one of the 500 rounds run."""
-    return M.train_models(points(spark, sf), early_stop=False, **_GRID).select(
+    return M.train_models(stored_tiers(spark, sf)["raw"], early_stop=False, **_GRID).select(
         "series_id", micros("trained_at"), r6("min_dist"), r6("max_dist"))
 
 
@@ -133,7 +134,7 @@ SELECT pt.series_id, pt.sec * 1000000 AS ts_us, pt.value, coalesce(vote.a, false
 FROM pt LEFT JOIN vote ON pt.series_id = vote.series_id AND pt.sec = vote.sec""")
 def scored(spark, sf):
     """Points judged by the trained models in force at their time."""
-    p = points(spark, sf)
+    p = stored_tiers(spark, sf)["raw"]
     trained = M.train_models(p, **_GRID)
     return M.score_samples(p, trained, threshold=60.0).select("series_id", micros("ts"), "value", "anomalous")
 
@@ -161,7 +162,7 @@ vote AS (SELECT series_id, sec, bool_and(least(100, 100 * abs(((sqrt(q0) + sqrt(
 SELECT pt.series_id, pt.sec * 1000000 AS ts_us, pt.value, coalesce(vote.a, false) AS anomalous
 FROM pt LEFT JOIN vote ON pt.series_id = vote.series_id AND pt.sec = vote.sec""")
 def voted(spark, sf):
-    p = points(spark, sf)
+    p = stored_tiers(spark, sf)["raw"]
     out = M.score_samples(p, _plain_models(p), model_count=3, threshold=70.0)
     return out.select("series_id", micros("ts"), "value", "anomalous")
 

@@ -7,6 +7,7 @@ from sparktide.functions.numbers import OPERATORS, compare_op
 from sparktide.operators.select import (
     last_n, latest_per_series, latest_sum, list_metrics, list_series, select_series, time_range,
 )
+from sparktide.operators.index import find_series, indexed_metrics, indexed_series
 from sparktide.plans.tiers import auto_tier, empty_series, query_range
 from sparktide.operators.rollup import rollup
 from workload.storing import stored_tiers
@@ -114,3 +115,24 @@ def latest_total(spark, sf):
 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY us DESC) <= 120""")
 def newest(spark, sf):
     return last_n(events(spark, sf), 120).select("series_id", micros("ts"), "value")
+
+
+@query("series_index", f"WITH {EV} SELECT DISTINCT series_id, name, shard FROM ev")
+def catalogue(spark, sf):
+    """All series from the index of the stored tiers."""
+    found = indexed_series(stored_tiers(spark, sf)["series"])
+    return found.select("series_id", "name", label(F.col("labels"), "shard").alias("shard"))
+
+
+@query("index_metrics", "SELECT DISTINCT event_type AS name FROM events WHERE event_type >= 'p'")
+def index_names(spark, sf):
+    return indexed_metrics(stored_tiers(spark, sf)["series"]).where(F.col("name") >= "p")
+
+
+@query("find_series", f"""WITH {EV} SELECT DISTINCT 'pair' AS wanted, series_id FROM ev WHERE shard = '3'
+UNION ALL SELECT DISTINCT 'missing', series_id FROM ev WHERE name = 'click'""")
+def found_series(spark, sf):
+    """Series with a label, and series without one, by the index."""
+    index = stored_tiers(spark, sf)["series"]
+    one = find_series(index, None, {"shard": "3"}).select(F.lit("pair").alias("wanted"), "series_id")
+    return one.unionByName(find_series(index, "click", {"zone": ""}).select(F.lit("missing").alias("wanted"), "series_id"))

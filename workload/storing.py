@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from sparktide.operators.rollup import bucket_parts, coarser_parts, rollup, rollup_of, zip_subseries
-from sparktide.operators.store import dedup_ordered, retention, ring_retention, sizing_report
-from sparktide.plans.tiers import query_range
+from sparktide.operators.store import dedup_ordered, retention, ring_retention, sizing_of, sizing_report
+from sparktide.plans.tiers import indexed_range, query_range
 from sparktide.schema import union_sources
-from sparktide.sinks.lake import append_tiers, read_tiers
+from sparktide.sinks.lake import append_tiers, compact_tiers, read_tiers
+from sparktide.sinks.snapshots import Snapshots
 from workload.inputs import EV, MI, PT, events, folder, lineitem, micros, minutes, orders, points, query, r6, utc
 
 
@@ -82,7 +83,7 @@ def stored_tiers(spark, sf):
     return read_tiers(spark, _TIERS[key])
 
 
-@query("append_tiers", f"""WITH {PT}, t AS (
+TIERS_SQL = f"""WITH {PT}, t AS (
   SELECT 'minute' AS tier, series_id, (sec - sec % 60) * 1000000 AS us, value FROM ev
   UNION ALL SELECT 'hour', series_id, (sec - sec % 3600) * 1000000, value FROM ev),
 n AS (SELECT series_id, max(sec) AS newest FROM ev GROUP BY 1)
@@ -90,15 +91,41 @@ SELECT tier, series_id, us AS bucket_us, round(min(value), 6) AS min, round(avg(
 FROM t JOIN n USING (series_id)
 WHERE us < (CASE tier WHEN 'minute' THEN newest - newest % 60 ELSE newest - newest % 3600 END) * 1000000
 GROUP BY tier, series_id, us
-UNION ALL SELECT 'raw', series_id, sec * 1000000, round(value, 6), round(value, 6), round(value, 6) FROM pt""")
-def tiers(spark, sf):
-    """All tiers after two appending calls."""
-    made = stored_tiers(spark, sf)
+UNION ALL SELECT 'raw', series_id, sec * 1000000, round(value, 6), round(value, 6), round(value, 6) FROM pt"""
+
+
+def tier_rows(made):
+    """All tiers as rows of one shape."""
     raw = made["raw"].select(F.lit("raw").alias("tier"), "series_id", micros("ts", "bucket_us"), r6("value", "min"), r6("value", "avg"), r6("value", "max"))
     found = [made[tier].select(F.lit(tier).alias("tier"), *buckets()) for tier in ("minute", "hour")]
     return found[0].unionByName(found[1]).unionByName(raw)
 
 
+@query("append_tiers", TIERS_SQL)
+def tiers(spark, sf):
+    """All tiers after two appending calls, made for this query, the second of them repeated."""
+    path = folder(spark, "tiers")
+    rows = events(spark, sf)
+    half = rows.agg((F.max("seq") / 2).cast("long")).first()[0]
+    append_tiers(rows.where(F.col("seq") <= half), path, call=1)
+    for _ in range(2):
+        append_tiers(rows.where(F.col("seq") > half), path, call=2)
+    return tier_rows(read_tiers(spark, path))
+
+
+@query("compact_tiers", TIERS_SQL)
+def compacted(spark, sf):
+    """All tiers after the folders of three calls were made one a day, and the old ones deleted."""
+    path = folder(spark, "tiers")
+    rows = events(spark, sf)
+    third = rows.agg((F.max("seq") / 3 + 1).cast("long")).first()[0]
+    for k in range(3):
+        append_tiers(rows.where((F.col("seq") >= third * k) & (F.col("seq") < third * (k + 1))), path)
+    compact_tiers(spark, path)
+    Snapshots(spark, path).vacuum(1)
+    return tier_rows(read_tiers(spark, path))
+
+
 @query("rollup_hour_lineitem", f"""WITH {_LI}
 SELECT series_id, (sec - sec % 3600) * 1000000 AS bucket_us, min(value) AS min, round(avg(value) + 1e-7::DOUBLE, 6) AS avg,
        max(value) AS max FROM li GROUP BY series_id, sec - sec % 3600""")
@@ -147,7 +174,7 @@ def kept(spark, sf):
     return retention(points(spark, sf), 7 * 86400).select("series_id", micros("ts"), "value")
 
 
-@query("sizing_report", f"""WITH {EV}, t AS (
+_SIZES = f"""WITH {EV}, t AS (
   SELECT 'raw' AS tier, 1 AS sub, 480.0::DOUBLE AS plan, count(*) AS n, count(DISTINCT series_id) AS s FROM ev
   UNION ALL SELECT 'minute', 3, 10080.0, count(*), count(DISTINCT series_id)
     FROM (SELECT DISTINCT series_id, sec // 60 FROM ev)
@@ -155,8 +182,17 @@ def kept(spark, sf):
     FROM (SELECT DISTINCT series_id, sec // 3600 FROM ev))
 SELECT tier, CAST(s AS BIGINT) AS series, CAST(n * sub AS BIGINT) AS points, CAST(n * sub * 16 AS BIGINT) AS bytes,
   plan AS planned_points_per_series, s * sub * 16 * plan AS planned_bytes,
-  round(s * sub * 16 * plan / 3.14::DOUBLE, 4) AS planned_compressed_bytes FROM t""")
+  round(s * sub * 16 * plan / 3.14::DOUBLE, 4) AS planned_compressed_bytes FROM t"""
+
+
+@query("sizing_report", _SIZES)
 def sizes(spark, sf):
+    return sizing_of(events(spark, sf)).withColumn("planned_compressed_bytes", F.round("planned_compressed_bytes", 4))
+
+
+@query("sizing_report_tables", _SIZES)
+def sizes_of_tables(spark, sf):
+    """The same from three tables that are there."""
     raw = events(spark, sf)
     return sizing_report(raw, rollup(raw, 60), rollup(raw, 3600)).withColumn(
         "planned_compressed_bytes", F.round("planned_compressed_bytes", 4)
@@ -189,3 +225,11 @@ WHERE name = 'click' AND shard = '3' AND bucket_us {_SPAN}""")
 def range_hour(spark, sf):
     found = query_range(stored_tiers(spark, sf), "click", "shard=3", _FROM, _TO, "hour")
     return found.select(*buckets())
+
+
+@query("indexed_range", f"""WITH {PT} SELECT series_id, sec * 1000000 AS ts_us, value FROM pt
+WHERE name = 'view' AND shard = '2' AND sec * 1000000 {_SPAN}""")
+def range_indexed(spark, sf):
+    """The main query with the series looked up in the index."""
+    found = indexed_range(stored_tiers(spark, sf), "view", "shard=2", _FROM, _TO)
+    return found.select("series_id", micros("ts"), "value")
