@@ -101,13 +101,14 @@ md AS (SELECT series_id, p + 432000 AS trained, round(a, 3) / 10 AS c, round(b,
     SELECT series_id, sec - sec % 432000 AS p, avg(value) AS a, max(value) AS b FROM (
       SELECT *, max(sec) OVER (PARTITION BY series_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM ev)
     WHERE seen IS NULL OR sec > seen GROUP BY 1, 2)),
-top AS (SELECT * FROM md QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY trained DESC) <= 3),
-vote AS (SELECT fx.seq, bool_and(least(100, 100 * abs(((
+top AS (SELECT fx.*, c, hi FROM fx JOIN md ON fx.series_id = md.series_id AND trained * 1000000 <= us WHERE x0 IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY fx.seq ORDER BY trained DESC) <= 3),
+vote AS (SELECT seq, bool_and(least(100, 100 * abs(((
     sqrt({" + ".join(f"x{i}*x{i}" for i in range(6))}) + sqrt({" + ".join(f"(x{i}-c)*(x{i}-c)" for i in range(6))})) / 2) / hi)) >= 70) AS a
-  FROM fx JOIN top ON fx.series_id = top.series_id AND trained * 1000000 <= us WHERE x0 IS NOT NULL GROUP BY fx.seq)
+  FROM top GROUP BY seq)
 SELECT ev.series_id, ev.us AS ts_us, ev.value, coalesce(a, false) AS anomalous FROM ev LEFT JOIN vote ON ev.seq = vote.seq""")
 def scored_plain(spark, sf):
-    """Stream scores against the newest three of a model table SQL can compute."""
+    """Stream scores against the three models in force at each sample's time, of a table SQL can compute."""
     base = folder(spark, "models")
     _plain_models(points(spark, sf)).write.mode("overwrite").parquet(f"{base}/models")
     models = spark.read.parquet(f"{base}/models")
@@ -142,9 +143,10 @@ def forwarded(spark, sf):
     return back.select("name", label(F.col("labels"), "shard").alias("shard"), F.unix_millis("ts").alias("ts_ms"), "value")
 
 
-@query("fan_out", f"""WITH {EV} SELECT 'raw' AS consumer, series_id, count(*) AS n FROM ev GROUP BY series_id
-UNION ALL SELECT 'hour', series_id, count(DISTINCT sec // 3600) FROM ev GROUP BY series_id
-UNION ALL SELECT 'failed', 'bad', 1""")
+@query("fan_out", f"""WITH {EV}, bt AS (SELECT *, CAST(floor(seq * 3::DOUBLE / (SELECT max(seq) + 1 FROM ev)) AS BIGINT) AS b FROM ev)
+SELECT 'raw' AS consumer, series_id, count(*) AS n FROM bt GROUP BY series_id
+UNION ALL SELECT 'hour', series_id, count(DISTINCT b * 1000000 + sec // 3600) FROM bt GROUP BY series_id
+UNION ALL SELECT 'failed', 'bad', count(DISTINCT b) FROM bt""")
 def fanned(spark, sf):
     """Two consumers get the stream although a third one fails; its failure is kept as a row."""
     out = folder(spark, "fan")
