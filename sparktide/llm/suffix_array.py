@@ -100,20 +100,28 @@ def _names(text: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def _ranks(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order numbers of the suffixes of a string of names, by at least their first `depth` names."""
+    """Order numbers of the suffixes of a string of names, by at least their first `depth` names.
+
+    A number is one more than the suffixes before all equal ones, so a level renumbers only what is still equal.
+    """
     n, covered = len(names), 1
-    rank, most = names + 1, int(names.max(initial=0)) + 1
-    while most < n and covered < depth:
+    times = np.bincount(names)
+    rank = (np.cumsum(times) - times)[names] + 1
+    equal = np.flatnonzero(times[names] > 1)
+    while len(equal) and covered < depth:
         padded = np.concatenate([rank, np.zeros(2 * covered, np.int64)])
-        key, runs = rank * (most + 1) + padded[covered : n + covered], 2
-        if most + 1 < 1 << 21:
-            key, runs = key * (most + 1) + padded[2 * covered :], 3
+        own = rank[equal]
+        key, runs = own * (n + 1) + padded[equal + covered], 2
+        if n + 1 < 1 << 21:
+            key, runs = key * (n + 1) + padded[equal + 2 * covered], 3
         order = np.argsort(key, kind="stable")
-        new = np.ones(n, np.int64)
-        new[1:] = key[order[1:]] != key[order[:-1]]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        most, covered = int(rank[order[-1]]), runs * covered
+        key, own, at = key[order], own[order], np.arange(len(order))
+        first, new = np.ones(len(order), bool), np.ones(len(order) + 1, bool)
+        first[1:], new[1:-1] = own[1:] != own[:-1], key[1:] != key[:-1]
+        behind = np.maximum.accumulate(np.where(new[:-1], at, 0)) - np.maximum.accumulate(np.where(first, at, 0))
+        rank[equal[order]] = own + behind
+        equal = equal[order[~(new[:-1] & new[1:])]]
+        covered *= runs
     return rank
 
 
