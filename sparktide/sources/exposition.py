@@ -52,28 +52,31 @@ def _about(lines: Column) -> Column:
 _STEPS = [1 << k for k in range(30, -1, -1)]
 
 
-def _with_families(typed: Column, then: Callable[[Callable[[Column], Column]], Column]) -> Column:
-    """``then(family)``, where ``family`` gives the type line of a name.
+def _with_search(rows: Column, then: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """``then(find)``, where ``find`` gives the last of the sorted rows that have a name, null without any.
 
-    A binary search among the sorted lines, so its cost hardly grows with them.
-    All it needs is bound once a body: a plain column would be put in place of
-    its name by the optimizer, and worked out again for every line.
+    A binary search, so its cost hardly grows with the rows.  All it needs is
+    bound once a body: a plain column would be put in place of its name by the
+    optimizer, and worked out again for every line.
     """
-    lines = F.sort_array(F.transform(typed, lambda t: F.struct(F.coalesce(t["name"], F.lit("")).alias("name"), t["type"].alias("type"), t["at"].alias("at"))))
-
-    def search(families: Column, names: Column, steps: Column) -> Callable[[Column], Column]:
-        def family(name: Column) -> Column:
+    def search(ordered: Column, names: Column, steps: Column) -> Callable[[Column], Column]:
+        def find(name: Column) -> Column:
             def forward(at: Column, step: Column) -> Column:
                 return F.when((at + step <= F.size(names)) & (F.get(names, at + step - 1) <= name), at + step).otherwise(at)
 
-            return let(F.get(families, F.aggregate(steps, F.lit(0), forward) - 1), lambda f: F.when(f["name"] == name, f))
+            return let(F.get(ordered, F.aggregate(steps, F.lit(0), forward) - 1), lambda f: F.when(f["name"] == name, f))
 
-        return family
+        return find
 
     def steps(names: Column) -> Column:
         return F.filter(F.array(*[F.lit(n) for n in _STEPS]), lambda n: n <= F.size(names))
 
-    return let(lines, lambda f: let(F.transform(f, lambda x: x["name"]), lambda n: let(steps(n), lambda s: then(search(f, n, s)))))
+    return let(F.sort_array(rows), lambda f: let(F.transform(f, lambda x: x["name"]), lambda n: let(steps(n), lambda s: then(search(f, n, s)))))
+
+
+def _with_families(typed: Column, then: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """``then(family)``, where ``family`` gives the type line of a name."""
+    return _with_search(F.transform(typed, lambda t: F.struct(F.coalesce(t["name"], F.lit("")).alias("name"), t["type"].alias("type"), t["at"].alias("at"))), then)
 
 
 def _label_keys(pairs: Column) -> Column:
@@ -111,7 +114,7 @@ def _cut_line(line: Column) -> Column:
 
 
 def checked_bodies(bodies: DataFrame) -> DataFrame:
-    """Bodies with ``checked``: their cut ``samples``, their ``typed`` lines and whether the whole body can be taken (``ok``).
+    """Bodies with ``checked``: their cut ``samples``, the lines ``missing`` and whether the whole body can be taken (``ok``).
 
     Each line is looked at once; a sample finds the family it is a ``part`` of
     in the sorted list of the body's type lines.
@@ -129,6 +132,7 @@ def checked_bodies(bodies: DataFrame) -> DataFrame:
             part = (
                 F.when(belongs("_bucket") == "histogram", F.lit("bucket"))
                 .when(belongs("_count").isin("histogram", "summary"), F.lit("count"))
+                .when(belongs("_sum").isin("histogram", "summary"), F.lit("sum"))
                 .when(own["type"] == "summary", F.lit("quantile"))
                 .when(own["type"] == "histogram", F.lit("bare"))
                 .otherwise(F.lit("plain"))
@@ -150,7 +154,7 @@ def checked_bodies(bodies: DataFrame) -> DataFrame:
         )
         if "status" in bodies.columns:
             ok = ok & (F.col("status") == 200)
-        return F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), samples.alias("samples"), typed.alias("typed"))
+        return F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), samples.alias("samples"), _missing(samples).alias("missing"))
 
     def of_body(lines: Column) -> Column:
         plain = F.filter(lines, lambda x: ~x["text"].startswith("#"))
@@ -168,6 +172,43 @@ def exposition_rejects(bodies: DataFrame) -> DataFrame:
     return checked.drop("_one")
 
 
+#: How many characters the end of a component's name has.
+_ENDS = {"bucket": 7, "count": 6, "sum": 4}
+
+
+def _missing(samples: Column) -> Column:
+    """Lines of value 0 for the sums and counts that histograms and summaries of a body lack, one for each of their label sets."""
+    def component(s: Column) -> Column:
+        line = s["line"]
+        cut = F.when(s["part"] == "bucket", F.lit(_ENDS["bucket"])).when(s["part"] == "count", F.lit(_ENDS["count"])).when(s["part"] == "sum", F.lit(_ENDS["sum"])).otherwise(F.lit(0))
+        pairs = F.when(F.size(line["keys"]) > 0, F.zip_with(line["keys"], _label_values(line["pairs"]), lambda k, v: F.struct(k.alias("k"), v.alias("v"))))
+        own = F.sort_array(F.filter(F.coalesce(pairs, F.array().cast("array<struct<k:string,v:string>>")), lambda p: ~p["k"].isin("le", "quantile")))
+        text = F.concat(F.lit("{"), F.concat_ws(",", F.transform(own, lambda p: F.concat(p["k"], F.lit('="'), p["v"], F.lit('"')))), F.lit("}"))
+        return F.struct(
+            F.concat(F.left(line["name"], F.length(line["name"]) - cut), F.lit(_CUT), text).alias("name"), line["stamp"].alias("stamp"), s["part"].alias("part"),
+        )
+
+    def lines(found: Column, last: Callable[[Column], Column]) -> Column:
+        def lacking(part: str) -> Column:
+            have = F.transform(F.filter(found, lambda c: c["part"] == part), lambda c: c["name"])
+            gone = F.array_except(F.array_distinct(F.transform(found, lambda c: c["name"])), have)
+
+            def zero(key: Column) -> Column:
+                text = F.substring_index(key, _CUT, -1)
+                line = F.struct(
+                    F.concat(F.substring_index(key, _CUT, 1), F.lit(f"_{part}")).alias("name"), text.alias("pairs"), _label_keys(text).alias("keys"),
+                    F.lit("0").alias("value"), last(key)["stamp"].alias("stamp"),
+                )
+                return F.struct(line.alias("line"), F.lit(part).alias("part"), F.lit(False).alias("early"))
+
+            return F.transform(gone, zero)
+
+        return F.concat(lacking("sum"), lacking("count"))
+
+    components = F.transform(F.filter(samples, lambda s: s["part"] != "plain"), component)
+    return let(components, lambda found: _with_search(F.transform(found, lambda c: F.struct(c["name"].alias("name"), c["stamp"].alias("stamp"))), lambda last: lines(found, last)))
+
+
 def _unescape(text: Column) -> Column:
     mark = "\u0000"
     out = F.replace(text, F.lit("\\\\"), F.lit(mark))
@@ -175,9 +216,12 @@ def _unescape(text: Column) -> Column:
     return F.when(text.contains("\\"), F.replace(out, F.lit(mark), F.lit("\\"))).otherwise(text)
 
 
+def _label_values(pairs: Column) -> Column:
+    return F.regexp_extract_all(pairs, F.lit(rf'{LABEL}\s*=\s*"([^"\\]*+(?:\\[\\"n][^"\\]*+)*+)"'), F.lit(1))
+
+
 def _label_map(keys: Column, pairs: Column) -> Column:
-    values = F.regexp_extract_all(pairs, F.lit(rf'{LABEL}\s*=\s*"([^"\\]*+(?:\\[\\"n][^"\\]*+)*+)"'), F.lit(1))
-    return F.when(F.size(keys) > 0, F.map_from_arrays(keys, F.transform(values, _unescape))).otherwise(empty_labels())
+    return F.when(F.size(keys) > 0, F.map_from_arrays(keys, F.transform(_label_values(pairs), _unescape))).otherwise(empty_labels())
 
 
 def flatten_families(lines: DataFrame) -> DataFrame:
@@ -201,11 +245,12 @@ def parse_exposition(bodies: DataFrame) -> DataFrame:
     """Samples of all valid bodies.
 
     The time is the line's own millisecond stamp or the scrape time; target
-    labels are merged under the line's own.
+    labels are merged under the line's own.  A histogram or summary without its
+    sum or count has one of 0.
     """
     checked = checked_bodies(bodies)
     # a rejected body explodes to nothing; filtering it away would check it twice
-    taken = F.when(F.col("checked.ok"), F.col("checked.samples"))
+    taken = F.when(F.col("checked.ok"), F.concat("checked.samples", "checked.missing"))
     rows = checked.select(
         "target", "scrape_ts", F.coalesce("target_labels", empty_labels()).alias("target_labels"), "interval_s",
         F.explode(taken).alias("l"),

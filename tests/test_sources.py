@@ -45,7 +45,19 @@ def test_all_families(spark):
 
 def test_components_without_their_label_carry_nothing(spark):
     text = family("h", "histogram", ("_bucket", {"le": "1"}, 2), ("_bucket", {"other": "1"}, 3), ("", {}, 4), ("_count", {}, 2)) + family("s", "summary", ("", {}, 5), ("_sum", {}, 6))
-    assert sorted((r.name, r.value) for r in X.parse_exposition(bodies(spark, text)).collect()) == [("h_bucket", 2), ("h_count", 2), ("s_sum", 6)]
+    assert sorted((r.name, r.value) for r in X.parse_exposition(bodies(spark, text)).collect()) == [
+        ("h_bucket", 2), ("h_count", 0), ("h_count", 2), ("h_sum", 0), ("h_sum", 0), ("s_count", 0), ("s_sum", 6)]
+
+
+def test_missing_sums_and_counts_are_zero(spark):
+    text = (
+        '# TYPE h histogram\nh_bucket{z="1", le="2",a="x y"} 3 77000\nh_bucket{le="4",a="x y",z="1"} 5 77000\nh_count{a="x y",z="1"} 5 77000\nh_sum{a="q\\"r"} 2\n'
+        '# TYPE s summary\ns{quantile="0.5"} 1\n# TYPE g gauge\ng_sum 4\nplain_count 2\n'
+    )
+    rows = X.parse_exposition(bodies(spark, text, labels={"job": "j"})).collect()
+    got = sorted((r.name, r.labels.get("a", ""), r.labels.get("z", ""), r.value, r.ts.timestamp() if r.ts.year == 1970 else 0) for r in rows if r.value == 0)
+    assert got == [("h_count", 'q"r', "", 0, 0), ("h_sum", "x y", "1", 0, 77), ("s_count", "", "", 0, 0), ("s_sum", "", "", 0, 0)]
+    assert len(rows) == 11 and all("le" not in r.labels and r.labels["job"] == "j" for r in rows if r.value == 0)
 
 
 def test_lines(spark):

@@ -64,6 +64,25 @@ def rejects(spark, sf):
     return X.exposition_rejects(bodies(spark, sf)).select(F.col("target").cast("long").alias("event_id"))
 
 
+@query("exposition_zero_rows", """SELECT event_id, 'gap_bucket' AS name, event_type AS zone, '2.5' AS bound, CAST(user_id AS DOUBLE) AS value FROM events
+UNION ALL SELECT event_id, 'gap_sum', event_type, NULL, 0 FROM events
+UNION ALL SELECT event_id, 'gap_count', event_type, NULL, 0 FROM events
+UNION ALL SELECT event_id, 'lag_sum', NULL, NULL, value FROM events
+UNION ALL SELECT event_id, 'lag_count', NULL, NULL, CASE WHEN event_id % 2 = 0 THEN 7 ELSE 0 END FROM events""")
+def zero_rows(spark, sf):
+    """A histogram without sum and count, and a summary whose count every second scrape lacks."""
+    text = F.concat(
+        F.lit('# TYPE gap histogram\ngap_bucket{zone="'), F.col("event_type"), F.lit('",le="2.50"} '), F.col("user_id").cast("string"),
+        F.lit("\n# TYPE lag summary\nlag_sum "), F.col("value").cast("string"), F.when(F.col("event_id") % 2 == 0, F.lit("\nlag_count 7\n")).otherwise(F.lit("\n")),
+    )
+    scrapes = _spread(spark, sf).select(
+        F.col("event_id").cast("string").alias("target"), F.col("ts").cast("timestamp").alias("scrape_ts"), F.create_map(F.lit("job"), F.lit("shop")).alias("target_labels"),
+        F.lit(15.0).alias("interval_s"), text.alias("body"),
+    )
+    m = F.col("labels")
+    return X.parse_exposition(scrapes).select(F.col("target").cast("long").alias("event_id"), "name", label(m, "zone").alias("zone"), label(m, "le").alias("bound"), "value")
+
+
 def snapshot(spark, sf, file, *parts):
     """One captured file per event; ``parts`` are columns or literal text."""
     text = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
