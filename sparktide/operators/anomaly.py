@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
@@ -27,6 +28,9 @@ SCORE_THRESHOLD = 99.0
 MAX_ROUNDS = 500
 RANKING_WINDOW_S = 600
 
+#: Windows whose training times share a group.
+BLOCK_WINDOWS = 4
+
 MODEL_DDL = (
     "series_id string, trained_at timestamp, c0 array<double>, c1 array<double>, min_dist double, max_dist double"
 )
@@ -176,50 +180,60 @@ def train_models(
     """One model per series and training time, from the points in ``[t - window, t]``.
 
     Training times are either listed or the multiples of ``every_s`` within
-    ``[start, end]``.  A group is one series over one training window; on stored
-    points (one per second) that is at most ``window_s + 1`` rows, so no group
-    grows with the table.  Series with fewer than two vectors get no model.
+    ``[start, end]``.  A group is one series and a stretch of training times: a
+    listed one, or those of ``BLOCK_WINDOWS`` windows of a grid.  The points of
+    overlapping windows travel once, and each window is a part of the sorted
+    group.  On stored points (one per second) a group has at most
+    ``(BLOCK_WINDOWS + 1) * window_s`` rows and those of one interval, so none grows with the table.
+    Series with fewer than two vectors get no model.
     """
     check_settings(1, window_s, every_s, diff_n, smooth_n, lag_n)
-    sec = unix_second("ts")
-    us = F.unix_micros("ts")
+    sec, us = unix_second("ts"), F.unix_micros("ts")
     if train_at is not None:
-        stamps = [F.unix_micros(F.lit(t).cast("timestamp")) for t in train_at]
-        within = [(us <= t) & (us >= t - window_s * 1_000_000) for t in stamps]
-        times = F.filter(F.array(*[F.when(ok, t) for ok, t in zip(within, stamps)]), lambda t: t.isNotNull())
+        listed = sorted({int(round(t.timestamp() * 1e6)) for t in train_at})
+        near = F.array(*[F.when((us <= t) & (us >= t - window_s * 1_000_000), F.lit(t)) for t in listed]) if listed else F.array().cast("array<bigint>")
+        blocks, grid = F.filter(near, lambda t: t.isNotNull()), None
+        first, final = min(train_at, default=None), max(train_at, default=None)
     else:
         if start is None or end is None:
             raise ValueError("give train_at, or start and end")
-        last = unix_second(F.lit(end).cast("timestamp"))
-        begin = unix_second(F.lit(start).cast("timestamp"))
-        up = floor_to(F.greatest(-F.floor(-us / 1e6), begin) + (every_s - 1), every_s)
-        until = F.least(sec + window_s, last)
-        grid = F.sequence(up, floor_to(until, every_s), F.lit(every_s).cast("long"))
-        ends = F.when(up <= floor_to(until, every_s), grid).otherwise(F.array().cast("array<bigint>"))
-        times = F.filter(
-            F.transform(ends, lambda t: t * 1_000_000),
-            lambda t: (us <= t) & (us >= t - window_s * 1_000_000),
-        )
-    first, final = (start, end) if train_at is None else (min(train_at, default=None), max(train_at, default=None))
+        first, final = start, end
+        grid = (-(-start.timestamp() // every_s) * every_s, end.timestamp())
+        width = every_s * max(1, round(BLOCK_WINDOWS * window_s / every_s))
+        # the first and the last training time that a point counts for
+        up = floor_to(F.greatest(-F.floor(-us / 1e6), F.lit(int(grid[0]))) + (every_s - 1), every_s)
+        until = floor_to(F.least(sec + window_s, F.lit(math.floor(grid[1]))), every_s)
+        span = F.sequence(floor_to(up, width), floor_to(until, width), F.lit(width).cast("long"))
+        blocks = F.when(up <= until, F.transform(span, lambda t: t * 1_000_000)).otherwise(F.array().cast("array<bigint>"))
     if first is not None:
         # bounds on time and day reach the scan of a stored table
         points = time_range(points, first - timedelta(seconds=window_s), final)
-    windows = points.select("series_id", F.explode(times).alias("_at"), us.alias("_us"), "value")
+    sent = points.select("series_id", F.explode(blocks).alias("_block"), us.alias("_us"), "value")
+
+    def times(block: int) -> list[int]:
+        if grid is None:
+            return [block]
+        return [int(t) * 1_000_000 for t in range(max(block // 1_000_000, int(grid[0])), block // 1_000_000 + width, every_s) if t <= grid[1]]
 
     def train(table: pa.Table) -> pa.Table:
         order = np.argsort(table["_us"].to_numpy(), kind="stable")
-        vectors = feature_windows(table["value"].to_numpy()[order].astype(float), diff_n, smooth_n, lag_n)
-        found = [_fit(vectors, max_rounds, early_stop)] if len(vectors) >= 2 else []
+        at, values = table["_us"].to_numpy()[order], table["value"].to_numpy()[order].astype(float)
+        found = []
+        for t in times(table["_block"][0].as_py()):
+            window = slice(np.searchsorted(at, t - window_s * 1_000_000, "left"), np.searchsorted(at, t, "right"))
+            vectors = feature_windows(values[window], diff_n, smooth_n, lag_n)
+            if len(vectors) >= 2:
+                found.append((t, *_fit(vectors, max_rounds, early_stop)))
         return pa.table({
             "series_id": pa.array([table["series_id"][0].as_py()] * len(found), pa.string()),
-            "trained_at": pa.array([table["_at"][0].as_py()] * len(found), pa.int64()).cast(pa.timestamp("us", tz="UTC")),
-            "c0": pa.array([f[0].tolist() for f in found], pa.list_(pa.float64())),
-            "c1": pa.array([f[1].tolist() for f in found], pa.list_(pa.float64())),
-            "min_dist": pa.array([f[2] for f in found], pa.float64()),
-            "max_dist": pa.array([f[3] for f in found], pa.float64()),
+            "trained_at": pa.array([f[0] for f in found], pa.int64()).cast(pa.timestamp("us", tz="UTC")),
+            "c0": pa.array([f[1].tolist() for f in found], pa.list_(pa.float64())),
+            "c1": pa.array([f[2].tolist() for f in found], pa.list_(pa.float64())),
+            "min_dist": pa.array([f[3] for f in found], pa.float64()),
+            "max_dist": pa.array([f[4] for f in found], pa.float64()),
         })
 
-    return windows.groupBy("series_id", "_at").applyInArrow(train, MODEL_DDL)
+    return sent.groupBy("series_id", "_block").applyInArrow(train, MODEL_DDL)
 
 
 def newest_models(models: DataFrame, model_count: int = MODEL_COUNT) -> DataFrame:
