@@ -121,6 +121,16 @@ LABELLED = """
 20 0.0 0 0.0 0 0.0 0 0 1
 3 0.0 0 0.0 0 0.0 0 0 1
 28 0.0 50 0.0 2 1.0 0 0 1
+27 0.0 1 0.0 3 1.0 0 1 1
+150 0.0 1 0.0 2 1.0 0 1 1
+8 0.0 1 0.0 2 1.0 0 1 1
+60 0.0 2 0.0 30 1.0 0 1 1
+14 0.0 1 0.0 1 1.0 0 1 1
+27 0.0 1 0.0 3 1.0 0 0 1
+90 0.0 2 0.0 5 1.0 0 0 1
+150 0.0 1 0.0 2 1.0 0 0 1
+22 0.0 1 0.0 1 1.0 0 0 1
+40 0.0 2 1.0 6 1.0 0 0 1
 """
 
 
@@ -217,8 +227,18 @@ def blocks(page: str) -> list[tuple[str, float, int, bool]]:
                 out.append((text, min(1.0, linked / words), now.marked, now.named, now.within))
         now = fresh()
 
-    at, n = 0, len(page)
+    counts: dict[str, int] = {}  # of the open containers, by name
+    at, n, last = 0, len(page), page.rfind(">")
     while at < n:
+        if at > last and not page.startswith("<!--", at):
+            # no tag ends from here on, so what is left up to an open comment is text
+            stop = page.find("<!--", at)
+            token = page[at:] if stop < 0 else page[at:stop]
+            now.parts.append(token)
+            if links:
+                now.linked.append(token)
+            at += len(token)
+            continue
         m = TOKEN.match(page, at)
         at = m.end()
         name = m[2] or m[5]
@@ -246,11 +266,15 @@ def blocks(page: str) -> list[tuple[str, float, int, bool]]:
             links = max(0, links - 1) if ends else links + 1
         elif name in CONTAINERS:
             if ends:
-                places = [i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name]
-                if places:
-                    del open_[places[0] :]
+                if counts.get(name):
+                    while True:
+                        closed = open_.pop()[0]
+                        counts[closed] -= 1
+                        if closed == name:
+                            break
             elif not attributes.rstrip().endswith("/"):
                 first, second, weak = _kind(name, attributes)
+                counts[name] = counts.get(name, 0) + 1
                 _, aside, before, within, one, two, around = state
                 if name in MAIN and (weak or not first):
                     holding |= around

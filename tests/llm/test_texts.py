@@ -1,6 +1,7 @@
 """Contamination, licences, pages, packing."""
 
 import random
+import time
 import re
 import textwrap
 import zlib
@@ -245,3 +246,23 @@ def test_packing_of_nothing(spark):
 def test_words_of_the_contract():
     assert brute.normal_words("Été A_b-9!") == ["Été", "a", "b", "9"]
     assert decontamination.normal("Été A_b-9!") == " Été a b 9 " and re.findall(decontamination.WORD, b"a_b") == [b"a", b"b"]
+
+
+def test_no_text_of_its_own_is_lost():
+    """Blocks without links and marks stay, in an article whatever their size, elsewhere from 20 words on."""
+    for own in (8, 20, 27, 60, 150, 300):
+        for before in ((0, 0.0), (1, 0.0), (2, 0.0), (3, 0.0), (30, 0.0), (2, 1.0), (40, 1.0), (10, 0.5)):
+            for after in ((0, 0.0), (1, 0.0), (2, 0.0), (50, 0.0), (30, 0.5), (1, 1.0), (3, 1.0), (12, 1.0)):
+                for within in (0, 1):
+                    if own >= 20 or within:
+                        assert tree()((own, 0.0, *before, *after, 0, within)), (own, before, after, within)
+    words = " ".join(["word"] * 27)
+    page = f"<article><h1>Sources</h1><p>{words}</p><p><a href=x>Read this page</a></p><p>{words} end</p></article>"
+    assert main_blocks(page)[:2] == ["Sources", words] and main_blocks(page)[-1] == f"{words} end"
+
+
+@pytest.mark.parametrize("page", ['<a b="' * 170_000, "<a " * 340_000, "<div><span>" * 45_000 + "x" + "</span></div>" * 45_000, "<div>" * 200_000])
+def test_large_broken_pages_take_linear_time(page):
+    start = time.process_time()
+    main_blocks(page)
+    assert time.process_time() - start < 6
