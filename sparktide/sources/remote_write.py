@@ -156,5 +156,5 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def encode_remote_write(batches: DataFrame) -> DataFrame:
-    """Wire bodies of series batches (see ``sinks.batches.timeseries_batches``)."""
+    """Wire bodies of series batches (see ``sinks.matrix.timeseries_batches``)."""
     return batches.select("labels", "samples").mapInArrow(_encode, _ENCODED)

@@ -20,7 +20,7 @@ fx AS (SELECT *, """ + ", ".join(f"lag(m, {5 - i}) OVER w AS x{i}" for i in rang
 @query("feature_vectors", f"WITH {PT}, {_X} SELECT series_id, sec * 1000000 AS ts_us, "
        + ", ".join(f"round(x{i}, 6) AS x{i}" for i in range(6)) + " FROM fx WHERE x0 IS NOT NULL")
 def vectors(spark, sf):
-    out = M.feature_vectors(points(spark, sf))
+    out = M.feature_vectors(stored_tiers(spark, sf)["raw"])
     return out.select("series_id", micros("ts"), *[r6(F.col("x")[i], f"x{i}") for i in range(6)])
 
 

@@ -165,13 +165,13 @@ kept AS (SELECT series_id, max(n) AS n FROM ch GROUP BY series_id, n % 8)
 SELECT ch.series_id, sec * 1000000 AS ts_us, value FROM ch JOIN kept ON ch.series_id = kept.series_id AND ch.n = kept.n""")
 def ring(spark, sf):
     """Two days at one sample a second: chunks of six hours."""
-    return ring_retention(points(spark, sf), 2 * 86400).select("series_id", micros("ts"), "value")
+    return ring_retention(stored_tiers(spark, sf)["raw"], 2 * 86400).select("series_id", micros("ts"), "value")
 
 
 @query("retention", f"""WITH {PT} SELECT series_id, sec * 1000000 AS ts_us, value FROM (
   SELECT *, max(sec) OVER (PARTITION BY series_id) AS newest FROM pt) WHERE sec > newest - 604800""")
 def kept(spark, sf):
-    return retention(points(spark, sf), 7 * 86400).select("series_id", micros("ts"), "value")
+    return retention(stored_tiers(spark, sf)["raw"], 7 * 86400).select("series_id", micros("ts"), "value")
 
 
 _SIZES = f"""WITH {EV}, t AS (
