@@ -148,19 +148,32 @@ def _packed(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
-def late_windows(table: pa.Table, length: int) -> list[np.ndarray]:
-    """For each span the windows that are not the earliest of their content; of equal spans only the earliest is sorted."""
+def late_windows(table: pa.Table, length: int) -> tuple[np.ndarray, list[int], list[bytes]]:
+    """Spans with windows that are not the earliest of their content, or with more than one place: row, windows, packed truth values.
+
+    Of equal spans only the earliest is sorted; all windows of the others are later.
+    """
     which = table.column("text").combine_chunks().dictionary_encode().indices.to_numpy()
     order = np.lexsort((*(table.column(c).to_numpy() for c in ("at", "tie", "id")), which))
     first = order[np.append(True, np.diff(which[order]) > 0)[: len(order)]]
-    late = earliest(table.take(pa.array(first)), length)
+    late, begin, windows = earliest(table.take(pa.array(first)), length)
     leads = np.zeros(len(which), bool)
     leads[first] = True
-    return [late[w] if lead else np.ones(len(late[w]), bool) for w, lead in zip(which.tolist(), leads.tolist(), strict=True)]
-
-
-def earliest(table: pa.Table, length: int) -> list[np.ndarray]:
-    """For each of several different spans the windows that are not the earliest of their content, as truth values."""
+    sums = np.concatenate([[0], np.cumsum(late)])
+    some = sums[begin + windows] > sums[begin]
+    several = pa.compute.binary_length(table.column("others")).to_numpy() > 16
+    rows = np.flatnonzero(~leads | some[which] | several)
+    all_late = {n: np.packbits(np.ones(n, bool)).tobytes() for n in np.unique(windows).tolist()}
+    sizes = windows[which[rows]].tolist()
+    masks = [
+        np.packbits(late[b : b + n]).tobytes() if lead else all_late[n]
+        for b, n, lead in zip(begin[which[rows]].tolist(), sizes, leads[rows].tolist(), strict=True)
+    ]
+    return rows, sizes, masks
+
+
+def earliest(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of different spans the windows that are not the earliest of their content: truth values of all bytes, where each span begins, its windows."""
     texts = table.column("text").to_pylist()
     sizes = np.array([len(t) for t in texts])
     # bytes of UTF-8 stay below 255, so 0 is free for the ends
@@ -182,7 +195,7 @@ def earliest(table: pa.Table, length: int) -> list[np.ndarray]:
     again = np.zeros(len(at), bool)
     again[1:] = run[order[1:]] == run[order[:-1]]
     late[at[order[again]]] = True
-    return [late[b : b + n - length + 1] for b, n in zip(begin, sizes, strict=True)]
+    return late, begin, sizes - length + 1
 
 
 def repeated_bytes(docs: DataFrame, length: int = 100, id: str = "doc_id", text: str = "text", total_bytes: int | None = None, hot_spans: int = HOT_SPANS) -> DataFrame:
@@ -243,20 +256,19 @@ def repeated_bytes(docs: DataFrame, length: int = 100, id: str = "doc_id", text:
         keys = table.column("key").to_numpy()
         ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys))
         held = np.cumsum(pa.compute.binary_length(table.column("text")).to_numpy())
-        out: list[tuple] = []
+        out: list[pa.Table] = []
         start = 0
         while start < len(keys):
             below = held[start - 1] if start else 0
             fit = ends[(ends > start) & (held[ends - 1] <= below + ARRAY_BYTES)]
             stop = int(fit[-1]) if len(fit) else int(ends[np.searchsorted(ends, start, "right")])
             part = table.slice(start, stop - start).combine_chunks()
-            for who, others, late in zip(part.column("_batch").to_pylist(), part.column("others").to_pylist(), late_windows(part, length), strict=True):
-                if late.any() or len(others) > 16:
-                    out.append((who, len(late), others, _packed(np.packbits(late))))
+            found, sizes, masks = late_windows(part, length)
+            told = part.select(["_batch", "others"]).take(pa.array(found))
+            out.append(pa.table([told.column("_batch"), pa.array(sizes, pa.int32()), told.column("others"), pa.array(masks, pa.binary())], names=["_batch", "windows", "places", "mask"]))
             start = stop
         give_back()
-        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(types)], names=["_batch", "windows", "places", "mask"])
+        return pa.concat_tables(out)
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         names = [id, "n_bytes", "n_removed", "removed", "kept"]

@@ -77,21 +77,29 @@ class Buckets:
         return array
 
 
+def _words(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, the first one lowest."""
+    return np.ndarray((len(text),), "<u8", buffer=np.concatenate([text, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+
+
 def _names(text: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
     """A number for each LMS substring, in the order of `order`; equal substrings have equal numbers."""
+    # the first byte of the next LMS substring belongs to this one
     length = np.empty(len(text), np.int32)
-    length[lms] = np.diff(lms, append=len(text))
-    a, b = order[:-1], order[1:]
-    equal = length[a] == length[b]
-    active = np.flatnonzero(equal)
-    step, last = 0, len(text) - 1
+    length[lms] = np.diff(lms, append=len(text)) + 1
+    words = _words(text)
+    start, left = order, length[order]
+    equal = left[1:] == left[:-1]
+    active, step = np.flatnonzero(equal), 0
+    first = words[order]
+    differ = first[active] ^ first[active + 1]
     while len(active):
-        # the first byte of the next LMS substring belongs to this one
-        differ = text[np.minimum(a[active] + step, last)] != text[np.minimum(b[active] + step, last)]
-        equal[active[differ]] = False
-        step += 1
-        active = active[~differ]
-        active = active[length[a[active]] >= step]
+        spare = np.maximum(0, 8 - (left[active] - step)).astype(np.uint64) * np.uint64(8)
+        same = (differ << spare) == 0
+        equal[active[~same]] = False
+        step += 8
+        active = active[same & (left[active] > step)]
+        differ = words[np.minimum(start[active] + step, len(text) - 1)] ^ words[np.minimum(start[active + 1] + step, len(text) - 1)]
     name = np.zeros(len(order), np.int64)
     name[1:] = np.cumsum(~equal)
     out = np.empty(len(text), np.int64)
@@ -170,7 +178,7 @@ def common_prefixes(text: np.ndarray, array: np.ndarray, room: np.ndarray) -> np
     before = np.empty(n, np.int64)
     before[array[1:]] = array[:-1]
     before[array[0]] = n - 1
-    words = np.ndarray((n,), "<u8", buffer=np.concatenate([text, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    words = _words(text)
     starts = np.ones(n, bool)
     starts[1:] = before[1:] != before[:-1] + 1
     starts[array[0]] = False  # no suffix stands before the first
