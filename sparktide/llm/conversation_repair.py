@@ -322,7 +322,7 @@ def _as_batch(rows: list[dict], conv: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["conv_id", *(n for n, _, _ in SEGMENT_FIELDS)])
 
 
-def cut_segments(batches: Iterator[pa.RecordBatch], most_rows: int, most_chars: int) -> Iterator[pa.RecordBatch]:
+def cut_segments(batches: Iterator[pa.RecordBatch], most_rows: int, most_chars: int, with_turns: bool = True) -> Iterator[pa.RecordBatch]:
     """Segments of sorted rows; the first and the last conversation of a task, and long ones, are left open."""
     number = TaskContext.get().partitionId() << 33
     none = object()
@@ -334,6 +334,8 @@ def cut_segments(batches: Iterator[pa.RecordBatch], most_rows: int, most_chars:
         nonlocal segment, made, number, held
         made += 1
         row = segment.whole() if final and inside and made == 1 else segment.part()
+        if not row["open"] and not with_turns:
+            row["turns"] = None
         out.append({"conv_id": conv, "segment": number, **row})
         held += segment.chars + 4 * len(segment.rows)
         number, segment = number + 1, Segment()
@@ -442,7 +444,7 @@ def damaged(conversations: DataFrame) -> DataFrame:
     )
 
 
-def repair(conversations: DataFrame, segment_rows: int = SEGMENT_ROWS, segment_chars: int = SEGMENT_CHARS) -> tuple[DataFrame, DataFrame]:
+def repair(conversations: DataFrame, segment_rows: int = SEGMENT_ROWS, segment_chars: int = SEGMENT_CHARS, with_turns: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """Audits, one row a conversation, and the repaired turns as rows.
 
     Input: conv_id, turn, role, text and copies (how often the row occurs; 0 keeps the conversation without the row);
@@ -458,7 +460,7 @@ def repair(conversations: DataFrame, segment_rows: int = SEGMENT_ROWS, segment_c
     or not and alternate from user to assistant, or there are none.  A role whose first letter is none of s, u and a, or
     that is empty, can only be changed or deleted.  A conversation without rows has zeros and empty texts.
 
-    Turns: conv_id, place (from 0), role, text.  No rows give none.  The hash of a long conversation is taken segment by
+    Turns: conv_id, place (from 0), role, text; without `with_turns` they are not kept, and None.  No rows give none.  The hash of a long conversation is taken segment by
     segment in one task, since SHA-256 has no other way; nothing else of a conversation passes through one task but the
     summaries of its segments.
     """
@@ -476,7 +478,7 @@ def repair(conversations: DataFrame, segment_rows: int = SEGMENT_ROWS, segment_c
     dealt = counted.unionByName(firsts).repartitionByRange(*order).sortWithinPartitions(*order, F.col("copies").asc_nulls_first())
     conv = conversations.schema["conv_id"]
     kinds = T.StructType([conv, *T.StructType.fromDDL(SEGMENTS).fields])
-    segments = stored(dealt.mapInArrow(partial(cut_segments, most_rows=segment_rows, most_chars=segment_chars), kinds), "conversation-segments")
+    segments = stored(dealt.mapInArrow(partial(cut_segments, most_rows=segment_rows, most_chars=segment_chars, with_turns=with_turns), kinds), "conversation-segments")
 
     whole, parts = segments.where("NOT open"), segments.where("open")
     kinds = T.StructType([conv, *T.StructType.fromDDL(", ".join(f"{n} {k}" for n, _, k in SOLVED)).fields])
@@ -490,6 +492,8 @@ def repair(conversations: DataFrame, segment_rows: int = SEGMENT_ROWS, segment_c
     one = whole.withColumn("gaps", gaps).select("conv_id", *numbers, "audit", F.col("digest").alias("repaired_sha256"))
     totals = solved.where("first").select(F.col("conv_id").alias("_conv"), *numbers, "audit")
     many = totals.join(hashed, F.col("_conv").eqNullSafe(F.col("conv_id"))).select("conv_id", *numbers, "audit", F.col("digest").alias("repaired_sha256"))
+    if not with_turns:
+        return one.unionByName(many), None
     turns = whole.select("conv_id", F.lit(0).cast("long").alias("place"), "turns").unionByName(made.select("conv_id", "place", "turns"))
     turns = turns.select("conv_id", "place", F.posexplode("turns").alias("at", "turn")).select("conv_id", (F.col("place") + F.col("at")).alias("place"), "turn.role", "turn.text")
     return one.unionByName(many), turns

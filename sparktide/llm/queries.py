@@ -168,7 +168,7 @@ FROM words d LEFT JOIN classes USING (w) JOIN lowest l ON l.doc_id = d.doc_id
 
 
 def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
-    return repair(damaged(table(spark, sf, "conversations")))[0]
+    return repair(damaged(table(spark, sf, "conversations")), with_turns=False)[0]
 
 
 def _state(c: str, a: str, r: str, when: str) -> str:

@@ -149,6 +149,8 @@ def test_one_long_conversation(spark):
     rows = [(1, t, rnd.choice(["user", "assistant", "tool"]), f"{rnd.randint(0, 900)}{rnd.choice('.,')}", 1, "") for t in range(1500)]
     whole = repair(spark.createDataFrame(rows, KIND).coalesce(1))[0].collect()
     cut = repair(spark.createDataFrame(rows, KIND), segment_rows=50)[0].collect()
+    lone, none = repair(spark.createDataFrame(rows, KIND).union(spark.createDataFrame([(0, 0, "user", "Hi.", 1, ""), (2, 0, "user", "Hi.", 1, "")], KIND)).coalesce(1), with_turns=False)
+    assert none is None and sorted((r.conv_id, r.audit[:2]) for r in lone.where("conv_id <> 1").collect()) == [(0, "KI"), (2, "KI")]
     assert whole == cut and whole[0].audit.count("D") < 1500
 
 
