@@ -62,4 +62,4 @@ def of_series(points: DataFrame, found: DataFrame) -> DataFrame:
     ids = [r["series_id"] for r in found.select("series_id").limit(MAX_LISTED + 1).collect()]
     if len(ids) <= MAX_LISTED:
         return points.where(F.col("series_id").isin(ids) if ids else F.lit(False))
-    return points.join(found.select("series_id"), "series_id", "left_semi")
+    return points.join(found.select("series_id"), "series_id", "left_semi").select(*points.columns)
