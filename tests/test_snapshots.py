@@ -1,6 +1,7 @@
 """Calls that are snapshots: repeated and failed calls, streams into tiers, the series index, compaction."""
 
 import random
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +85,18 @@ def test_two_writers_do_not_lose_rows(spark, tmp_path):
     assert store.latest().calls == {"a": 1, "b": 1}
 
 
+def test_days_are_pruned_by_a_snapshot(spark, tmp_path):
+    s = two_days(spark)
+    before = append_tiers(s, str(tmp_path))
+    store = Snapshots(spark, str(tmp_path))
+    hours = before["hour"].count()
+    store.prune({"minute": date(2024, 1, 2)})
+    after = read_tiers(spark, str(tmp_path))
+    assert {str(r.ts_day) for r in after["minute"].select("ts_day").collect()} == {"2024-01-02"} and after["hour"].count() == hours
+    assert before["minute"].count() > after["minute"].count()  # a reader keeps its snapshot
+    assert store.vacuum(1) == 1 and read_tiers(spark, str(tmp_path))["raw"].count() == store_points(s).count()
+
+
 def test_empty_calls(spark, tmp_path):
     s = two_days(spark, 50)
     none = append_tiers(s.limit(0), str(tmp_path))
