@@ -96,16 +96,15 @@ def format_bound(text: Column) -> Column:
 SIZE_UNITS = "KMGTPE"
 
 
-def human_bytes(n: Column, *, decimals: int = 2) -> Column:
+def human_bytes(n: Column, *, decimals: int = 2, largest: str | None = None) -> Column:
     """Bytes as text.
 
     Two decimals: ``512B``, ``1.50KiB`` up to EiB.  One decimal (the dashboard
-    form): ``512.0B``, ``1.5KiB`` up to GiB.
+    form): ``512.0B``, ``1.5KiB`` up to GiB.  ``largest`` names the letter of
+    another last unit.
     """
     compact = decimals == 1
-    names = [""] + list(SIZE_UNITS)
-    if compact:
-        names = names[:4]
+    names = [""] + list(SIZE_UNITS[: SIZE_UNITS.index(largest or ("G" if compact else "E")) + 1])
     out = None
     for power, letter in enumerate(names):
         scaled = n / F.lit(float(1024 ** power))

@@ -98,6 +98,12 @@ def test_bounds_and_sizes(spark):
                          1898.0 * 1024 ** 3, 512.0, None]
 
 
+def test_sizes_up_to_a_named_unit(spark):
+    row = one(spark, N.human_bytes(F.lit(3.0 * 1024 ** 4), largest="G"), N.human_bytes(F.lit(1536.0), largest="G"),
+              N.human_bytes(F.lit(3.0 * 1024 ** 4), decimals=1, largest="T"), N.human_bytes(F.lit(1.5 * 1024 ** 6)))
+    assert list(row) == ["3072.00GiB", "1.50KiB", "3.0TiB", "1.50EiB"]
+
+
 @pytest.mark.parametrize("text,seconds", [
     ("15s", 15), ("2h", 7200), ("7d", 604800), ("1y", 31536000), ("1h30m", 5400), ("1.5h", 5400), ("250ms", 0.25), ("0", 0),
     ("-5s", -5),

@@ -40,3 +40,13 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_human_bytes_beyond_a_tebibyte(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT event_id + 10000000 AS event_id, user_id + 100000 AS user_id FROM '{SF}/events.parquet'")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    df = queries()["human_bytes"](spark, str(tmp_path))
+    cur = con.execute(oracle_sql()["human_bytes"])
+    want = rows_of([d[0] for d in cur.description], cur.fetchall())
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == want
