@@ -19,10 +19,12 @@ def counter_rate(points: DataFrame, slice_s: int = SLICE_SECONDS) -> DataFrame:
     """Per-second rate between consecutive points of each series.
 
     A step with no elapsed time or a falling counter gives no row; the next
-    step starts from the point after the reset.
+    step starts from the point after the reset.  Points of one time are taken
+    in ``seq`` order, if there is one, and those of one arrival by value.
     """
-    rows = with_rows_before(points, ["series_id"], ["ts"], ["value"], 1, slice_s)
-    w = slice_window(["series_id"], ["ts"])
+    order = ["ts", *(["seq"] if "seq" in points.columns else []), "value"]
+    rows = with_rows_before(points, ["series_id"], order, ["value"], 1, slice_s)
+    w = slice_window(["series_id"], order)
     gone = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) / 1e6
     rise = F.col("value") - F.lag("value").over(w)
     return (

@@ -22,6 +22,14 @@ def test_rate_with_reset(spark):
     assert [(rel(r.ts), r.rate) for r in D.counter_rate(s).orderBy("ts").collect()] == [(10, 5), (30, 2)]
 
 
+@pytest.mark.parametrize("slice_s", [5, 10_000])
+@pytest.mark.parametrize("turn", [1, -1])
+def test_points_of_one_time_in_arrival_order(spark, slice_s, turn):
+    rows = [("c", {}, 0, 1, 0), ("c", {}, 10, 5, 1), ("c", {}, 10, 8, 2), ("c", {}, 20, 10, 3), ("c", {}, 20, 12, 4)]
+    s = samples(spark, rows[::turn]).coalesce(1)
+    assert sorted((rel(r.ts), r.rate) for r in D.counter_rate(s, slice_s).collect()) == [(10, 0.4), (20, 0.2)]
+
+
 @pytest.mark.parametrize("slice_s", [1, 7, 60, 10_000])
 def test_rate_across_slices(spark, slice_s):
     rng = random.Random(slice_s)
