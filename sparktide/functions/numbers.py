@@ -77,8 +77,17 @@ def format_float(value: Column) -> Column:
     sign = F.when(java.startswith("-"), F.lit("-")).otherwise(F.lit(""))
     # most values are printed right already, but for a trailing ".0"
     easy = (F.abs(value) >= 1e-3) & (F.abs(value) < 1e6) & (F.length(java) < 17)
+    # whole numbers below 2^53 have their own digits as the shortest text
+    count = F.abs(value).cast("long")
+    whole = (F.abs(value) >= 1e6) & (F.abs(value) < 1e15) & (F.abs(value) == count)
+    figures = F.rtrim(count.cast("string"), F.lit("0"))
+    large = F.concat(
+        sign, F.left(figures, F.lit(1)), F.when(F.length(figures) > 1, F.lit(".")).otherwise(F.lit("")), F.substring(figures, F.lit(2), F.length(figures)),
+        F.lit("e+"), F.lpad((F.length(count.cast("string")) - 1).cast("string"), 2, "0"),
+    )
     return (
         F.when(easy, F.when(java.endswith(".0"), F.substring_index(java, ".", 1)).otherwise(java))
+        .when(whole, large)
         .when(F.isnan(value), F.lit("NaN"))
         .when(value == float("inf"), F.lit("+Inf"))
         .when(value == float("-inf"), F.lit("-Inf"))

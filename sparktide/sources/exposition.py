@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sparktide.functions.binding import let
 from sparktide.functions.labels import empty_labels, merge_labels, with_label
-from sparktide.functions.numbers import format_bound
+from sparktide.functions.numbers import format_float
 
 # The exposition format.
 NAME = r"[a-zA-Z_:][a-zA-Z0-9_:]*"
@@ -51,32 +51,46 @@ def _about(lines: Column) -> Column:
 #: Widths of a binary search, as many as an array can need.
 _STEPS = [1 << k for k in range(30, -1, -1)]
 
+#: So many families are looked up in a map, which goes through its keys; that takes less time than a search by halves.
+_FEW = 64
 
-def _with_search(rows: Column, then: Callable[[Callable[[Column], Column]], Column]) -> Column:
+
+def _with_search(rows: Column, then: Callable[[Callable[[Column], Column]], Column], *, unique: bool = False) -> Column:
     """``then(find)``, where ``find`` gives the last of the sorted rows that have a name, null without any.
 
-    A binary search, so its cost hardly grows with the rows.  All it needs is
-    bound once a body: a plain column would be put in place of its name by the
-    optimizer, and worked out again for every line.
+    A binary search, so its cost hardly grows with the rows.  With ``unique``
+    names a few rows are a map; if a name is there twice nothing is found.  All
+    it needs is bound once a body: a plain column would be put in place of its
+    name by the optimizer, and worked out again for every line.
     """
-    def search(ordered: Column, names: Column, steps: Column) -> Callable[[Column], Column]:
+    def search(ordered: Column, p: Column) -> Callable[[Column], Column]:
+        names, steps = p["names"], p["steps"]
+
         def find(name: Column) -> Column:
             def forward(at: Column, step: Column) -> Column:
                 return F.when((at + step <= F.size(names)) & (F.get(names, at + step - 1) <= name), at + step).otherwise(at)
 
-            return let(F.get(ordered, F.aggregate(steps, F.lit(0), forward) - 1), lambda f: F.when(f["name"] == name, f))
+            found = let(F.get(ordered, F.aggregate(steps, F.lit(0), forward) - 1), lambda f: F.when(f["name"] == name, f))
+            return F.when(steps.isNull(), F.try_element_at(p["map"], name)).otherwise(found) if unique else found
 
         return find
 
-    def steps(names: Column) -> Column:
-        return F.filter(F.array(*[F.lit(n) for n in _STEPS]), lambda n: n <= F.size(names))
+    def parts(ordered: Column) -> Column:
+        names = ordered["name"]
+        steps = F.filter(F.array(*[F.lit(n) for n in _STEPS]), lambda n: n <= F.size(names))
+        if not unique:
+            return F.struct(names.alias("names"), steps.alias("steps"))
+        few = F.size(names) <= _FEW
+        table = F.when(few & ~_repeats(names), F.map_from_arrays(names, ordered))
+        return F.struct(names.alias("names"), F.when(~few, steps).alias("steps"), table.alias("map"))
 
-    return let(F.sort_array(rows), lambda f: let(F.transform(f, lambda x: x["name"]), lambda n: let(steps(n), lambda s: then(search(f, n, s)))))
+    return let(F.sort_array(rows), lambda f: let(parts(f), lambda p: then(search(f, p))))
 
 
 def _with_families(typed: Column, then: Callable[[Callable[[Column], Column]], Column]) -> Column:
-    """``then(family)``, where ``family`` gives the type line of a name."""
-    return _with_search(F.transform(typed, lambda t: F.struct(F.coalesce(t["name"], F.lit("")).alias("name"), t["type"].alias("type"), t["at"].alias("at"))), then)
+    """``then(family)``, where ``family`` gives the type line of a name; a body with two for one name is not taken anyway."""
+    rows = F.transform(typed, lambda t: F.struct(F.coalesce(t["name"], F.lit("")).alias("name"), t["type"].alias("type"), t["at"].alias("at")))
+    return _with_search(rows, then, unique=True)
 
 
 def _label_keys(pairs: Column) -> Column:
@@ -142,7 +156,7 @@ def checked_bodies(bodies: DataFrame) -> DataFrame:
         return let(_cut_line(x["text"]), lambda c: let(family(c["name"]), lambda own: told(c, own)))
 
     def of_kind(about: Column, kind: str) -> Column:
-        return F.transform(F.filter(about, lambda x: x["kind"] == kind), lambda x: x["name"])
+        return F.filter(about, lambda x: x["kind"] == kind)["name"]
 
     def judged(typed: Column, about: Column, samples: Column) -> Column:
         ok = (
@@ -183,30 +197,39 @@ def _missing(samples: Column) -> Column:
         cut = F.when(s["part"] == "bucket", F.lit(_ENDS["bucket"])).when(s["part"] == "count", F.lit(_ENDS["count"])).when(s["part"] == "sum", F.lit(_ENDS["sum"])).otherwise(F.lit(0))
         pairs = F.when(F.size(line["keys"]) > 0, F.zip_with(line["keys"], _label_values(line["pairs"]), lambda k, v: F.struct(k.alias("k"), v.alias("v"))))
         own = F.sort_array(F.filter(F.coalesce(pairs, F.array().cast("array<struct<k:string,v:string>>")), lambda p: ~p["k"].isin("le", "quantile")))
-        text = F.concat(F.lit("{"), F.concat_ws(",", F.transform(own, lambda p: F.concat(p["k"], F.lit('="'), p["v"], F.lit('"')))), F.lit("}"))
+        some = F.concat(F.lit("{"), F.concat_ws(",", F.transform(own, lambda p: F.concat(p["k"], F.lit('="'), p["v"], F.lit('"')))), F.lit("}"))
+        # most have no label but the one that tells components apart
+        bare = (F.size(line["keys"]) == 0) | ((F.size(line["keys"]) == 1) & F.get(line["keys"], F.lit(0)).isin("le", "quantile"))
+        text = F.when(bare, F.lit("{}")).otherwise(some)
         return F.struct(
             F.concat(F.left(line["name"], F.length(line["name"]) - cut), F.lit(_CUT), text).alias("name"), line["stamp"].alias("stamp"), s["part"].alias("part"),
         )
 
-    def lines(found: Column, last: Callable[[Column], Column]) -> Column:
-        def lacking(part: str) -> Column:
-            have = F.transform(F.filter(found, lambda c: c["part"] == part), lambda c: c["name"])
-            gone = F.array_except(F.array_distinct(F.transform(found, lambda c: c["name"])), have)
+    def zeros(keys: Column, part: str, last: Callable[[Column], Column]) -> Column:
+        def zero(key: Column) -> Column:
+            text = F.substring_index(key, _CUT, -1)
+            line = F.struct(
+                F.concat(F.substring_index(key, _CUT, 1), F.lit(f"_{part}")).alias("name"), text.alias("pairs"), _label_keys(text).alias("keys"),
+                F.lit("0").alias("value"), last(key)["stamp"].alias("stamp"),
+            )
+            return F.struct(line.alias("line"), F.lit(part).alias("part"), F.lit(False).alias("early"))
+
+        return F.transform(keys, zero)
 
-            def zero(key: Column) -> Column:
-                text = F.substring_index(key, _CUT, -1)
-                line = F.struct(
-                    F.concat(F.substring_index(key, _CUT, 1), F.lit(f"_{part}")).alias("name"), text.alias("pairs"), _label_keys(text).alias("keys"),
-                    F.lit("0").alias("value"), last(key)["stamp"].alias("stamp"),
-                )
-                return F.struct(line.alias("line"), F.lit(part).alias("part"), F.lit(False).alias("early"))
+    def lacking(found: Column) -> Column:
+        def gone(part: str) -> Column:
+            return F.array_except(F.array_distinct(found["name"]), F.filter(found, lambda c: c["part"] == part)["name"])
 
-            return F.transform(gone, zero)
+        return F.struct(gone("sum").alias("sum"), gone("count").alias("count"))
 
-        return F.concat(lacking("sum"), lacking("count"))
+    def lines(found: Column, gone: Column) -> Column:
+        stamps = F.transform(found, lambda c: F.struct(c["name"].alias("name"), c["stamp"].alias("stamp")))
+        some = _with_search(stamps, lambda last: F.concat(zeros(gone["sum"], "sum", last), zeros(gone["count"], "count", last)))
+        # most bodies lack none and need no search
+        return F.when(F.size(gone["sum"]) + F.size(gone["count"]) > 0, some).otherwise(F.slice(samples, 1, 0))
 
     components = F.transform(F.filter(samples, lambda s: s["part"] != "plain"), component)
-    return let(components, lambda found: _with_search(F.transform(found, lambda c: F.struct(c["name"].alias("name"), c["stamp"].alias("stamp"))), lambda last: lines(found, last)))
+    return let(components, lambda found: let(lacking(found), lambda gone: lines(found, gone)))
 
 
 def _unescape(text: Column) -> Column:
@@ -232,13 +255,17 @@ def flatten_families(lines: DataFrame) -> DataFrame:
     ``name``, ``labels``, ``value`` and ``part`` (bucket, count, quantile or plain).
     """
     part = F.col("part")
+    told = F.when(part == "bucket", F.try_element_at("labels", F.lit("le"))).when(part == "quantile", F.try_element_at("labels", F.lit("quantile")))
 
-    def bound(key: str) -> Column:
-        return with_label(F.col("labels"), key, format_bound(F.try_element_at("labels", F.lit(key))))
+    def bound(text: Column) -> Column:
+        # a text is read once; reading "+Inf" costs the JVM an exception
+        return F.when(text == "+Inf", text).otherwise(let(text.try_cast("double"), format_float))
 
-    return lines.withColumn(
-        "labels", F.when(part == "bucket", bound("le")).when(part == "quantile", bound("quantile")).otherwise(F.col("labels"))
-    ).withColumn("value", F.when(part.isin("bucket", "count"), F.floor("value").cast("double")).otherwise(F.col("value")))
+    return lines.withColumn("_told", told).withColumn("_told", bound(F.col("_told"))).withColumn(
+        "labels",
+        F.when(part == "bucket", with_label(F.col("labels"), "le", F.col("_told")))
+        .when(part == "quantile", with_label(F.col("labels"), "quantile", F.col("_told"))).otherwise(F.col("labels")),
+    ).withColumn("value", F.when(part.isin("bucket", "count"), F.floor("value").cast("double")).otherwise(F.col("value"))).drop("_told")
 
 
 def parse_exposition(bodies: DataFrame) -> DataFrame:
@@ -264,5 +291,7 @@ def parse_exposition(bodies: DataFrame) -> DataFrame:
         F.when(F.col("part") == "quantile", F.array_contains("keys", "quantile"))
         .when(F.col("part") == "bucket", F.array_contains("keys", "le")).otherwise(F.col("part") != "bare").alias("usable"),
     ).where("usable")
-    merged = parsed.withColumn("labels", merge_labels(F.col("target_labels"), F.col("own")))
+    merged = parsed.withColumn(
+        "labels", F.when(F.size("own") == 0, F.col("target_labels")).otherwise(merge_labels(F.col("target_labels"), F.col("own")))
+    )
     return flatten_families(merged).select("target", "name", "labels", "ts", "value", "interval_s")

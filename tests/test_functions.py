@@ -98,6 +98,13 @@ def test_bounds_and_sizes(spark):
                          1898.0 * 1024 ** 3, 512.0, None]
 
 
+def test_format_float_of_large_whole_numbers(spark):
+    values = [1e6, -1e6, 1234567.0, 1e15 - 1, 1e15, 2.0 ** 53, 12e9, 1000001.5, -123456789012345.0]
+    row = one(spark, *[N.format_float(F.lit(v)) for v in values])
+    assert list(row) == ["1e+06", "-1e+06", "1.234567e+06", "9.99999999999999e+14", "1e+15", "9.007199254740992e+15", "1.2e+10", "1.0000015e+06",
+                         "-1.23456789012345e+14"]
+
+
 def test_sizes_up_to_a_named_unit(spark):
     row = one(spark, N.human_bytes(F.lit(3.0 * 1024 ** 4), largest="G"), N.human_bytes(F.lit(1536.0), largest="G"),
               N.human_bytes(F.lit(3.0 * 1024 ** 4), decimals=1, largest="T"), N.human_bytes(F.lit(1.5 * 1024 ** 6)))

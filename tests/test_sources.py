@@ -60,6 +60,18 @@ def test_missing_sums_and_counts_are_zero(spark):
     assert len(rows) == 11 and all("le" not in r.labels and r.labels["job"] == "j" for r in rows if r.value == 0)
 
 
+@pytest.mark.parametrize("families", [1, 64, 65, 200])
+def test_few_and_many_families(spark, families):
+    text = "".join(family(f"f{i}", "histogram", ("_bucket", {"le": "2000000"}, i), ("_bucket", {"le": "+Inf"}, i)) for i in range(families))
+    twice = text + "# TYPE f0 counter\n"
+    rows = X.parse_exposition(bodies(spark, text, twice)).collect()
+    assert {r.target for r in rows} == {"0"}
+    found = {(r.name, r.labels.get("le")): r.value for r in rows}
+    assert len(rows) == len(found) == 4 * families
+    for i in range(families):
+        assert found[(f"f{i}_bucket", "2e+06")] == found[(f"f{i}_bucket", "+Inf")] == i and found[(f"f{i}_sum", None)] == found[(f"f{i}_count", None)] == 0
+
+
 def test_lines(spark):
     text = (
         'a{x="q\\"b\\\\c\\nd",job="own",} 1e3 1700000000123\n'
