@@ -31,6 +31,9 @@ RANKING_WINDOW_S = 600
 #: Windows whose training times share a group.
 BLOCK_WINDOWS = 4
 
+#: Vectors whose distances are taken at once, so that the fit holds one copy of a window's vectors.
+FIT_VECTORS = 65_536
+
 MODEL_DDL = (
     "series_id string, trained_at timestamp, c0 array<double>, c1 array<double>, min_dist double, max_dist double"
 )
@@ -143,13 +146,16 @@ def _fit(vectors: np.ndarray, max_rounds: int, early_stop: bool):
     dims = np.ascontiguousarray(vectors.T, dtype=float)
 
     def reach(centre: np.ndarray) -> np.ndarray:
-        gap = dims - centre[:, None]
-        return np.sqrt(np.multiply(gap, gap, out=gap).sum(axis=0))
+        out = np.empty(dims.shape[1])
+        for at in range(0, len(out), FIT_VECTORS):
+            gap = dims[:, at : at + FIT_VECTORS] - centre[:, None]
+            out[at : at + FIT_VECTORS] = np.sqrt(np.multiply(gap, gap, out=gap).sum(axis=0))
+        return out
 
     centres = [dims[:, 0].copy(), None]
     centres[1] = dims[:, int(np.argmax(reach(centres[0])))].copy()
     sides = None
-    scale = float(np.abs(dims).max(initial=0.0))
+    scale = float(max(dims.max(initial=0.0), -dims.min(initial=0.0)))
     for _ in range(max_rounds):
         far = _nearer_second(dims, centres, scale)
         if early_stop and sides is not None and np.array_equal(far, sides):

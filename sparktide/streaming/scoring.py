@@ -14,7 +14,7 @@ from sparktide.operators.anomaly import (
     DIFF_N, LAG_N, MODEL_COUNT, RETRAIN_INTERVAL_S, SCORE_THRESHOLD, SMOOTH_N, TRAINING_WINDOW_S, check_settings,
     feature_windows, train_models, values_needed,
 )
-from sparktide.streaming.state import InOrder, stretch, with_state
+from sparktide.streaming.state import InOrder, stream_workers, stretch, with_state
 
 _MODEL = ["trained_us", "c0", "c1", "min_dist", "max_dist"]
 _MODEL_DDL = "trained_us long, c0 array<double>, c1 array<double>, min_dist double, max_dist double"
@@ -140,5 +140,9 @@ def stream_score(
 
 
 def retrain(points: DataFrame, models_path: str, now: datetime, *, window_s: int = TRAINING_WINDOW_S, **settings) -> None:
-    """One scheduled training of every series at ``now``, appended to the model table."""
-    train_models(points, train_at=[now], window_s=window_s, **settings).write.mode("append").parquet(models_path)
+    """One scheduled training of every series at ``now``, appended to the model table.
+
+    It runs on the Python workers of the streams that it feeds.
+    """
+    with stream_workers(points.sparkSession):
+        train_models(points, train_at=[now], window_s=window_s, **settings).write.mode("append").parquet(models_path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import pandas as pd
@@ -27,6 +28,23 @@ def use_rocksdb(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
 
+@contextmanager
+def stream_workers(spark: SparkSession):
+    """Let batch queries that run meanwhile use the Python workers of the streams.
+
+    Spark keeps one set of workers for each setting they start with, and a set
+    stays for a minute when idle.  Batch queries shorten tracebacks by default,
+    keyed state does not, so an executor would hold two workers for each core.
+    """
+    name = "spark.sql.execution.pyspark.udf.simplifiedTraceback.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stretch(samples: DataFrame) -> int:
     """Width of a stretch of ``seq`` that a task holds at once: arrivals, or six hours where ``seq`` is the time."""
     return MICROS_PER_SLICE if samples.schema["seq"].metadata.get("from_time") else ARRIVALS_PER_STRETCH
@@ -79,16 +97,18 @@ class InOrder(StatefulProcessor):
         return rows.sort_values(self.order, kind="stable", ignore_index=True)
 
     def _stretches(self, chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, rows in enumerate(chunks):
+        parts: dict[int, int] = {}  # a count for each stretch is all that grows with the micro-batch
+        for rows in chunks:
             rows = self.control(rows)
-            for stretch_number, own in rows.groupby(rows[self.order[0]] // self.width):
-                self._waiting.updateValue((int(stretch_number), part), (_written(own),))
-        places: dict[int, list[int]] = {}
-        for number, part in self._waiting.keys():
-            places.setdefault(int(number), []).append(int(part))
-        for number in sorted(places):
-            own = [_read(bytes(self._waiting.getValue((number, part))[0])) for part in sorted(places[number])]
-            for part in places[number]:
+            for number, own in rows.groupby(rows[self.order[0]] // self.width):
+                number = int(number)
+                part = parts.get(number, 0)
+                self._waiting.updateValue((number, part), (_written(own),))
+                parts[number] = part + 1
+        for number in sorted(parts):
+            own = []
+            for part in range(parts[number]):
+                own.append(_read(bytes(self._waiting.getValue((number, part))[0])))
                 self._waiting.removeKey((number, part))
             yield self._sorted(pd.concat(own) if len(own) > 1 else own[0])
 

@@ -1,6 +1,7 @@
 """Feature vectors, models, scores, ranking; batch and streaming."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -83,6 +84,21 @@ def test_early_stop_changes_nothing():
         assert np.allclose(a[0], n[0]) and np.allclose(a[1], n[1]) and np.allclose(a[2:], n[2:])
 
 
+def test_a_fit_holds_its_vectors_once():
+    """Distances are taken in pieces, with the same bits as at once."""
+    values = np.random.default_rng(6).normal(size=300_000)
+    v = np.lib.stride_tricks.sliding_window_view(values, 6)
+    tracemalloc.start()
+    try:
+        found = M._fit(v, 2, True)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 1.9 * v.size * 8
+    reach = sum(np.sqrt(((v.T - c[:, None]) ** 2).sum(axis=0)) for c in found[:2]) / 2
+    assert found[2:] == (reach.min(), reach.max())
+
+
 def test_training_uses_only_its_window(spark):
     rng = random.Random(4)
     rows = [("c", {"h": h}, 10 * i, rng.random()) for h in "ab" for i in range(100)] + [("short", {}, 10 * i, i) for i in range(9)]

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from sparktide.schema import MODELS
 from sparktide.streaming.alerts import stream_alerts
 from sparktide.streaming.rollups import stream_dedup
 from sparktide.streaming.scoring import retrain, stream_score
+from sparktide.streaming.state import InOrder
 
 
 class Feed:
@@ -203,3 +205,54 @@ def test_late_sample_is_judged_by_the_models_of_its_time(spark, tmp_path, chunk)
     got = {r.seq: r.anomalous for r in out.collect()}
     assert got == {r.seq: r.anomalous for r in M.score_samples(s, models, model_count=1, order=("seq",)).collect()}
     assert got[190]
+
+
+def test_retraining_runs_on_the_workers_of_the_streams(spark, tmp_path, monkeypatch):
+    """Plain Python tasks and keyed state start with the same settings; a second set of workers has another parent."""
+    def fit(vectors, *_):
+        import os
+        import numpy
+
+        parent = numpy.full(6, float(os.getppid()))
+        return parent, parent, 0.0, 1.0
+
+    name = "spark.sql.execution.pyspark.udf.simplifiedTraceback.enabled"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(M, "_fit", fit)
+    s = samples(spark, [("c", {}, 5 * i, float(i % 7)) for i in range(40)])
+    retrain(s, str(tmp_path / "models"), at(200), window_s=400)
+    [model] = spark.read.parquet(str(tmp_path / "models")).collect()
+
+    def parent(_):
+        import os
+
+        return os.getppid()
+
+    assert model.c0[0] == spark.sparkContext.parallelize([0], 1).map(parent).first()
+    assert spark.conf.get(name) == before
+
+
+def test_waiting_pieces_are_counted_not_listed():
+    """Chunks in any order come back sorted, and the pieces' keys are never all asked for."""
+    class Waiting(dict):
+        def updateValue(self, key, value):
+            assert key not in self
+            self[key] = value
+
+        getValue, removeKey = dict.__getitem__, dict.__delitem__
+
+        def keys(self):
+            raise AssertionError("lists every piece")
+
+    class Plain(InOrder):
+        def step(self, key, rows):
+            return rows
+
+    waiting = Waiting()
+    processor = Plain(["seq"], 50)
+    processor.init(type("Handle", (), {"getMapState": lambda *_: waiting})())
+    seq = random.Random(4).sample(range(400), 400)
+    chunks = [pd.DataFrame({"seq": seq[at : at + 30]}) for at in range(0, 400, 30)]
+    got = list(processor.handleInputRows(("k",), iter(chunks), None))
+    assert [len(g) for g in got] == [50] * 8 and pd.concat(got)["seq"].tolist() == list(range(400))
+    assert len(waiting) == 0
